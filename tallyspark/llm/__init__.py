@@ -1 +1,10 @@
-"""Training-data pipeline operators over `documents`, `pages`, `benchmark` and `labels`."""
+"""Training-data pipeline operators over `documents`, `pages`, `benchmark` and `labels`.
+
+Functions of this package that run in Python workers are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
