@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix_dedup, token_files, url_filter
+from . import near_dedup, suffix_dedup, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -36,7 +40,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op4_token_files": op4_token_files}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files}
 
 _WORDS = "|".join(url_filter.LISTED_WORDS)
 SQL: dict[str, str] = {
