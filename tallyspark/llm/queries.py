@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, suffix_dedup, token_files, url_filter
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,34 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), least=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("reasons")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    n = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    base = secret_scan.joined(F.col("base"))
+    return found.select("doc_id", *n, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.concat("base", "added")).alias("spans"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join("items", ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_line_dedup": op5_line_dedup, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_secret_scan": op9_secret_scan, "op10_decontamination": op10_decontamination}
 
 _WORDS = "|".join(url_filter.LISTED_WORDS)
 SQL: dict[str, str] = {
@@ -63,4 +90,39 @@ SQL: dict[str, str] = {
                coalesce(v, CASE WHEN regexp_matches(host, '(^|[.-])({_WORDS})($|[.-])') THEN 'block' ELSE 'allow' END) AS verdict
         FROM m
     """,
+    "op5_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+        ), d AS (
+            SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+        ), j AS (
+            SELECT l.*, coalesce(l.doc_id > d.first, false) AS gone FROM l LEFT JOIN d USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id
+    """,
+    "op10_decontamination": r"""
+        WITH dw AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+        ), iw AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+        ), ig AS (
+            SELECT DISTINCT item, least(len(w), 13) AS m, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS g
+            FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM iw WHERE len(w) > 0)
+        ), dg AS (
+            SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+            FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM dw, (SELECT DISTINCT m FROM ig) WHERE len(w) >= m)
+        ), h AS (
+            SELECT doc_id, i, dg.m, item FROM dg JOIN ig ON dg.g = ig.g AND dg.m = ig.m
+        ), c AS (
+            SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS k FROM h) GROUP BY 1
+        ), s AS (
+            SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM h GROUP BY 1
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+    """,
 }
