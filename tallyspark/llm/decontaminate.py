@@ -46,8 +46,11 @@ def _hashed(rows: DataFrame, key: str) -> DataFrame:
     return one.select(key, "words", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Every row: id, n_words, spans (array of from, to: hit words), items (sorted as strings), n_hit, contaminated."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Every row: id, n_words, spans (array of from, to: hit words), items (sorted as strings), n_hit, contaminated.
+
+    carry: adds the input row as struct `doc`.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null").distinct()
     items = stored(_hashed(items, "item").where("n > 0"), "items")
@@ -87,7 +90,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     by_row = by_row.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("at", F.coalesce(reach, F.lit(0)))))
     told = by_row.groupBy("row").agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.collect_list(F.struct(F.col("at").alias("from"), F.col("end").alias("to")))).alias("spans"))
     told = stored(told, "told")
-    out = rows.select("doc_id", "row", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    carried = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct("*").alias("doc")] if carry else []))
+    out = carried.select("doc_id", F.concat_ws(":", "doc_id", F.hex(F.xxhash64("text"))).alias("row"), *(["doc"] if carry else []), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = out.join(F.broadcast(told) if few and told.count() <= 50_000 else told, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
+    return out.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"), *(["doc"] if carry else []))

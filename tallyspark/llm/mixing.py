@@ -96,16 +96,16 @@ def route(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int],
     return [sum(flow[i * repeats : (i + 1) * repeats]) for i in range(p)]
 
 
-def mix_sources(docs: DataFrame, members: Column | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, members: Column | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """Every row: id, pattern (array of sources), size, times (whole uses), taken (words), and the sums and
     targets of its first source: source_size, target. members: array of a document's sources; default: its one source.
 
-    Sources are in order of code point, null last, and weigh `weights`, repeating. For overlapping sources the sum of a source
+    carry: adds the input row as struct `doc`. Sources are in order of code point, null last, and weigh `weights`, repeating. For overlapping sources the sum of a source
     counts every document that it holds.
     """
     spark = docs.sparkSession
     member = members if members is not None else F.array(F.col(source_col))
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.array_sort(F.array_distinct(member)), F.array().cast("array<string>")).alias("pattern"), word_count(F.col(text_col)).alias("size"))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.array_sort(F.array_distinct(member)), F.array().cast("array<string>")).alias("pattern"), word_count(F.col(text_col)).alias("size"), *([F.struct("*").alias("doc")] if carry else []))
     slot = F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(SLOTS)).cast("int")
     own = own.withColumn("slot", slot)
     slots = stored(own.groupBy("pattern", "slot").agg(F.sum("size").alias("words")), "slots")
@@ -129,13 +129,17 @@ def mix_sources(docs: DataFrame, members: Column | None = None, weights: Sequenc
     plan = plan.withColumn("rest", F.col("flow") - F.col("whole") * F.col("pattern_size")).withColumn("p", F.to_json("pattern"))
     before = Window.partitionBy("p").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # SLOTS rows for each pattern
     cuts = slots.withColumn("p", F.to_json("pattern")).withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    cuts = cuts.join(F.broadcast(plan.drop("pattern")), "p").select("p", "slot", "below", "words", "whole", "rest", "source_size", "target")
-    rows = own.withColumn("p", F.to_json("pattern")).join(cuts, ["p", "slot"])
-    inside = (F.col("below") < F.col("rest")) & (F.col("below") + F.col("words") > F.col("rest"))
+    cuts = cuts.join(F.broadcast(plan.select("p", "rest")), "p").where((F.col("below") < F.col("rest")) & (F.col("below") + F.col("words") > F.col("rest")))
+    cuts = cuts.select("p", F.col("slot").alias("cut"), "below")  # the slot that the cut falls into, if it is not between two
+    full = slots.withColumn("p", F.to_json("pattern")).withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    full = full.join(F.broadcast(plan.select("p", "rest")), "p").where(F.col("below") < F.col("rest")).groupBy("p").agg(F.max("slot").alias("last"))
+    plan = stored(plan.drop("pattern").join(cuts, "p", "left").join(full, "p", "left"), "plan")  # at most MOST_PATTERNS rows
+    rows = own.withColumn("p", F.to_json("pattern")).join(F.broadcast(plan), "p")
+    inside = F.coalesce(F.col("slot") == F.col("cut"), F.lit(False))
     order = Window.partitionBy("p", "slot").orderBy(F.xxhash64(F.lit(seed + 1), "id", "size"), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.where(inside).withColumn("at", F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     cut = cut.withColumn("more", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("at")))).drop("at")
-    rest = rows.where(~inside).withColumn("more", F.when(F.col("below") < F.col("rest"), F.col("size")).otherwise(F.lit(0)))
+    rest = rows.where(~inside).withColumn("more", F.when(F.col("slot") <= F.col("last"), F.col("size")).otherwise(F.lit(0)))
     every = rest.unionByName(cut)
     times = F.col("whole") + ((F.col("more") > 0) & (2 * F.col("more") >= F.col("size"))).cast("long")
-    return every.select(F.col("id").alias(id_col), "pattern", "size", "source_size", "target", times.alias("times"), (F.col("size") * F.col("whole") + F.col("more")).alias("taken"))
+    return every.select(F.col("id").alias(id_col), "pattern", "size", "source_size", "target", times.alias("times"), (F.col("size") * F.col("whole") + F.col("more")).alias("taken"), *(["doc"] if carry else []))

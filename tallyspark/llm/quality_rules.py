@@ -105,18 +105,18 @@ def choose_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA
     return safe.groupBy("stratum", "rule").agg(best["cutoff"].alias("cutoff"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: bool = False) -> DataFrame:
     """Every row: id, the counts, base_failed, reasons (learnt rules that reject it), kept.
 
-    labels: id, quality (1: good). The learnt cutoffs of all strata travel as one scalar subquery of at most a row for each
+    labels: id, quality (1: good). carry: adds the input row as struct `doc`. The learnt cutoffs of all strata travel as one scalar subquery of at most a row for each
     stratum and rule.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("stratum"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("stratum"), F.col(text_col).alias("text"), *([F.struct("*").alias("doc")] if carry else []))
     marked = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
-    holdout = measures(own.join(marked, "doc_id"))
+    holdout = measures(own.drop("doc").join(marked, "doc_id"))
     cutoffs = stored(choose_cutoffs(holdout, risk, delta), "cutoffs")
     table = cutoffs.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\1", "stratum", "rule").alias("k"), "cutoff"))).alias("m"))
     every = measures(own).withColumn("base_failed", base_failed()).withColumn("_m", table.scalar())
     over = [F.when(F.col(r) > F.try_element_at("_m", F.concat_ws("\1", "stratum", F.lit(r))), F.lit(r)) for r in GRID]
     every = every.withColumn("reasons", F.array_compact(F.array(*over)))
-    return every.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "reasons", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"))
+    return every.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "reasons", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), *(["doc"] if carry else []))
