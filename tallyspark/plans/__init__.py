@@ -1 +1 @@
-"""plans."""
+"""Registered queries and the tables they run on."""
