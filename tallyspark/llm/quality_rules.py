@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-RISK, DELTA = 0.05, 0.05
+#: Up to this many labels (9 bytes each) are broadcast to their documents; beyond it both sides are shuffled.
+RISK, DELTA, MOST_BROADCAST = 0.05, 0.05, 2_000_000
 #: Cutoffs tried for each rule; a document goes if its measure is above the cutoff.
 GRID = {
     "symbol_share": (0.02, 0.05, 0.1, 0.2, 0.4),
@@ -39,11 +40,10 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     one = docs.withColumn("_t", text)
     one = one.withColumn("_w", F.filter(F.split("_t", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
     one = one.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("_w").cast("long"))
-    blanks = F.char_length("_t") - F.char_length(F.translate("_t", " \t\n\x0b\x0c\r", ""))
-    one = one.withColumn("word_chars", (F.char_length("_t") - blanks).cast("long"))
-    plain = F.translate("_t", "#*$%&|<>", "")
-    one = one.withColumn("n_symbols", (F.char_length("_t") - F.char_length(plain)).cast("long"))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    one = one.withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long"))
+    without = lambda pattern: F.char_length("_t") - F.char_length(F.regexp_replace("_t", pattern, ""))
+    one = one.withColumn("n_symbols", without(r"[#*$%&|<>]+").cast("long"))
+    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     one = one.withColumn("_l", lines).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
     h = F.col("_h")
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 5, F.lit(0))), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3), F.get(h, i + 4)))
@@ -57,17 +57,16 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     p = F.col("_p")
     covered = F.aggregate(F.transform("_p", lambda x, i: F.least(F.lit(5), F.coalesce(F.get(p, i + 1) - x, F.lit(5)))), F.lit(0), lambda a, x: a + x)
     one = one.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    upper = F.char_length("_t") - F.char_length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     pairs = F.size(F.filter(F.transform("_h", lambda x, i: x == F.get(h, i - 1)), lambda b: b))
     words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     one = one.withColumns({
         "symbol_share": F.col("n_symbols") / chars,
-        "upper_share": upper / chars,
+        "upper_share": without(r"[A-Z]+") / chars,
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size("_l"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
         "same_word_share": pairs / words,
-        "bang_share": (F.char_length("_t") - F.char_length(F.translate("_t", "!", ""))) / words,
+        "bang_share": (F.char_length("_t") - F.char_length(F.replace(F.col("_t"), F.lit("!"), F.lit("")))) / words,
     })
     return one.drop("_t", "_w", "_h", "_l", "_g", "_again", "_s", "_p")
 
@@ -97,6 +96,7 @@ def choose_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA
     cells = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (F.col(r) > c).alias("gone")) for r, grid in GRID.items() for c in grid]
     tries = labelled.select("stratum", "good", F.explode(F.array(*cells)).alias("x")).select("stratum", "good", "x.*")
     counts = tries.groupBy("stratum", "rule", "cutoff").agg(F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("gone")).alias("k"), F.count_if(~F.col("good") & F.col("gone")).alias("caught"))
+    counts = stored(counts, "tests")
     tests = counts.agg(F.count("*").alias("tests"))
     n, k = F.col("n").cast("int"), F.col("k").cast("int")
     safe = counts.where((F.col("caught") > 0) & (F.col("k") <= risk * F.col("n"))).withColumn("p", binomial_at_most(k, n, risk))
@@ -113,7 +113,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, del
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("stratum"), F.col(text_col).alias("text"), *([F.struct("*").alias("doc")] if carry else []))
     marked = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
-    holdout = measures(own.drop("doc").join(marked, "doc_id"))
+    marked = stored(marked, "labels")
+    few = marked.count() <= MOST_BROADCAST
+    holdout = measures(own.drop("doc").join(F.broadcast(marked) if few else marked, "doc_id"))
+    holdout = stored(holdout.select("stratum", "good", *GRID), "holdout")
     cutoffs = stored(choose_cutoffs(holdout, risk, delta), "cutoffs")
     table = cutoffs.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\1", "stratum", "rule").alias("k"), "cutoff"))).alias("m"))
     every = measures(own).withColumn("base_failed", base_failed()).withColumn("_m", table.scalar())
