@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, stored
+from .shared import fold, stored
 
 GRAM, WINDOW, MOST_BROADCAST = 5, 13, 1_000_000
 #: Fixed value: what lies between words. ASCII but for digits and letters; A-Z are folded before.
@@ -25,7 +25,7 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS, -1), lambda w: w != "")
+    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), BREAKS, -1), lambda w: w != "")
 
 
 def _grams(hashes: Column, n: Column, size: int) -> Column:

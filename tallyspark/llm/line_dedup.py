@@ -19,14 +19,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, stored
+from .shared import fold, stored
 
 LAST_ID = 2**63 - 1
 
 
 def line_keys(text: Column) -> Column:
     """Array of the keys of a text's lines."""
-    return F.transform(F.split(text, "\n", -1), lambda line: F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), UPPER, LOWER))
+    return F.transform(F.split(text, "\n", -1), lambda line: fold(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")))
 
 
 class Runs:
