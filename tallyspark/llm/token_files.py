@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": f"{folder}/{path}", "docs": len(ids), "tokens": at}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     parts = max(1, -(-size // PART_BYTES))
-    dealt = own.repartitionByRange(parts, "doc_id", "text") if parts > 1 else own.coalesce(1)
+    dealt = own.repartitionByRange(parts, "doc_id") if parts > 1 else own.coalesce(1)
     manifest = stored(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
