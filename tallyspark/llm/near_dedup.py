@@ -4,16 +4,17 @@
    into one by its hash, and a register keeps its least hash in short form: the count of leading zeros and MANTISSA bits
    after them. Documents with equal sets are one class, represented by the least id.
 2. Bands of ROWS registers of the representatives are hashed to keys; representatives that share a key are candidates.
-   With 42 bands of 6, a pair at similarity 0.85 shares none with probability 3e-9, one at 0.8 with 3e-6. Bands of empty
-   registers are no keys: short documents differ in few registers, so they share a band all the same.
-3. Candidates pass by their set sizes and by the collision-corrected similarity estimate of their sketches (six standard
+   With 48 bands of 8, a pair at similarity 0.85 shares none with probability 2e-7, one at 0.8 with 1.5e-4. For the keys
+   alone, empty registers of short documents borrow from others in a fixed order.
+3. Candidates pass by their set sizes, by 128 single bits of their registers (a bound five standard deviations off; sets of
+   under 64 shingles are not held to it), and by the collision-corrected similarity estimate of their sketches (six standard
    deviations below the threshold still pass), then are confirmed on the full sets.
 4. Components come from alternating large-star and small-star steps over the confirmed links.
 
-No bucket is paired with itself. Each round pairs the members of a bucket with a few centres of it, confirms, joins
-components, removes the centres (they have met every member) and closes buckets whose members are in one component. Rounds
-go on until no bucket is open; small open buckets are then paired completely across components. So a group of thousands of
-copies costs a few links for each copy, and a bucket of unlike documents is still compared in full.
+No bucket is paired with itself. First each bucket's members meet its least member only, which links groups of copies at a
+few pairs for each copy. Documents of buckets that still hold several components are then compared completely, by an exact
+prefix filter on their full sets; so no link inside a bucket is lost, and thousands of documents that share a passage but stay
+below the threshold are not paired at all unless they share rare shingles.
 
 Nulls and odd input: a null text, or one without words, has an empty set and is linked with nothing; a text of fewer words
 than a shingle is one shingle; a row with a null id is not linked and keeps a null component; repeated rows of an id are one
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .shared import byte_codes, mix, row_slices, stored, text_view
 
-REGISTERS, MANTISSA, ROWS, BANDS, EMPTY = 256, 10, 6, 42, 0xFFFF
-SLICE_BYTES, SMALL_BUCKET, CENTRES = 1 << 19, 24, 8
+REGISTERS, MANTISSA, ROWS, BANDS, EMPTY = 384, 10, 8, 48, 0xFFFF
+SLICE_BYTES, SLOTS = 1 << 19, 1 << 23
 #: Up to this many candidate ids (8 bytes each) are broadcast to pick their texts; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -92,14 +93,14 @@ def registers(own: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
     """rows x REGISTERS: leading zeros of the least 52-bit hash above MANTISSA bits of what follows the first one."""
     h = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
     least = np.full(rows * REGISTERS, 2**52, np.int64)
-    np.minimum.at(least, own * REGISTERS + (h & np.uint64(REGISTERS - 1)).astype(np.int64), (h >> np.uint64(12)).astype(np.int64))
+    np.minimum.at(least, own * REGISTERS + (h % np.uint64(REGISTERS)).astype(np.int64), (h >> np.uint64(12)).astype(np.int64))
     fraction, exponent = np.frexp(least.astype(np.float64))
     short = (52 - np.minimum(exponent, 52)) << MANTISSA | np.where(least > 0, ((fraction * 2 - 1) * (1 << MANTISSA)), 0).astype(np.int64)
     return np.where(least == 2**52, EMPTY, short).astype(np.uint16).reshape(rows, REGISTERS)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128-bit fingerprint of the set), sketch (binary; null for an empty set)."""
+    """doc_id, n_shingles, set_a, set_b (128-bit fingerprint of the set), bits_a, bits_b (a bit of 128 registers), sketch (binary; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,20 +114,33 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 for k, out in enumerate(sums):
                     np.add.at(out, own, mix(found + np.uint64(0x1234567 * (k + 1))))
                 sketch = registers(own, found, b - a)
+                bits = np.packbits(mix(filled(sketch)[:, :128].astype(np.uint64)) >> np.uint64(63) == 1, axis=1).view(np.int64)
                 blobs = pa.array([row.tobytes() if some else None for row, some in zip(sketch, n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), blobs], ["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), blobs], ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, sketch binary")
 
 
-def band_keys(sketch: np.ndarray) -> list[np.ndarray]:
-    """Keys of the bands that are not all empty, for each row."""
-    bands = sketch[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS).astype(np.uint64)
+def filled(sketch: np.ndarray) -> np.ndarray:
+    """Empty registers borrow from others in an order that all documents share, at last from the next one that is not empty."""
+    out, places = sketch.copy(), np.arange(REGISTERS)
+    for turn in range(1, 13):
+        source = (mix(places.astype(np.uint64) + np.uint64(turn << 16)) % np.uint64(REGISTERS)).astype(np.int64)
+        lent = sketch[:, source]
+        out = np.where((out == EMPTY) & (lent != EMPTY), lent, out)
+    some = np.concatenate((sketch, sketch), axis=1) != EMPTY
+    ahead = np.where(some, np.arange(2 * REGISTERS), 2 * REGISTERS)
+    ahead = np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS] % REGISTERS
+    return np.where(out == EMPTY, np.take_along_axis(sketch, ahead, axis=1), out)
+
+
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """Keys of the bands, for each row of a sketch that is not all empty."""
+    bands = filled(sketch)[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2]).copy()
     for j in range(ROWS):
         key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + bands[:, :, j])
-    some = (bands != EMPTY).any(axis=2)
-    return [k[s].view(np.int64) for k, s in zip(key, some)]
+    return key.view(np.int64)
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -135,10 +149,10 @@ def _banded(classes: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_shingles"), pa.array(band_keys(sketch), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(band_keys(sketch)), pa.list_(pa.int64()))], ["doc_id", "keys"])
 
-    keyed = classes.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "doc_id long, n_shingles long, keys array<long>")
-    return keyed.select(F.explode("keys").alias("key"), "doc_id", F.col("n_shingles").cast("int").alias("n"))
+    keyed = classes.select("doc_id", "sketch").mapInArrow(run, "doc_id long, keys array<long>")
+    return keyed.select(F.explode("keys").alias("key"), "doc_id")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
@@ -160,13 +174,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs with 100 * |intersection| >= percent * |union| of their full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = stored(ids, "candidates")
+def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, found (the sorted 64-bit shingles as binary) of the documents of `ids` (stored, distinct)."""
     chosen = docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_view(batch.column("text"))
             for a, b in row_slices(offsets, SLICE_BYTES):
@@ -175,6 +187,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                 parts = np.split(found, np.cumsum(np.bincount(own, minlength=b - a))[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "found"])
 
+    return stored(chosen.mapInArrow(run, "doc_id long, found binary").groupBy("doc_id").agg(F.max("found").alias("found")), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs with 100 * |intersection| >= percent * |union| of their full sets."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
+    every = _sets(ids, docs, size)
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -185,11 +205,52 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                 keep.append(inter > 0 and 100 * inter >= percent * (len(both) - inter))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    every = stored(chosen.mapInArrow(sets, "doc_id long, found binary").groupBy("doc_id").agg(F.max("found").alias("found")), "sets")
     full = pairs.join(every.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), "a").join(every.select(F.col("doc_id").alias("b"), F.col("found").alias("y")), "b")
     return full.mapInArrow(judge, "a long, b long")
 
 
+def _prefix_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """rows: doc_id, n, c. All pairs of different c that can reach the threshold, by prefix filtering: in one order of all
+    shingles, rare ones first, the shorter set's first n - ceil(2t / (1 + t) n) + 1 shingles and the longer one's first
+    n - ceil(t n) + 1 must share one, early enough to reach the overlap. Rarity is read from a table of SLOTS counters, the only thing that reaches the driver;
+    any order is right, a good one gives few pairs.
+    """
+    found = _sets(stored(rows.select("doc_id"), "open"), docs, size)
+    share = percent / 100
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            for v in batch.column("found"):
+                np.add.at(total, (np.frombuffer(v.as_py(), np.uint64) >> np.uint64(41)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["slot", "n"])
+
+    counts = found.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(SLOTS, np.uint8)
+    often[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 255)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short, long = [], []
+            for v in batch.column("found"):
+                x = np.frombuffer(v.as_py(), np.uint64)
+                x = x[np.lexsort((x, often[(x >> np.uint64(41)).astype(np.int64)]))].view(np.int64)
+                short.append(x[: len(x) - int(np.ceil(2 * share / (1 + share) * len(x) - 1e-9)) + 1])
+                long.append(x[: len(x) - int(np.ceil(share * len(x) - 1e-9)) + 1])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(short, kind), pa.array(long, kind)], ["doc_id", "short", "long"])
+
+    heads = stored(found.mapInArrow(cut, "doc_id long, short array<long>, long array<long>").join(rows, "doc_id"), "prefixes")
+    low = heads.select(F.posexplode("short").alias("i", "h"), F.col("doc_id").alias("p"), F.col("n").alias("n_p"), F.col("c").alias("c_p"))
+    high = heads.select(F.posexplode("long").alias("j", "h"), F.col("doc_id").alias("q"), F.col("n").alias("n_q"), F.col("c").alias("c_q"))
+    ordered = (F.col("n_p") < F.col("n_q")) | ((F.col("n_p") == F.col("n_q")) & (F.col("p") < F.col("q")))
+    # of a pair's first common shingle, at i and j, at most the rest of both sets can be common
+    reach = F.least(F.col("n_p") - F.col("i"), F.col("n_q") - F.col("j")) * (100 + percent) >= percent * (F.col("n_p") + F.col("n_q"))
+    pairs = low.join(high, "h").where(reach & ordered & (F.col("c_p") != F.col("c_q")) & (100 * F.col("n_p") >= percent * F.col("n_q")))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns node, component (the least node reachable), by large-star and small-star steps until nothing changes."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -219,45 +280,31 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = stored(sketches(own, size), "sketches")
     some = every.where("sketch is not null and doc_id is not null")
-    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
     keys = _banded(classes)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    open_rows = stored(keys.join(shared, "key"), "bands")
-    links, tried = None, None
-    label = None
-    for turn in range(1_000_000):
-        rows = open_rows if label is None else open_rows.join(label, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        if label is None:
-            rows = rows.withColumn("c", F.col("doc_id"))
-        state = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m")
-        rows = stored(rows.join(state, "key"), "bands")
-        if rows.isEmpty():
-            break
-        few = 1 if turn == 0 else CENTRES
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(few))
-        all_pairs = F.col("m") <= (0 if turn == 0 else SMALL_BUCKET)
-        wide = rows.where(~all_pairs)
-        centres = wide.groupBy("key", part.alias("part")).agg(F.min(F.struct("doc_id", "n", "c")).alias("x"))
-        centres = centres.select("key", F.col("x.doc_id").alias("a"), F.col("x.n").alias("n_a"), F.col("x.c").alias("c_a"))
-        pairs = wide.join(centres, "key")
-        if turn:
-            tight = rows.where(all_pairs)
-            pairs = pairs.unionByName(tight.join(tight.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")), "key").where("a < doc_id"))
-        fits = (F.col("c") != F.col("c_a")) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-        pairs = pairs.where(fits).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(_likely(pairs, classes, percent / 100), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = stored(_confirmed(pairs, own, size, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        open_rows = wide.join(centres.select("key", F.col("a").alias("doc_id")), ["key", "doc_id"], "left_anti").select("key", "doc_id", "n")
+    short = classes.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.col("bits_a").alias("x"), F.col("bits_b").alias("y"))
+    open_rows = stored(keys.join(shared, "key").join(short, "doc_id"), "bands")
+    unlike = F.bit_count(F.col("x").bitwiseXOR(F.col("x_a"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("y_a")))
+    least_n, mean = F.least("n", "n_a"), 64 * (1 - percent / 100)
+    alike = (least_n < 64) | (unlike <= F.when(least_n < 400, int(mean + 27)).otherwise(int(mean + 20)))
+    centres = open_rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "x", "y")).alias("s"))
+    centres = centres.select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("n_a"), F.col("s.x").alias("x_a"), F.col("s.y").alias("y_a"))
+    stars = open_rows.join(centres, "key").where((F.col("a") < F.col("doc_id")) & (100 * least_n >= percent * F.greatest("n", "n_a")) & alike)
+    tried = stored(_likely(stars.select("a", F.col("doc_id").alias("b")).distinct(), classes, percent / 100), "pairs")
+    links = stored(_confirmed(tried, own, size, percent), "links")
+    label = stored(components(links), "labels")
+    rows = open_rows.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id"))
+    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    rest = stored(rows.join(split, "key").select("doc_id", "n", "c").distinct(), "open")
+    if not rest.isEmpty():
+        pairs = _prefix_pairs(rest, own, size, percent).join(tried, ["a", "b"], "left_anti")
+        more = _confirmed(stored(_likely(pairs, classes, percent / 100), "pairs"), own, size, percent)
+        label = stored(components(stored(links.unionByName(more), "links")), "labels")
     # a class has the component of its representative
     named = classes.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("least"))
-    if label is not None:
-        named = named.join(label, F.col("least") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "least").alias("least"))
+    named = named.join(label, F.col("least") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "least").alias("least"))
     out = every.join(named, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
