@@ -244,11 +244,11 @@ def one_to_one_audit(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
 
 def one_to_one_join(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Join of the clean keys only: value_pre, value_post, shift."""
-    clean = one_to_one_audit(left, right, keys).where("status = 'clean_one_to_one'").select(*keys)
-    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-    l = left.join(clean, same(left, clean), "left_semi")
-    both = l.join(right, same(l, right))
-    return both.select(*[l[k] for k in keys], l[value].alias(f"{value}_pre"), right[value].alias(f"{value}_post"), (right[value] - l[value]).alias("shift"))
+    sides = left.select(*keys, F.col(value).alias(f"{value}_pre"), F.lit(None).cast("double").alias(f"{value}_post"), F.lit(1).alias("pre"), F.lit(0).alias("post"))
+    sides = sides.unionByName(right.select(*keys, F.lit(None).cast("double").alias(f"{value}_pre"), F.col(value).alias(f"{value}_post"), F.lit(0).alias("pre"), F.lit(1).alias("post")))
+    both = sides.groupBy(*keys).agg(F.sum("pre").alias("pre"), F.sum("post").alias("post"), F.max(f"{value}_pre").alias(f"{value}_pre"), F.max(f"{value}_post").alias(f"{value}_post"))
+    clean = both.where("pre = 1 and post = 1").drop("pre", "post")
+    return clean.withColumn("shift", F.col(f"{value}_post") - F.col(f"{value}_pre"))
 
 
 def outer_compare(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, dead: float = 0.5) -> DataFrame:

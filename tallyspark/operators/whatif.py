@@ -102,14 +102,14 @@ def ensemble(base: DataFrame, draws: int, seed: int = 1, swing: float = 0.0, per
     """base: contest, region, group, share. One row for each draw and contest: winner and its share.
 
     The same noise (period + region + contest) moves every group of a contest, so winners change through the floor at 0 only;
-    independent: each group has its own. Draws are exploded, so no shuffle comes before the aggregate by (draw, contest).
+    independent: each group has its own. Shares within 1e-9 tie and go to the first group. Draws are exploded, so no shuffle comes before the aggregate by (draw, contest).
     """
     rows = base.select("contest", "region", "group", "share", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     own = [F.col("group")] if independent else []
     noise = period_sd * normal(seed, F.lit("p"), F.col("draw"), *own) + region_sd * normal(seed, F.lit("r"), F.col("draw"), F.col("region"), *own) + contest_sd * normal(seed, F.lit("c"), F.col("draw"), F.col("contest"), *own)
     moved = rows.select("draw", "contest", "region", "group", F.greatest(F.col("share") + swing + noise, F.lit(0.0)).alias("s"))
-    best = moved.groupBy("draw", "contest", "region").agg(F.min(F.struct((-F.col("s")).alias("neg"), "group")).alias("x"), F.sum("s").alias("total"))
-    share = F.when(F.col("total") > 0, -100 * F.col("x.neg") / F.col("total")).otherwise(F.lit(100 / 3))
+    best = moved.groupBy("draw", "contest", "region").agg(F.min(F.struct((-F.round("s", 9)).alias("neg"), "group", "s")).alias("x"), F.sum("s").alias("total"))
+    share = F.when(F.col("total") > 0, 100 * F.col("x.s") / F.col("total")).otherwise(F.lit(100 / 3))
     return best.select("draw", "contest", "region", F.col("x.group").alias("winner"), share.alias("winner_share"))
 
 

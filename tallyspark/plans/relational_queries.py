@@ -389,7 +389,7 @@ def normal_sql(*parts: str) -> str:
 DRAWS = 20
 ENSEMBLE = f""", n AS (SELECT g.contest, g.region, g."group", draw, greatest(share + {normal_sql("'p'", "draw")} + 1.5 * {normal_sql("'r'", "draw", "g.region")} + 2.5 * {normal_sql("'c'", "draw", "g.contest")}, 0) AS s
     FROM grouped g, (SELECT unnest(generate_series(1, {DRAWS})) AS draw) WHERE period = 2),
-    e AS (SELECT draw, contest, region, "group" AS winner, CASE WHEN sum(s) OVER w > 0 THEN 100 * s / sum(s) OVER w ELSE 100 / 3 END AS winner_share FROM n WINDOW w AS (PARTITION BY draw, contest) QUALIFY row_number() OVER (PARTITION BY draw, contest ORDER BY s DESC, "group") = 1)"""
+    e AS (SELECT draw, contest, region, "group" AS winner, CASE WHEN sum(s) OVER w > 0 THEN 100 * s / sum(s) OVER w ELSE 100 / 3 END AS winner_share FROM n WINDOW w AS (PARTITION BY draw, contest) QUALIFY row_number() OVER (PARTITION BY draw, contest ORDER BY round(s, 9) DESC, "group") = 1)"""
 
 
 def drawn(spark, d):
