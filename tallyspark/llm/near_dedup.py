@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import byte_codes, mix, row_slices, stored, text_view
 
 REGISTERS, MANTISSA, ROWS, BANDS, EMPTY = 384, 10, 8, 48, 0xFFFF
-SLICE_BYTES, SLOTS = 1 << 19, 1 << 23
+SLICE_BYTES, SLOTS, BLOCKS = 1 << 19, 1 << 23, 1024
 #: Up to this many candidate ids (8 bytes each) are broadcast to pick their texts; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +212,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 def _prefix_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """rows: doc_id, n, c. All pairs of different c that can reach the threshold, by prefix filtering: in one order of all
     shingles, rare ones first, the shorter set's first n - ceil(2t / (1 + t) n) + 1 shingles and the longer one's first
-    n - ceil(t n) + 1 must share one, early enough to reach the overlap. Rarity is read from a table of SLOTS counters, the only thing that reaches the driver;
+    n - ceil(t n) + 1 must share one, early enough to reach the overlap. Rarity is read from a table of SLOTS counters of a byte, the only thing that reaches the driver;
     any order is right, a good one gives few pairs.
     """
     found = _sets(stored(rows.select("doc_id"), "open"), docs, size)
@@ -226,9 +226,17 @@ def _prefix_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) ->
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["slot", "n"])
 
-    counts = found.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(SLOTS, np.uint8)
-    often[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 255)
+    def packed(table: pa.Table) -> pa.Table:
+        part = np.zeros(SLOTS // BLOCKS, np.uint8)
+        part[table.column("slot").to_numpy() % len(part)] = np.minimum(table.column("n").to_numpy(), 255)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
+
+    counts = found.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    blocks = counts.withColumn("block", F.floor(F.col("slot") / (SLOTS // BLOCKS)).cast("int")).groupBy("block").applyInArrow(packed, "block int, part binary")
+    often = np.zeros((BLOCKS, SLOTS // BLOCKS), np.uint8)
+    for row in stored(blocks, "often").collect():  # SLOTS bytes at most
+        often[row["block"]] = np.frombuffer(row["part"], np.uint8)
+    often = often.reshape(-1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
