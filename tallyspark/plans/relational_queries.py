@@ -409,11 +409,11 @@ def _(spark, d):
     return Q.ensemble_summary(seats, X.periods(spark, d)[1].select("contest").distinct().count())
 
 
-@query("f11_ensemble_contests", sql("grouped", ENSEMBLE + f""", o AS (SELECT contest, winner, count(*) AS n FROM e GROUP BY ALL), base AS (SELECT contest, "group" AS b FROM grouped WHERE period = 2 QUALIFY row_number() OVER (PARTITION BY contest ORDER BY share DESC, "group") = 1)
+@query("f11_ensemble_contests", sql("grouped", ENSEMBLE + f""", o AS (SELECT contest, winner, count(*) AS n FROM e GROUP BY ALL), base AS (SELECT contest, "group" AS b FROM grouped WHERE period = 2 QUALIFY row_number() OVER (PARTITION BY contest ORDER BY round(share, 9) DESC, "group") = 1)
     SELECT contest, max_by(winner, n * 1000 - ascii(right(winner, 1))) AS modal_winner, max(n) / {DRAWS} AS probability, 1 - coalesce(sum(n) FILTER (winner = b), 0) / {DRAWS} AS flip_probability, 1 - coalesce(sum(n) FILTER (winner = b), 0) / {DRAWS} >= 0.15 AS volatile FROM o JOIN base USING (contest) GROUP BY contest"""))
 def _(spark, d):
     shares = Q.group_shares(X.periods(spark, d)[1], X.option_dim(spark, d))
-    base = shares.groupBy("contest").agg(F.min(F.struct((-F.col("share")).alias("s"), "group"))["group"].alias("winner"))
+    base = shares.groupBy("contest").agg(F.min(F.struct((-F.round("share", 9)).alias("s"), "group"))["group"].alias("winner"))
     return Q.ensemble_contests(drawn(spark, d), base)
 
 
