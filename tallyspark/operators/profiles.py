@@ -40,3 +40,58 @@ def merge_notes(generated: DataFrame, manual: DataFrame, key: str, fields: Seque
     used = sum((F.col(f"_{f}").isNotNull().cast("int") for f in fields), F.lit(0))
     source = F.when(used == len(fields), "manual").when(used > 0, "mixed").otherwise("generated")
     return out.withColumn("source", source).withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*[f"_{f}" for f in fields])
+
+
+def contest_profile(scores: DataFrame) -> DataFrame:
+    """Tags, a text of the facts that hold, confidence (none of the parts missing) and quality."""
+    tags = key_factors()
+    text = F.concat_ws(
+        " ",
+        F.when(F.col("flipped"), F.concat(F.lit("Moved from "), "prev_winner", F.lit(" to "), "curr_winner", F.lit("."))).otherwise(F.concat(F.lit("Held by "), "curr_winner", F.lit("."))),
+        F.when(F.col("top2_margin_pct") <= 5, F.lit("The margin is narrow.")),
+    )
+    whole = F.col("top2_margin_pct").isNotNull() & F.col("mean_abs_swing").isNotNull()
+    return scores.select("contest", tags.alias("tags"), text.alias("text"), F.when(whole, "high").otherwise("low").alias("confidence"), F.when(F.col("score").isNotNull(), "complete").otherwise("partial").alias("quality"))
+
+
+def review_report(notes: DataFrame, key: str, fields: Sequence[str], least: int = 20) -> DataFrame:
+    """has_manual, review needed and why: blank fields, and texts shorter than `least` characters."""
+    why = [F.when(null_tokens(F.col(f)).isNull(), F.lit(f"blank {f}")).when(F.char_length(f) < least, F.lit(f"short {f}")) for f in fields]
+    out = notes.select(key, F.col("source").isin("manual", "mixed").alias("has_manual"), F.array_compact(F.array(*why)).alias("reasons"))
+    return out.select(key, "has_manual", (F.size("reasons") > 0).alias("review"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+def insight_flags(features: DataFrame, rules: Sequence[tuple[str, str, str, float]]) -> DataFrame:
+    """rules: (statement, column, '>' or '<', bound). Adds `insights`: the statements that hold, in rule order."""
+    holds = [F.when(F.col(c) > b if op == ">" else F.col(c) < b, F.lit(text)) for text, c, op, b in rules]
+    return features.withColumn("insights", F.array_compact(F.array(*holds)))
+
+
+def region_bridge(outcomes: DataFrame, facts: DataFrame, region: str, composites: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Region outcomes with facts and how they were found: exact, composite, legacy or none.
+
+    composites, legacy: region -> other (the name under which the facts have it); each is tried where those before fail.
+    """
+    value = [c for c in facts.columns if c != region]
+    f = lambda n: facts.select(F.col(region).alias(f"_k{n}"), *[F.col(c).alias(f"_{c}{n}") for c in value])
+    out = outcomes.join(composites.select(region, F.col("other").alias("_k2")), region, "left").join(legacy.select(region, F.col("other").alias("_k3")), region, "left").withColumn("_k1", F.col(region))
+    for n in (1, 2, 3):
+        out = out.join(f(n).withColumn(f"_hit{n}", F.lit(True)), f"_k{n}", "left")
+    status = F.when(F.col("_hit1"), "exact").when(F.col("_hit2"), "composite").when(F.col("_hit3"), "legacy").otherwise("none")
+    pick = lambda c: F.when(F.col("_hit1"), F.col(f"_{c}1")).when(F.col("_hit2"), F.col(f"_{c}2")).when(F.col("_hit3"), F.col(f"_{c}3"))
+    return out.select(*outcomes.columns, *[pick(c).alias(c) for c in value], status.alias("match"))
+
+
+def reassign_region(rows: DataFrame, region: str, zone: str, moves: DataFrame) -> DataFrame:
+    """moves: zone, new_region. Zones that moved get their new region; the former stays as <region>_old."""
+    out = rows.join(moves.select(F.col("zone").alias(zone), "new_region"), zone, "left")
+    return out.withColumn(f"{region}_old", F.col(region)).withColumn(region, F.coalesce("new_region", region)).drop("new_region")
+
+
+def coded_totals(raw: DataFrame, code: str, level: str, levels: Sequence[str], values: Sequence[str], size: int) -> DataFrame:
+    """District totals from coded raw rows: padded code, the named levels as columns <level>_<value>, share of the first level."""
+    from tallyspark.functions.scalars import pad_code, ratio
+
+    wide = raw.groupBy(pad_code(F.col(code), size).alias(code)).agg(*[F.sum(F.when(F.col(level) == lv, F.col(v))).alias(f"{lv}_{v}") for lv in levels for v in values])
+    rates = {f"{lv}_{v}_pct": ratio(F.col(f"{lv}_{v}"), F.col(f"{levels[0]}_{v}")) for lv in levels[1:] for v in values}
+    return wide.withColumns(rates)
