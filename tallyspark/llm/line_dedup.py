@@ -26,7 +26,7 @@ LAST_ID = 2**63 - 1
 
 def line_keys(text: Column) -> Column:
     """Array of the keys of a text's lines."""
-    return F.transform(F.split(text, "\n", -1), lambda line: fold(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")))
+    return F.transform(F.split(text, "\n", -1), lambda line: fold(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))))
 
 
 class Runs:
