@@ -113,8 +113,11 @@ def ensemble(base: DataFrame, draws: int, seed: int = 1, swing: float = 0.0, per
     return best.select("draw", "contest", "region", F.col("x.group").alias("winner"), share.alias("winner_share"))
 
 
-def ensemble_seats(drawn: DataFrame) -> DataFrame:
-    return drawn.groupBy("draw", F.col("winner").alias("group")).agg(F.count("*").alias("seats"))
+def ensemble_seats(drawn: DataFrame, groups: DataFrame, draws: int) -> DataFrame:
+    """One row for each draw (1 to draws) and group, with 0 seats where the group wins none. groups: group, all of the base's and any more."""
+    none = groups.select("group").distinct().select(F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), "group", F.lit(0).cast("long").alias("seats"))
+    won = drawn.groupBy("draw", F.col("winner").alias("group")).agg(F.count("*").alias("seats"))
+    return won.unionByName(none).groupBy("draw", "group").agg(F.sum("seats").alias("seats"))
 
 
 def index_percentile(counts: DataFrame, keys: Sequence[str], value: str, n: str, shares: Sequence[float]) -> DataFrame:
@@ -130,12 +133,17 @@ def histogram(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
-def ensemble_summary(seats: DataFrame, contests: int) -> DataFrame:
-    """Per group: probabilities of most seats and of a majority, and the 10th, 50th and 90th percentile of seats."""
-    best = seats.groupBy("draw").agg(F.min(F.struct((-F.col("seats")).alias("neg"), "group"))["group"].alias("first"))
-    draws = best.count()
+def ensemble_summary(seats: DataFrame, contests: int, hung: bool = False, rest: Sequence[str] = ()) -> DataFrame:
+    """Per group: probabilities of most seats and of a majority, and the 10th, 50th and 90th percentile of seats over all draws.
+
+    hung: adds the probability that no group has a majority; one of a group in `rest` (options that form no alliance) does not count.
+    """
+    held = (F.col("seats") > contests / 2) & ~F.col("group").isin(*rest)
+    best = seats.groupBy("draw").agg(F.min(F.struct((-F.col("seats")).alias("neg"), "group"))["group"].alias("first"), F.max(held).alias("held"))
+    draws, open_draws = best.agg(F.count("*"), F.count_if(~F.col("held"))).first()
     led = seats.join(best, "draw").groupBy("group").agg((F.count_if(F.col("first") == F.col("group")) / draws).alias("plurality"), (F.count_if(F.col("seats") > contests / 2) / draws).alias("majority"))
-    return led.join(index_percentile(histogram(seats, ["group"], "seats"), ["group"], "seats", "n", (0.1, 0.5, 0.9)), "group")
+    out = led.join(index_percentile(histogram(seats, ["group"], "seats"), ["group"], "seats", "n", (0.1, 0.5, 0.9)), "group")
+    return out.withColumn("hung", F.lit(open_draws / max(draws, 1))) if hung else out
 
 
 def ensemble_contests(drawn: DataFrame, base_winners: DataFrame, volatile: float = 0.15) -> DataFrame:

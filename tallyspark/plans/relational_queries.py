@@ -405,7 +405,7 @@ def _(spark, d):
     SELECT "group", count(*) FILTER (first = "group") / {DRAWS} AS plurality, count(*) FILTER (seats > (SELECT count(DISTINCT contest) FROM e) / 2) / {DRAWS} AS majority,
            list_sort(list(seats))[CAST(floor(0.1 * (count(*) - 1)) AS INT) + 1] AS p10, list_sort(list(seats))[CAST(floor(0.5 * (count(*) - 1)) AS INT) + 1] AS p50, list_sort(list(seats))[CAST(floor(0.9 * (count(*) - 1)) AS INT) + 1] AS p90 FROM t JOIN b USING (draw) GROUP BY 1"""))
 def _(spark, d):
-    seats = Q.ensemble_seats(drawn(spark, d))
+    seats = Q.ensemble_seats(drawn(spark, d), X.option_dim(spark, d), DRAWS)
     return Q.ensemble_summary(seats, X.periods(spark, d)[1].select("contest").distinct().count())
 
 
@@ -417,6 +417,40 @@ def _(spark, d):
     return Q.ensemble_contests(drawn(spark, d), base)
 
 
+#: The reference's number of draws and noise (period, region, contest).
+FULL_DRAWS, FULL_SD = 1000, (2.5, 4.0, 6.0)
+FULL_ENSEMBLE = f""", n AS (SELECT g.contest, g.region, g."group", draw, greatest(share + {FULL_SD[0]} * {normal_sql("'p'", "draw")} + {FULL_SD[1]} * {normal_sql("'r'", "draw", "g.region")} + {FULL_SD[2]} * {normal_sql("'c'", "draw", "g.contest")}, 0) AS s
+    FROM grouped g, (SELECT unnest(generate_series(1, {FULL_DRAWS})) AS draw) WHERE period = 2),
+    e AS (SELECT draw, contest, region, "group" AS winner, CASE WHEN sum(s) OVER w > 0 THEN 100 * s / sum(s) OVER w ELSE 100 / 3 END AS winner_share FROM n WINDOW w AS (PARTITION BY draw, contest) QUALIFY row_number() OVER (PARTITION BY draw, contest ORDER BY round(s, 9) DESC, "group") = 1)"""
+
+
+def drawn_full(spark, d):
+    period_sd, region_sd, contest_sd = FULL_SD
+    return Q.ensemble(Q.group_shares(X.periods(spark, d)[1], X.option_dim(spark, d)), FULL_DRAWS, period_sd=period_sd, region_sd=region_sd, contest_sd=contest_sd)
+
+
+@query("f9_ensemble_full", sql("grouped", FULL_ENSEMBLE + " SELECT * FROM e"))
+def _(spark, d):
+    return drawn_full(spark, d)
+
+
+@query("f10_ensemble_summary_full", sql("grouped", FULL_ENSEMBLE + f""", t AS (SELECT draw, "group", count(contest) AS seats FROM (SELECT DISTINCT "group" FROM option_dim) CROSS JOIN (SELECT unnest(generate_series(1, {FULL_DRAWS})) AS draw) LEFT JOIN (SELECT draw, winner AS "group", contest FROM e) USING (draw, "group") GROUP BY ALL),
+    m AS (SELECT count(DISTINCT contest) / 2 AS half FROM e), b AS (SELECT draw, "group" AS first, max(seats) OVER (PARTITION BY draw) AS most FROM t QUALIFY row_number() OVER (PARTITION BY draw ORDER BY seats DESC, "group") = 1)
+    SELECT "group", count(*) FILTER (first = "group") / {FULL_DRAWS} AS plurality, count(*) FILTER (seats > half) / {FULL_DRAWS} AS majority, list_sort(list(seats))[CAST(floor(0.1 * {FULL_DRAWS - 1}) AS INT) + 1] AS p10, list_sort(list(seats))[CAST(floor(0.5 * {FULL_DRAWS - 1}) AS INT) + 1] AS p50,
+           list_sort(list(seats))[CAST(floor(0.9 * {FULL_DRAWS - 1}) AS INT) + 1] AS p90, count(*) FILTER (most <= half) / {FULL_DRAWS} AS hung FROM t JOIN b USING (draw), m GROUP BY 1"""))
+def _(spark, d):
+    seats = Q.ensemble_seats(drawn_full(spark, d), X.option_dim(spark, d), FULL_DRAWS)
+    return Q.ensemble_summary(seats, X.periods(spark, d)[1].select("contest").distinct().count(), hung=True)
+
+
+@query("f11_ensemble_contests_full", sql("grouped", FULL_ENSEMBLE + f""", o AS (SELECT contest, winner, count(*) AS n FROM e GROUP BY ALL), base AS (SELECT contest, "group" AS b FROM grouped WHERE period = 2 QUALIFY row_number() OVER (PARTITION BY contest ORDER BY round(share, 9) DESC, "group") = 1)
+    SELECT contest, first(winner ORDER BY n DESC, winner) AS modal_winner, max(n) / {FULL_DRAWS} AS probability, 1 - coalesce(sum(n) FILTER (winner = b), 0) / {FULL_DRAWS} AS flip_probability, 1 - coalesce(sum(n) FILTER (winner = b), 0) / {FULL_DRAWS} >= 0.15 AS volatile FROM o JOIN base USING (contest) GROUP BY contest"""))
+def _(spark, d):
+    shares = Q.group_shares(X.periods(spark, d)[1], X.option_dim(spark, d))
+    base = shares.groupBy("contest").agg(F.min(F.struct((-F.round("share", 9)).alias("s"), "group"))["group"].alias("winner"))
+    return Q.ensemble_contests(drawn_full(spark, d), base)
+
+
 @query("a26_histogram", "SELECT event_type, CAST(floor(value) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
     return Q.histogram(table(spark, d, "events").withColumn("bin", F.floor("value")), ["event_type"], "bin")

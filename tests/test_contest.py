@@ -39,6 +39,18 @@ def test_ensemble_does_not_depend_on_partitions(spark):
     assert first == sorted(Q.ensemble(base.repartition(7), 20, independent=True).collect())
 
 
+def test_ensemble_summary_counts_draws_without_seats(spark):
+    """x wins a seat in 1 of 5 draws, z in none, y has both seats or one; v (2 seats in draw 5) forms no alliance."""
+    won = [(1, "c", "y"), (1, "d", "y"), (2, "c", "y"), (2, "d", "y"), (3, "c", "y"), (3, "d", "x"), (4, "c", "y"), (4, "d", "y"), (5, "c", "v"), (5, "d", "v")]
+    drawn = spark.createDataFrame(won, "draw int, contest string, winner string")
+    groups = spark.createDataFrame([("v",), ("x",), ("y",), ("z",)], "group string")
+    seats = Q.ensemble_seats(drawn, groups, 5)
+    assert sorted(map(tuple, seats.where("group in ('x', 'z')").collect())) == sorted([(d, "x", int(d == 3)) for d in range(1, 6)] + [(d, "z", 0) for d in range(1, 6)])
+    out = {r.group: r for r in Q.ensemble_summary(seats, 2, hung=True, rest=["v"]).collect()}
+    assert {g: (r.p10, r.p50, r.p90, r.plurality, r.majority) for g, r in out.items()} == {"v": (0, 0, 0, 0.2, 0.2), "x": (0, 0, 0, 0.2, 0.0), "y": (0, 2, 2, 0.6, 0.6), "z": (0, 0, 0, 0.0, 0.0)}
+    assert {r.hung for r in out.values()} == {0.4} and {r.hung for r in Q.ensemble_summary(seats, 2, hung=True).collect()} == {0.2}
+
+
 def test_percent_cells_and_labels(spark):
     df = spark.createDataFrame([("12%",), ("0.4",), ("-",), ("n=500",), ("45 (12)",), ("120",), (None,)], "c string")
     assert [r.x for r in df.select(S.parse_percent(F.col("c")).alias("x")).collect()] == [12.0, 40.0, None, None, None, None, None]
