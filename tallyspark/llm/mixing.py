@@ -2,13 +2,16 @@
 
 1. Documents are grouped by membership pattern, the set of sources that hold them, and their sizes summed.
 2. Token capacity flows pattern -> source -> quota. A pattern's first use costs nothing, each further use more (convex), and
-   a pattern gives at most `repeats` times its size. The flow fills the quotas at least repetition.
+   a pattern gives at most `repeats` times its size. The flow fills the quotas at least repetition. A source that shares no
+   document with another gives the lesser of quota and limit; sources that overlap are linked to connected groups, and each
+   group's flow is solved by itself in one task.
 3. Of each pattern with flow f and size s, every document is taken f // s times, and documents in a seeded order once more
    until the rest of f is met. The seeded order is cut in SLOTS slots by hash: whole slots are decided from their sums, and only
    the slot that the cut falls into is ordered document by document. The document on the cut gives the words that are left
    (`taken`); as a whole document it counts (`times`) when that is at least half of it.
 
-The driver holds the sums of patterns and sources (at most MOST_PATTERNS, checked), never documents.
+The driver holds sums by weight only. Patterns, sources and the plan are tables of any length; the plan is broadcast up to
+MOST_BROADCAST patterns and joined by pattern and slot beyond, so that a large source is spread over its slots.
 
 Nulls and odd input: a null text has size 0 and takes nothing; a null source is a source of its own, last in order; repeated
 rows are documents of their own; other columns are ignored; with no words at all every target is 0; an empty table gives an
@@ -17,15 +20,16 @@ empty result.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .near_dedup import components
 from .shared import WORD, stored
 
-WEIGHTS, SHARE, REPEATS, SLOTS, MOST_PATTERNS = (5, 2, 1), 1.5, 2, 4096, 50_000
+WEIGHTS, SHARE, REPEATS, SLOTS, MOST_BROADCAST = (5, 2, 1), 1.5, 2, 4096, 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -49,51 +53,109 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most:
     return out
 
 
-def min_cost_flow(arcs: list[tuple[int, int, int, int]], source: int, sink: int, nodes: int) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost >= 0) of a cheapest maximum flow, by shortest augmenting paths with potentials."""
-    graph: list[list[int]] = [[] for _ in range(nodes)]
-    to, room, cost = [], [], []
-    for a, b, c, w in arcs:
-        for x, y, r, v in ((a, b, c, w), (b, a, 0, -w)):
-            graph[x].append(len(to))
-            to.append(y)
-            room.append(r)
-            cost.append(v)
-    potential = [0] * nodes
+def source_goals(by_pattern: DataFrame, weights: Sequence[float], total: float, most: float = REPEATS) -> tuple[DataFrame, int]:
+    """`targets` over a table: key, place (in order of code point, null last), source_size, target, quota for each source; and their number.
+
+    The unit only rises from round to round, so a round needs one aggregate by weight.
+    """
+    sums = by_pattern.select(F.explode("pattern").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("source_size"))
+    order = [F.col("source").isNull(), F.col("source")]
+    placed = stored(sums.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, starts, n = F.shiftright("at", 33).cast("int"), {}, 0
+    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row for each partition
+        starts[row["part"]] = n
+        n += row["count"]
+    start = F.element_at(F.array(*[F.lit(starts.get(i, 0)).cast("long") for i in range(max(starts, default=0) + 1)]), part + 1)
+    placed = placed.withColumn("place", start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    kind = (F.col("place") % len(weights)).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), kind + 1)
+    full, bar, unit, was = F.lit(False), 0.0, 0.0, None
+    while True:
+        found = placed.groupBy(kind.alias("kind")).agg(F.count_if(~full).alias("free"), F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)).alias("held")).orderBy("kind").collect()
+        free = sum(r["free"] for r in found)
+        if free in (0, was):
+            break
+        unit, was = (total - most * sum(r["held"] for r in found)) / sum(r["free"] * weights[r["kind"]] for r in found), free
+        bar = max(bar, unit)
+        full = F.lit(bar) * weight > most * F.col("source_size")
+    target = F.when(full, most * F.col("source_size").cast("double")).otherwise(F.lit(unit) * weight)
+    goals = placed.select(F.to_json(F.array("source")).alias("key"), "place", "source_size", target.alias("target"))
+    return stored(goals.withColumn("quota", F.rint("target").cast("long")), "goals"), n
+
+
+def augment(graph: list[list[int]], to: list[int], room: list[int], start: int, end: int) -> None:
+    """Fills a network to its maximum flow by Dinic's levels; arc e and its reverse are e and e ^ 1."""
     while True:
-        far, back, queue = [None] * nodes, [-1] * nodes, [(0, source)]
-        far[source] = 0
-        while queue:
-            d, x = heapq.heappop(queue)
-            if d > far[x]:
-                continue
+        level, queue = [-1] * len(graph), [start]
+        level[start] = 0
+        for x in queue:
             for e in graph[x]:
-                step = d + cost[e] + potential[x] - potential[to[e]]
-                if room[e] and (far[to[e]] is None or step < far[to[e]]):
-                    far[to[e]], back[to[e]] = step, e
-                    heapq.heappush(queue, (step, to[e]))
-        if far[sink] is None:
-            return [c - r for (_, _, c, _), r in zip(arcs, room[::2])]
-        potential = [p + (d if d is not None else 0) for p, d in zip(potential, far)]
-        path, x = [], sink
-        while x != source:
-            path.append(back[x])
-            x = to[back[x] ^ 1]
-        flow = min(room[e] for e in path)
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+                if room[e] and level[to[e]] < 0:
+                    level[to[e]] = level[x] + 1
+                    queue.append(to[e])
+        if level[end] < 0:
+            return
+        turn, path, x = [0] * len(graph), [], start
+        while True:
+            if x == end:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                first = next(k for k, e in enumerate(path) if not room[e])
+                x = to[path[first] ^ 1]
+                del path[first:]
+            while turn[x] < len(graph[x]) and not (room[graph[x][turn[x]]] and level[to[graph[x][turn[x]]]] == level[x] + 1):
+                turn[x] += 1
+            if turn[x] < len(graph[x]):
+                path.append(graph[x][turn[x]])
+                x = to[path[-1]]
+            elif x == start:
+                break
+            else:
+                x = to[path.pop() ^ 1]
+                turn[x] += 1
 
 
 def route(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int], repeats: int = REPEATS) -> list[int]:
-    """Words to take from each pattern (members, size) so that the quotas of the sources are met with least repetition."""
+    """Words to take from each pattern (members, size) so that the quotas of the sources are met with least repetition.
+
+    Only the arcs from the start cost, and no cheapest path goes back over them; so a cheapest maximum flow is one maximum flow
+    after another, each with one more use of every pattern let in.
+    """
     p, s = len(patterns), len(quotas)
     start, end = p + s, p + s + 1
-    arcs = [(start, i, size, 2 * k * k) for i, (_, size) in enumerate(patterns) for k in range(repeats)]
-    arcs += [(i, p + j, repeats * size, 0) for i, (members, size) in enumerate(patterns) for j in members]
-    arcs += [(p + j, end, quota, 0) for j, quota in enumerate(quotas)]
-    flow = min_cost_flow(arcs, start, end, end + 1)
-    return [sum(flow[i * repeats : (i + 1) * repeats]) for i in range(p)]
+    graph: list[list[int]] = [[] for _ in range(end + 1)]
+    to, room = [], []
+    arcs = [(start, i, 0) for i in range(p)] + [(i, p + j, repeats * size) for i, (members, size) in enumerate(patterns) for j in members]
+    for a, b, c in arcs + [(p + j, end, quota) for j, quota in enumerate(quotas)]:
+        for x, y, r in ((a, b, c), (b, a, 0)):
+            graph[x].append(len(to))
+            to.append(y)
+            room.append(r)
+    for _ in range(repeats):
+        for i, (_, size) in enumerate(patterns):
+            room[2 * i] += size
+        augment(graph, to, room, start, end)
+    return [room[2 * i + 1] for i in range(p)]
+
+
+def overlapping(by_pattern: DataFrame, goals: DataFrame, repeats: int) -> DataFrame:
+    """p, flow of every pattern in a group of sources that shared documents connect."""
+    members = by_pattern.select("p", "words", F.explode("pattern").alias("source")).withColumn("key", F.to_json(F.array("source"))).join(goals, "key")
+    members = members.groupBy("p", "words").agg(F.min("place").alias("a"), F.sort_array(F.collect_list(F.struct("place", "quota"))).alias("members"))
+    members = stored(members, "members")
+    label = stored(components(members.where(F.size("members") > 1).select("a", F.explode("members.place").alias("b"))), "labels")
+
+    def solve(group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["p", "words", "members"]).to_pylist(), key=lambda r: r["p"])
+        quota = {m["place"]: m["quota"] for r in rows for m in r["members"]}
+        local = {x: i for i, x in enumerate(sorted(quota))}
+        flow = route([([local[m["place"]] for m in r["members"]], r["words"]) for r in rows], [quota[x] for x in local], repeats)
+        return pa.table({"p": pa.array([r["p"] for r in rows], pa.string()), "flow": pa.array(flow, pa.int64())})
+
+    own = members.join(label, F.col("a") == F.col("node")).select("component", "p", "words", "members")
+    return stored(own.groupBy("component").applyInArrow(solve, "p string, flow long"), "flows")
 
 
 def mix_sources(docs: DataFrame, members: Column | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
@@ -109,32 +171,29 @@ def mix_sources(docs: DataFrame, members: Column | None = None, weights: Sequenc
     slot = F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(SLOTS)).cast("int")
     own = own.withColumn("slot", slot)
     slots = stored(own.groupBy("pattern", "slot").agg(F.sum("size").alias("words")), "slots")
-    by_pattern = stored(slots.groupBy("pattern").agg(F.sum("words").alias("words")), "patterns")
-    if by_pattern.count() > MOST_PATTERNS:
-        raise ValueError(f"over {MOST_PATTERNS} membership patterns; merge rare ones first")
-    sums = sorted(((tuple(r["pattern"]), int(r["words"])) for r in by_pattern.collect()), key=str)
-    names = sorted({x for p, _ in sums for x in p}, key=lambda x: (x is None, x or ""))
-    place = {x: i for i, x in enumerate(names)}
-    sizes = [0] * len(names)
-    for p, n in sums:
-        for x in p:
-            sizes[place[x]] += n
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(n for _, n in sums), repeats) if names else []
-    taken = route([([place[x] for x in p], n) for p, n in sums], [round(g) for g in goal], repeats)
-    plan = spark.createDataFrame(
-        [(list(p), n, f, sizes[place[p[0]]] if p else 0, goal[place[p[0]]] if p else 0.0) for (p, n), f in zip(sums, taken)],
-        "pattern array<string>, pattern_size long, flow long, source_size long, target double",
-    )
+    by_pattern = stored(slots.groupBy("pattern").agg(F.sum("words").alias("words")).withColumn("p", F.to_json("pattern")), "patterns")
+    several = F.size("pattern") > 1
+    n, total, shared = by_pattern.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.count_if(several)).first()
+    goals, n_sources = source_goals(by_pattern, weights, share * total)
+    few = lambda df, k: F.broadcast(df) if k <= MOST_BROADCAST else df
+    plan = by_pattern.withColumn("key", F.to_json(F.slice("pattern", 1, 1))).join(few(goals, n_sources), "key", "left")
+    flow = F.when(F.size("pattern") == 1, F.least("quota", repeats * F.col("words"))).otherwise(F.lit(0))
+    if shared:
+        plan = plan.join(overlapping(by_pattern, goals, repeats).withColumnRenamed("flow", "routed"), "p", "left")
+        flow = F.coalesce("routed", flow)
+    plan = plan.select("p", F.col("words").alias("pattern_size"), flow.alias("flow"), F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
     plan = plan.withColumn("whole", F.when(F.col("pattern_size") > 0, F.floor(F.col("flow") / F.col("pattern_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("rest", F.col("flow") - F.col("whole") * F.col("pattern_size")).withColumn("p", F.to_json("pattern"))
+    plan = stored(plan.withColumn("rest", F.col("flow") - F.col("whole") * F.col("pattern_size")), "plan")
     before = Window.partitionBy("p").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # SLOTS rows for each pattern
     cuts = slots.withColumn("p", F.to_json("pattern")).withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    cuts = cuts.join(F.broadcast(plan.select("p", "rest")), "p").where((F.col("below") < F.col("rest")) & (F.col("below") + F.col("words") > F.col("rest")))
+    cuts = cuts.join(few(plan.select("p", "rest"), n), "p").where((F.col("below") < F.col("rest")) & (F.col("below") + F.col("words") > F.col("rest")))
     cuts = cuts.select("p", F.col("slot").alias("cut"), "below")  # the slot that the cut falls into, if it is not between two
     full = slots.withColumn("p", F.to_json("pattern")).withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    full = full.join(F.broadcast(plan.select("p", "rest")), "p").where(F.col("below") < F.col("rest")).groupBy("p").agg(F.max("slot").alias("last"))
-    plan = stored(plan.drop("pattern").join(cuts, "p", "left").join(full, "p", "left"), "plan")  # at most MOST_PATTERNS rows
-    rows = own.withColumn("p", F.to_json("pattern")).join(F.broadcast(plan), "p")
+    full = full.join(few(plan.select("p", "rest"), n), "p").where(F.col("below") < F.col("rest")).groupBy("p").agg(F.max("slot").alias("last"))
+    plan = stored(plan.join(cuts, "p", "left").join(full, "p", "left"), "plan")
+    by_slot = slots.select(F.to_json("pattern").alias("p"), "slot").join(plan, "p") if n > MOST_BROADCAST else None
+    own = own.withColumn("p", F.to_json("pattern"))
+    rows = own.join(F.broadcast(plan), "p") if by_slot is None else own.join(by_slot, ["p", "slot"])
     inside = F.coalesce(F.col("slot") == F.col("cut"), F.lit(False))
     order = Window.partitionBy("p", "slot").orderBy(F.xxhash64(F.lit(seed + 1), "id", "size"), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.where(inside).withColumn("at", F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0)))

@@ -196,6 +196,39 @@ def test_mixing_overlapping_sources():
     assert sum(taken) == 30 and all(10 <= t <= 20 for t in taken[:2]) and 5 <= taken[2] <= 10
 
 
+def test_mixing_many_sources(spark):
+    """More sources than the plan's broadcast holds: targets and flows are those of the plain version."""
+    n = mixing.MOST_BROADCAST + 5000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), F.format_string("s%06d", F.col("id")).alias("source"))
+    got = rows_of(mixing.mix_sources(docs))
+    sizes = [i % 7 for i in range(n)]
+    goal = mixing.targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(n)], mixing.SHARE * sum(sizes))
+    assert len(got) == n and all((got[i]["size"], got[i].source_size, got[i].target, got[i].taken) == (sizes[i], sizes[i], goal[i], min(round(goal[i]), 2 * sizes[i])) for i in range(n))
+
+
+def test_mixing_overlapping_groups(spark, monkeypatch):
+    """Connected groups by themselves, joined by slot: totals and repetition as small as over all patterns at once."""
+    draw = random.Random(3)
+    rows = [(i, "w " * draw.randint(0, 9), draw.choice([[], ["a"], ["a", "b"], ["b", "c"], ["d"], ["e", None], [None], ["f"], ["f", "g"]])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    sizes, whole = Counter(), Counter()
+    for _, t, m in rows:
+        whole[tuple(m)] += len(t.split())
+        sizes.update({x: len(t.split()) for x in m})
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    goal = mixing.targets([sizes[x] for x in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], mixing.SHARE * sum(whole.values()))
+    flow = mixing.route([([names.index(x) for x in m], k) for m, k in whole.items()], [round(g) for g in goal])
+    for most in (mixing.MOST_BROADCAST, 0):
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+        got, taken = mixing.mix_sources(docs, members=F.col("sources")).collect(), Counter()
+        assert len(got) == len(rows)
+        for r in got:
+            taken[tuple(r.pattern)] += r.taken
+            assert not r.pattern or (r.source_size, r.target) == (sizes[r.pattern[0]], goal[names.index(r.pattern[0])])
+        assert sum(taken.values()) == sum(flow) and sum(max(0, taken[m] - k) for m, k in whole.items()) == sum(max(0, f - k) for f, k in zip(flow, whole.values()))
+        assert all(taken[m] <= 2 * k for m, k in whole.items())
+
+
 def test_quality_rules(docs, labels):
     got = rows_of(quality_rules.quality_verdicts(docs, labels))
     for i, t in enumerate(texts()):
