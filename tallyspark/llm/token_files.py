@@ -48,16 +48,19 @@ class WordEncoder:
 
     A byte-level pre-tokenizer always cuts before a lone blank or line feed, so the ids of a text are those of its words put
     together, each with the blank or line feed before it. Texts with two white-space characters side by side, and words with
-    letters beyond U+0370, are encoded in one piece by the whole tokenizer.
+    letters beyond U+0370, are encoded in one piece by the whole tokenizer; so are texts that hold an added token.
+
+    literal: special tokens in a text are letters like others, not ids of their own as by the library's default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = literal
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (literal and t.special)]
         self.type = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut, self.bpe = regex.compile(PIECES).findall, self.whole.model.tokenize
         self.code = "H" if self.type.itemsize == 2 else "I"
@@ -87,7 +90,7 @@ class WordEncoder:
         return self._ids(text)
 
     def encode(self, text: str) -> bytes:
-        if TWO_SPACES.search(text):
+        if TWO_SPACES.search(text) or any(x in text for x in self.added):
             return self._ids(text)
         first, *words = text.replace("\n", " \n").split(" ")
         for word in set(words).difference(self.known):
@@ -101,7 +104,7 @@ class WordEncoder:
 def encoder_of(path: str) -> WordEncoder:
     """The worker's encoder for `path`; workers serve many tasks, and words learnt in one help the next."""
     memory = sys.modules.setdefault("tallyspark_worker", types.ModuleType("tallyspark_worker")).__dict__
-    return memory.setdefault(path, None) or memory.update({path: WordEncoder(path)}) or memory[path]
+    return memory.setdefault(path, None) or memory.update({path: WordEncoder(path, literal=False)}) or memory[path]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -144,6 +144,22 @@ def test_token_files(docs, monkeypatch):
         assert np.frombuffer(encoder.encode(t), encoder.type).tolist() == model.encode(t, add_special_tokens=False).ids
 
 
+def test_token_files_of_texts_with_special_tokens(spark):
+    """The ids are those of the library's default call, also where a text holds a special token."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    model = Tokenizer.from_file(path)
+    some = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext| >", "plain text"]
+    got = rows_of(token_files.read_tokens(token_files.write_tokens(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), path), path))
+    at = 0
+    for i, t in enumerate(some):
+        ids = [*model.encode(t, add_special_tokens=False).ids, 2]
+        assert (got[i].start, np.frombuffer(got[i].ids, "<u4").tolist()) == (at, ids)
+        at += len(ids)
+    assert model.encode(some[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("batches,fan", [(1, 2), (4, 3), (6, 2)])
 def test_line_dedup(docs, batches, fan):
     got = rows_of(line_dedup.drop_repeated_lines(docs, 10, batches, fan))
