@@ -16,95 +16,141 @@ own, ordered by text; an empty table gives an empty manifest; other columns are
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 import uuid
 from array import array
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, stored, total_bytes
+from .shared import new_path, row_slices, stored, text_view, total_bytes
 
-END_ID, PART_BYTES, KEPT_WORDS = 2, 8 << 20, 1_000_000
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+END_ID, PART_BYTES, MOST_PART_BYTES, SLICE_BYTES, KEPT_WORDS = 2, 8 << 20, 512 << 20, 8 << 20, 500_000
 NO_ID = np.iinfo(np.int64).min
-TWO_SPACES = re.compile(r"\s\s")
-#: How the byte-level pre-tokenizer cuts, and the letter that stands for each byte.
-PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ENDS = frozenset(",.;:?!")
+#: Marks that are a piece of their own after letters, and the letter that stands for each byte.
+ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
 MANIFEST = "part int, path string, docs long, tokens long"
 
 
+class Words(dict):
+    """Word -> its ids as bytes, led by a blank unless it starts with a line feed; None if it cannot be encoded apart from its text.
+
+    Words are learnt when first asked for. The memory is bounded: once `most` words are new, those not asked for since then go.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, code: str, most: int):
+        super().__init__()
+        self.tokenizer, self.bpe, self.code, self.most, self.old = tokenizer, tokenizer.model.tokenize, code, most, {}
+
+    def piece(self, letters: str) -> bytes:
+        """Ids of one piece as the pre-tokenizer cuts it."""
+        return array(self.code, [t.id for t in self.bpe(letters.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+
+    def learn(self, word: str) -> bytes | None:
+        stem = word.rstrip(ENDS)
+        if stem.isalpha() and max(stem) < "\u0370":  # letters, then marks: two pieces
+            if len(stem) < len(word):
+                return self[stem] + self.piece(word[len(stem) :])
+            return self.piece(" " + word)
+        if stem[:1] == "\n" and stem[1:].isalpha() and max(stem) < "\u0370":
+            return self.piece("\n") + self.piece(stem[1:]) + (self.piece(word[len(stem) :]) if len(stem) < len(word) else b"")
+        if len(word.split()) != 1 or word[-1].isspace() or (word[0].isspace() and word[0] != "\n"):
+            return None
+        return array(self.code, self.tokenizer.encode(word if word[0] == "\n" else " " + word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes | None:
+        found = self[word] = self.old[word] if word in self.old else self.learn(word)
+        return found
+
+    def forget(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
-    """Library encoding with a bounded memory of words and of the pieces that the pre-tokenizer cuts them into.
+    """Library encoding of Arrow texts with a bounded memory of words: each distinct word of a batch is looked up once.
 
     A byte-level pre-tokenizer always cuts before a lone blank or line feed, so the ids of a text are those of its words put
-    together, each with the blank or line feed before it. Texts with two white-space characters side by side, and words with
-    letters beyond U+0370, are encoded in one piece by the whole tokenizer; so are texts that hold an added token.
-
-    literal: special tokens in a text are letters like others, not ids of their own as by the library's default.
+    together, each with the blank or line feed before it. Texts with two white-space characters side by side or white space
+    at the end, and texts that hold an added token, are encoded in one piece.
     """
 
-    def __init__(self, path: str, literal: bool = True):
+    def __init__(self, path: str, end_id: int | None = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = literal
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (literal and t.special)]
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cut, self.bpe = regex.compile(PIECES).findall, self.whole.model.tokenize
-        self.code = "H" if self.type.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        self.end = np.array([] if end_id is None else [end_id], self.type).tobytes()
+        self.known = Words(self.whole, "H" if self.type.itemsize == 2 else "I", KEPT_WORDS)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array(self.code, [t.id for t in self.bpe(letters)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Of a word inside a text: led by a blank unless it starts with a line feed."""
-        if word.isalpha() and word.isascii():
-            return array(self.code, [t.id for t in self.bpe("\u0120" + word)]).tobytes()
-        if word[-1:] in ENDS and word[:-1].isalpha() and max(word) < "\u0370":
-            stem = self.known.get(word[:-1])
-            if stem is None:
-                stem = self.known[word[:-1]] = self._piece(" " + word[:-1])
-            return stem + self._piece(word[-1])
-        return self._text(word if word[:1] == "\n" else " " + word)
-
-    def _text(self, text: str) -> bytes:
-        if text.isascii() or max(text) < "\u0370":
-            return b"".join(map(self._piece, self.cut(text)))
-        return self._ids(text)
-
-    def encode(self, text: str) -> bytes:
-        if TWO_SPACES.search(text) or any(x in text for x in self.added):
-            return self._ids(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        for word in set(words).difference(self.known):
-            self.known[word] = self._word(word)
-        out = self._text(first) + b"".join(map(self.known.__getitem__, words))
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        return out
-
-
-def encoder_of(path: str) -> WordEncoder:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each closed by the end id; offsets)."""
+        texts = texts.fill_null("")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        flat, heads, n = split.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets[:-1] - offsets[0], len(texts)
+        inner = np.ones(len(flat), bool)
+        inner[heads] = False
+        coded, count = flat.filter(pa.array(inner)).dictionary_encode(), np.diff(offsets) - 1
+        found = list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
+        self.known.forget()
+        words = coded.indices.to_numpy().astype(np.int64)
+        odd = np.zeros(n, bool)
+        if None in found:
+            lone = np.array([x is None for x in found])
+            odd[np.repeat(np.arange(n), count)[lone[words]]] = True
+        for token in self.added:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        words, count = words[~np.repeat(odd, count)], np.where(odd, 0, count)
+        begin = [self._ids(x if whole else y) for whole, x, y in zip(odd, texts.to_pylist() if odd.any() else [None] * n, flat.take(pa.array(heads)).to_pylist())]
+        # one piece for each first word, inner word and end, in order
+        pieces = [x or b"" for x in found] + begin + [self.end]
+        order, middle = np.empty(len(words) + 2 * n, np.int64), np.ones(len(words) + 2 * n, bool)
+        last = np.cumsum(count + 2) - 1
+        first = last - count - 1
+        order[last], order[first] = len(pieces) - 1, len(found) + np.arange(n)
+        middle[last] = middle[first] = False
+        order[middle] = words
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.type.itemsize
+        start, long = (np.cumsum(size) - size)[order], size[order]
+        to = np.cumsum(long)
+        at = np.repeat((start - to + long).astype(np.int32), long)  # SLICE_BYTES bound the ids of a call, but for a longer single text
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(b"".join(pieces), self.type)[at]
+        return ids, np.concatenate((np.zeros(1, np.int64), to[last]))
+
+
+def encoder_of(path: str, end_id: int) -> WordEncoder:
     """The worker's encoder for `path`; workers serve many tasks, and words learnt in one help the next."""
     memory = sys.modules.setdefault("tallyspark_worker", types.ModuleType("tallyspark_worker")).__dict__
-    return memory.setdefault(path, None) or memory.update({path: WordEncoder(path, literal=False)}) or memory[path]
+    key = f"{path}:{end_id}"
+    if key not in memory:
+        memory[key] = WordEncoder(path, end_id)
+    return memory[key]
+
+
+def part_bytes(size: int) -> int:
+    """Bytes of text to a part: grows with the square root of the input, so that neither the parts nor their number get out of hand."""
+    return min(MOST_PART_BYTES, max(PART_BYTES, 500 * int(size**0.5)))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,8 +161,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
     folder = new_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, store = encoder_of(tokenizer_path), None
-        end, at, offsets, ids = np.array([end_id], encoder.type).tobytes(), 0, [0], []
+        encoder, store = encoder_of(tokenizer_path, end_id), None
+        at, offsets, ids = 0, [np.zeros(1, np.int64)], []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -125,24 +171,29 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
                 store.create_dir(root, recursive=True)
                 path = f"part-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}"
                 out = store.open_output_stream(f"{root}/{path}.bin")
-            ids += batch.column("doc_id").fill_null(NO_ID).to_pylist()
-            for text in batch.column("text"):
-                found = encoder.encode(text.as_py()) + end
-                out.write(found)
-                at += len(found) // encoder.type.itemsize
-                offsets.append(at)
+            ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy())
+            texts = batch.column("text")
+            for a, b in row_slices(text_view(texts)[1], SLICE_BYTES):
+                tokens, cut = encoder.encode(texts.slice(a, b - a))
+                out.write(tokens.tobytes())
+                offsets.append(cut[1:] + at)
+                at += len(tokens)
         if store is not None:
             out.close()
             for name, values in (("idx", offsets), ("ids", ids)):
                 with store.open_output_stream(f"{root}/{path}.{name}") as out:
-                    out.write(np.array(values, "<i8").tobytes())
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": f"{folder}/{path}", "docs": len(ids), "tokens": at}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+                    out.write(np.concatenate(values).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": f"{folder}/{path}", "docs": sum(map(len, ids)), "tokens": at}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    parts = max(1, -(-size // PART_BYTES))
+    parts = max(1, -(-size // part_bytes(size)))
     dealt = own.repartitionByRange(parts, "doc_id") if parts > 1 else own.coalesce(1)
     manifest = stored(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    # prefix sums in two steps: over blocks of 1,024 parts, then inside each block
+    before = lambda *key: Window.partitionBy(*key).orderBy(*(["part"] if key else ["block"])).rowsBetween(Window.unboundedPreceding, -1)
+    manifest = manifest.withColumn("block", F.shiftright("part", 10))
+    blocks = manifest.groupBy("block").agg(F.sum("tokens").alias("held")).withColumn("below", F.coalesce(F.sum("held").over(before()), F.lit(0)))
+    manifest = manifest.join(F.broadcast(blocks.select("block", "below")), "block")
+    return manifest.select("part", "path", "docs", "tokens", (F.col("below") + F.coalesce(F.sum("tokens").over(before("block")), F.lit(0))).alias("base"))
 
 
 def read_tokens(manifest: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -129,9 +129,9 @@ def test_token_files(docs, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_files, "PART_BYTES", 4000)
+    monkeypatch.setattr(token_files, "MOST_PART_BYTES", 4000)
     path = queries.tokenizer_path()
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     got = rows_of(token_files.read_tokens(token_files.write_tokens(docs, path), path))
     at = 0
     for i, t in enumerate(texts()):
@@ -139,25 +139,23 @@ def test_token_files(docs, monkeypatch):
         assert (got[i].start, got[i].n_tokens) == (at, len(ids)) and np.frombuffer(got[i].ids, "<u4").tolist() == ids
         at += len(ids)
     assert token_files.read_tokens(token_files.write_tokens(docs.limit(0), path), path).count() == 0
-    encoder = token_files.WordEncoder(path)
-    for t in ["a  b", " a b ", "\n\na\n b", "a\n", "don't  stop\t now\n\n", "a <|endoftext|> b", "é ñ ’s", "\x1c a", "x.\nY,\u00a0z", "漢字 かな"]:
-        assert np.frombuffer(encoder.encode(t), encoder.type).tolist() == model.encode(t, add_special_tokens=False).ids
 
 
-def test_token_files_of_texts_with_special_tokens(spark):
-    """The ids are those of the library's default call, also where a text holds a special token."""
-    from tokenizers import Tokenizer
+ODD_TEXTS = ["a  b", " a b ", "\n\na\n b", "a\n", "don't  stop\t now\n\n", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext| >", "é ñ ’s", "\x1c a", "x.\nY,\u00a0z", "漢字 かな", "a\tb c", "a \tb", "a\u3000b c", "it's 12a b2. é.", "\n", " ", "", "a\x85 b", "q ʰa ª", "ß. ǅ", "one, two;\nThree!! four)", "a\n\nb", None]
 
-    path = queries.tokenizer_path()
-    model = Tokenizer.from_file(path)
-    some = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext| >", "plain text"]
-    got = rows_of(token_files.read_tokens(token_files.write_tokens(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), path), path))
-    at = 0
-    for i, t in enumerate(some):
-        ids = [*model.encode(t, add_special_tokens=False).ids, 2]
-        assert (got[i].start, np.frombuffer(got[i].ids, "<u4").tolist()) == (at, ids)
-        at += len(ids)
-    assert model.encode(some[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+@pytest.mark.parametrize("kept", [500_000, 2])
+def test_token_encoder_is_the_library(kept, monkeypatch):
+    """Words put together are the ids of the library's default call on the whole text, special tokens included, also with little memory."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "KEPT_WORDS", kept)
+    encoder = token_files.WordEncoder(queries.tokenizer_path())
+    some = ODD_TEXTS + texts()
+    for part in (some, some[::-1], []):
+        ids, cut = encoder.encode(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [[*encoder.whole.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
+    assert encoder.whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
 
 
 @pytest.mark.parametrize("batches,fan", [(1, 2), (4, 3), (6, 2)])
