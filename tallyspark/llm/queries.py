@@ -60,11 +60,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` name one owner, their source; each document counts as a repository."""
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda x: x["kind"])
     n = [F.size(F.array_remove(F.array_remove(kinds, (k + 1) % 3), (k + 2) % 3)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    classes = [F.size(F.filter("candidates", lambda x: x["class"] == name)).cast("long").alias(f"n_{name}") for name in ("live", "example")]  # noqa: B023
     base = secret_scan.joined(F.col("base"))
-    return found.select("doc_id", *n, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *n, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.concat("base", "added")).alias("spans"), *classes)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

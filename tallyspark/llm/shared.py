@@ -22,9 +22,12 @@ def fold(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one serves a session whose executors are threads
+    of this machine; on a cluster that is an error, as other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,6 +44,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, side: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """`rows` (stored) joined with `side` (stored; one row for each key, with the number `n` of rows that hold it), without `n`.
+
+    Keys of a thousandth of all rows, so at most 1,000 of them, are broadcast; the others are shuffled, none of them large.
+    """
+    bar = side.agg((F.coalesce(F.sum(n), F.lit(0)) / 1000).cast("long")).first()[0]
+    hot = F.broadcast(side.where(F.col(n) > bar).drop(n))
+    cold = rows.join(hot.select(key), key, "left_anti").join(side.where(F.col(n) <= bar).drop(n), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def total_bytes(df: DataFrame, column: str) -> tuple[int, int]:
     """(rows, bytes of `column`) by one aggregate."""
     n, size = df.selectExpr("count(*)", f"coalesce(sum(octet_length({column})), 0)").first()
