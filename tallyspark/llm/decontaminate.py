@@ -1,12 +1,16 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-A text's fingerprints are the least hashes of its grams of GRAM words in every stretch of `window - GRAM + 1` grams; two texts
-that share `window` words in a row share one of them. Training and benchmark fingerprints are joined, each hit is extended to the windows
-of `window` words around it that agree word by word, and the words of those windows are hit. Benchmark items of fewer words
-are one window: for each such length, all grams of that length in the documents are compared.
+A text's fingerprints are the least hashes of its grams of GRAM words in every stretch of `window - GRAM + 1` grams, with the
+place of the first one; two texts that share `window` words in a row share one of them, at one place of those words. Training
+and benchmark fingerprints are joined. Each hit is extended from its place: of the stretches of `window` words that contain the
+gram, those that an item holds word by word are hit. Benchmark items of fewer words are one window: for each such length, all
+grams of that length in the documents are fingerprints.
 
-The benchmark side is broadcast when its fingerprints are few (counted first), else both sides are shuffled by hash. A
-document's text is not shuffled: fingerprints that hit are grouped by document and joined back to it.
+Extension is a join of the stretches around hits with the items' windows, on the words themselves, so a gram that thousands of
+items and documents share costs a few rows for each place and no pair of place and item.
+
+The benchmark side is broadcast when its fingerprints or windows are few (both are counted first), else both sides are
+shuffled. A document's text is not shuffled: hits are grouped by document and joined back to it.
 
 Nulls and odd input: a null text, or one without words, has no fingerprint; items with a null id or text match nothing;
 repeated documents are judged one by one, repeated items count once; other columns are ignored; empty tables give no hit.
@@ -19,9 +23,13 @@ from pyspark.sql import functions as F
 
 from .shared import fold, stored
 
-GRAM, WINDOW, MOST_BROADCAST = 5, 13, 1_000_000
+GRAM, WINDOW = 8, 13
+#: Sides of up to so many rows (and so many bytes of words) are broadcast.
+MOST_BROADCAST, MOST_BYTES = 1_000_000, 64 << 20
 #: Fixed value: what lies between words. ASCII but for digits and letters; A-Z are folded before.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before folding, for counting.
+UNFOLDED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -36,62 +44,71 @@ def _grams(hashes: Column, n: Column, size: int) -> Column:
 
 
 def winnowed(grams: Column, stretch: int) -> Column:
-    """Distinct least values of all stretches (of all grams, where there are fewer)."""
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(grams) - stretch + 1, F.lit(1))), lambda i: F.array_min(F.slice(grams, i, stretch)))
-    return F.when(F.size(grams) > 0, F.array_distinct(some)).otherwise(F.array().cast("array<bigint>"))
+    """Places of the first least value of every stretch (of all grams, where there are fewer), each once."""
+
+    def least(i: Column) -> Column:
+        part = F.slice(grams, i, stretch)
+        return (i + F.array_position(part, F.array_min(part)) - 2).cast("int")
+
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(grams) - stretch + 1, F.lit(1))), least)
+    return F.when(F.size(grams) > 0, F.array_distinct(some)).otherwise(F.array().cast("array<int>"))
+
+
+def fingerprints(rows: DataFrame, key: str, window: int, gram: int, lengths: list[int]) -> DataFrame:
+    """key, at, m, h: the fingerprints of windows of `window` words (m: window) and of items of m words."""
+    one = rows.select(key, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
+    one = one.withColumn("n", F.size("hs")).withColumn("g", F.when(F.col("n") >= window, _grams(F.col("hs"), F.col("n"), gram)).otherwise(F.array().cast("array<bigint>")))
+    g = F.col("g")
+    one = one.withColumn("_at", winnowed(g, window - gram + 1))
+    found = F.transform("_at", lambda i: F.struct(i.alias("at"), F.lit(window).alias("m"), F.get(g, i).alias("h")))
+    for m in lengths:
+        found = F.concat(found, F.transform(_grams(F.col("hs"), F.col("n"), m), lambda h, i: F.struct(i.alias("at"), F.lit(m).alias("m"), h.alias("h"))))  # noqa: B023
+    return one.select(key, F.inline(found))
 
 
-def _hashed(rows: DataFrame, key: str) -> DataFrame:
-    one = rows.withColumn("words", words_of(F.col("text")))
-    return one.select(key, "words", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
+def _small(df: DataFrame, words: str | None = None) -> DataFrame:
+    """df (stored), to be broadcast if it is small."""
+    size = F.sum(F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 16)) if words else F.lit(0)
+    n, size = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= MOST_BROADCAST and size <= MOST_BYTES else df
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Every row: id, n_words, spans (array of from, to: hit words), items (sorted as strings), n_hit, contaminated.
+    """Every row: id, n_words, spans (array of from, to: hit windows), items (sorted as strings), n_hit, contaminated.
 
     carry: adds the input row as struct `doc`.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.concat_ws(":", "doc_id", F.hex(F.xxhash64("text")))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(row.alias("row"), "text")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null").distinct()
-    items = stored(_hashed(items, "item").where("n > 0"), "items")
+    items = stored(items.withColumn("words", words_of(F.col("text"))).withColumn("n", F.size("words")).where("n > 0"), "items")
     lengths = [r[0] for r in items.where(F.col("n") < window).select("n").distinct().collect()]  # at most window - 1 numbers
-    whole = items.where(F.col("n") >= window)
-    g = whole.withColumn("g", _grams(F.col("hs"), F.col("n"), gram))
-    prints = g.select(F.explode(winnowed(F.col("g"), window - gram + 1)).alias("h"))
+    prints = fingerprints(items.where(F.col("n") >= window), "item", window, gram, []).select("h")
     for m in lengths:
-        prints = prints.unionByName(items.where(F.col("n") == m).select(F.get(_grams(F.col("hs"), F.lit(m), m), F.lit(0)).alias("h")))
-    prints = stored(prints.distinct(), "prints")
-    small = prints.count() <= MOST_BROADCAST
-
-    marks = winnowed(F.col("g"), window - gram + 1)
-    if lengths:
-        marks = F.array_distinct(F.concat(marks, *[_grams(F.col("hs"), F.col("n"), m) for m in lengths]))
-    rows = own.withColumn("row", F.concat_ws(":", "doc_id", F.hex(F.xxhash64("text"))))
-    read = _hashed(rows, "row").withColumn("g", _grams(F.col("hs"), F.col("n"), gram))
-    touched = read.select("row", F.explode(marks).alias("h")).join(F.broadcast(prints) if small else prints, "h", "left_semi").select("row").distinct()
-    touched = stored(touched, "touched")
-    few = touched.count() <= MOST_BROADCAST
-    # the grams of documents that are touched, by place, against every window of the items
-    chosen = rows.join(F.broadcast(touched) if few else touched, "row", "left_semi").dropDuplicates(["row"])
-    chosen = _hashed(chosen, "row")
-
-    def windows(rows: DataFrame, key: str, size: int) -> DataFrame:
-        w = rows.where(F.col("n") >= size).select(key, "words", F.posexplode(_grams(F.col("hs"), F.col("n"), size)).alias("at", "h"))
-        return w.select(key, "at", "h", F.slice("words", F.col("at") + 1, size).alias("own"))
-
-    hits = None
-    for size, kept in [(window, whole), *[(m, items.where(F.col("n") == m)) for m in lengths]]:
-        test = windows(kept, "item", size).groupBy("h", F.col("own").alias("test")).agg(F.array_sort(F.collect_set("item")).alias("items"))
-        found = windows(chosen, "row", size).join(F.broadcast(test) if small else test, "h").where("own = test")
-        found = found.select("row", "at", (F.col("at") + size).alias("end"), "items")
-        hits = found if hits is None else hits.unionByName(found)
-    by_row = hits.groupBy("row", "at").agg(F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        prints = prints.unionByName(fingerprints(items.where(F.col("n") == m), "item", window, gram, [m]).select("h"))
+    prints = _small(stored(prints.distinct(), "prints"))
+    hits = fingerprints(own, "row", window, gram, lengths).join(prints, "h", "left_semi")
+    hits = _small(stored(hits.groupBy("row").agg(F.collect_set(F.struct("at", "m")).alias("hits")), "hits"))
+
+    # the stretches of an item's length around each hit, with their words
+    chosen = own.join(hits, "row").dropDuplicates(["row"]).select("row", "hits", words_of(F.col("text")).alias("words"))
+    lowest = lambda x: F.when(x["m"] < window, x["at"]).otherwise(F.greatest(F.lit(0), x["at"] + gram - window))
+    highest = lambda x: F.when(x["m"] < window, x["at"]).otherwise(F.least(x["at"], F.size("words") - window))
+    around = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(F.sequence(lowest(x), highest(x)), lambda i: F.struct(i.alias("at"), x["m"].alias("m"))))))
+    around = chosen.select("row", "words", around.alias("a"))
+    around = around.select("row", F.inline(F.transform("a", lambda x: F.struct(x["at"].alias("at"), (x["at"] + x["m"]).alias("end"), F.slice("words", x["at"] + 1, x["m"]).alias("own")))))
+    m = F.least("n", F.lit(window))
+    test = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - m), lambda i: F.slice("words", i + 1, m))).alias("own"))
+    test = _small(stored(test.groupBy("own").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows"), "own")
+    by_row = around.join(test, "own").groupBy("row", "at").agg(F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     reach = F.max("end").over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     by_row = by_row.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("at", F.coalesce(reach, F.lit(0)))))
     told = by_row.groupBy("row").agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.collect_list(F.struct(F.col("at").alias("from"), F.col("end").alias("to")))).alias("spans"))
     told = stored(told, "told")
+    few = told.agg(F.coalesce(F.sum(F.size("spans") * 24 + F.size("items") * 32), F.lit(0))).first()[0] <= MOST_BYTES
     carried = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct("*").alias("doc")] if carry else []))
-    out = carried.select("doc_id", F.concat_ws(":", "doc_id", F.hex(F.xxhash64("text"))).alias("row"), *(["doc"] if carry else []), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = out.join(F.broadcast(told) if few and told.count() <= 50_000 else told, "row", "left")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(UNFOLDED_WORD)), F.lit(0)).cast("long")
+    out = carried.select("doc_id", row.alias("row"), *(["doc"] if carry else []), n_words.alias("n_words"))
+    out = out.join(F.broadcast(told) if few else told, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"), *(["doc"] if carry else []))
