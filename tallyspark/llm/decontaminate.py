@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-A text's fingerprints are the least hashes of its grams of GRAM words in every stretch of `window - GRAM + 1` grams, with the
-place of the first one; two texts that share `window` words in a row share one of them, at one place of those words. Training
+A text's fingerprints are the least hashes of its grams of GRAM words in every stretch of `window - GRAM + 1` grams, with their
+places; two texts that share `window` words in a row share one of them, at one place of those words. Training
 and benchmark fingerprints are joined. Each hit is extended from its place: of the stretches of `window` words that contain the
 gram, those that an item holds word by word are hit. Benchmark items of fewer words are one window: for each such length, all
 grams of that length in the documents are fingerprints.
@@ -18,6 +18,8 @@ repeated documents are judged one by one, repeated items count once; other colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +45,35 @@ def _grams(hashes: Column, n: Column, size: int) -> Column:
     return F.when(last >= 0, made).otherwise(F.array().cast("array<bigint>"))
 
 
-def winnowed(grams: Column, stretch: int) -> Column:
-    """Places of the first least value of every stretch (of all grams, where there are fewer), each once."""
+def _rolling(rows: DataFrame, column: str, width: int, pick: Callable[[Column, Column], Column]) -> DataFrame:
+    """Replaces an array by what `pick` keeps of each `width` neighbours; each step is a column of its own, so that none is computed twice."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        size = F.greatest(F.size(column) - step, F.lit(0))
+        rows = rows.withColumn(column, F.zip_with(F.slice(column, 1, size), F.slice(column, step + 1, size), lambda x, y: pick(x, y)))
+        reach += step
+    return rows
+
 
-    def least(i: Column) -> Column:
-        part = F.slice(grams, i, stretch)
-        return (i + F.array_position(part, F.array_min(part)) - 2).cast("int")
+def winnowed(rows: DataFrame, grams: str, stretch: int) -> DataFrame:
+    """Adds `at`: places of the least values of every stretch of `grams` (arrays of at least `stretch`, or empty).
 
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(grams) - stretch + 1, F.lit(1))), least)
-    return F.when(F.size(grams) > 0, F.array_distinct(some)).otherwise(F.array().cast("array<int>"))
+    A gram is the least of some stretch around it if the greatest of their least values is its own.
+    """
+    rows = _rolling(rows.withColumn("at", F.col(grams)), "at", stretch, F.least)
+    pad = F.array_repeat(F.lit(-(2**63)), stretch - 1)
+    rows = _rolling(rows.withColumn("at", F.concat(pad, "at", pad)), "at", stretch, F.greatest)
+    rows = rows.withColumn("at", F.zip_with(grams, F.slice("at", 1, F.size(grams)), lambda x, y: x == y))
+    return rows.withColumn("at", F.array_compact(F.transform("at", lambda x, i: F.when(x, i))))
 
 
 def fingerprints(rows: DataFrame, key: str, window: int, gram: int, lengths: list[int]) -> DataFrame:
     """key, at, m, h: the fingerprints of windows of `window` words (m: window) and of items of m words."""
     one = rows.select(key, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
     one = one.withColumn("n", F.size("hs")).withColumn("g", F.when(F.col("n") >= window, _grams(F.col("hs"), F.col("n"), gram)).otherwise(F.array().cast("array<bigint>")))
-    g = F.col("g")
-    one = one.withColumn("_at", winnowed(g, window - gram + 1))
-    found = F.transform("_at", lambda i: F.struct(i.alias("at"), F.lit(window).alias("m"), F.get(g, i).alias("h")))
+    one = winnowed(one, "g", window - gram + 1)
+    found = F.transform("at", lambda i: F.struct(i.alias("at"), F.lit(window).alias("m"), F.get("g", i).alias("h")))
     for m in lengths:
         found = F.concat(found, F.transform(_grams(F.col("hs"), F.col("n"), m), lambda h, i: F.struct(i.alias("at"), F.lit(m).alias("m"), h.alias("h"))))  # noqa: B023
     return one.select(key, F.inline(found))
