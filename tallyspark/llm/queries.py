@@ -51,7 +51,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    found = mixing.mix_sources(table(spark, sf_dir, "documents"), copies=True)
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 

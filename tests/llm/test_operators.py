@@ -243,6 +243,81 @@ def test_mixing_overlapping_groups(spark, monkeypatch):
         assert all(taken[m] <= 2 * k for m, k in whole.items())
 
 
+def cheapest(units, groups, quotas):
+    """Least cost of meeting the quotas, word by word along cheapest paths (Bellman-Ford): step k of a pattern's doublings costs k a word."""
+    arcs, end = [], ("end",)
+    for i, u in enumerate(units):
+        top, at, k, width = sum(c for j, _, c in groups if j == i), 0, 0, u
+        while at < top:
+            arcs.append([("start",), ("p", i), min(width, top - at), k])
+            at, k, width = at + width, k + 1, at + width
+    arcs += [[("p", i), ("g", k), c, 0] for k, (i, _, c) in enumerate(groups)] + [[("g", k), ("s", j), c, 0] for k, (_, m, c) in enumerate(groups) for j in m] + [[("s", j), end, q, 0] for j, q in enumerate(quotas)]
+    arcs = [x for a in arcs for x in (a, [a[1], a[0], 0, -a[3]])]
+    cost = flow = 0
+    while True:
+        best, via = {("start",): 0}, {}
+        changed = True
+        while changed:
+            changed = False
+            for e, (a, b, room, c) in enumerate(arcs):
+                if room and a in best and best[a] + c < best.get(b, 1e9):
+                    best[b], via[b], changed = best[a] + c, e, True
+        if end not in best:
+            return flow, cost
+        x = end
+        while x != ("start",):
+            e = via[x]
+            arcs[e][2] -= 1
+            arcs[e ^ 1][2] += 1
+            x = arcs[e][0]
+        flow, cost = flow + 1, cost + best[end]
+
+
+def test_mixing_of_copies(spark):
+    """Copies in several sources: quotas are met by each source's own rows, and texts are repeated as little as can be."""
+    draw = random.Random(8)
+    own = [" ".join(f"{k}w{i}" for i in range(draw.randint(1, 6))) for k in range(14)]
+    rows = [(i, draw.choice(own[: 1 + i % 14]), draw.choice(["a", "b", "b", None])) for i in range(40)] + [(40, "", "a"), (41, None, "b"), (0, own[0], "a"), (None, own[1], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("members", F.lit("clash"))
+    got = mixing.mix_sources(docs, copies=True).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r["size"] for r in got)
+    holders, caps, units = {}, Counter(), Counter()
+    for _, t, s in rows:
+        if t:
+            holders.setdefault(t, set()).add(s)
+    pattern = {t: tuple(sorted(h, key=lambda x: (x is None, x or ""))) for t, h in holders.items()}
+    for t, h in pattern.items():
+        units[h] += len(t.split())
+    for _, t, s in rows:
+        if t:
+            caps[pattern[t], s] += 2 * len(t.split())
+    for h in units:  # texts of one source alone count each row
+        if len(h) == 1:
+            units[h] = caps[h, h[0]] // 2
+    names, known = ["a", "b", None], list(units)
+    sizes = [sum(c for (_, s), c in caps.items() if s == n) // 2 for n in names]
+    quotas = [round(g) for g in mixing.targets(sizes, mixing.WEIGHTS, mixing.SHARE * sum(sizes))]
+    groups = [(known.index(h), [names.index(s)], c) for (h, s), c in caps.items()]
+    want = cheapest([units[h] for h in known], groups, quotas)
+    taken = Counter()
+    for r in got:
+        taken[tuple(r.pattern)] += r.taken
+    cost = 0
+    for h, f in taken.items():
+        at, k, width = 0, 0, units[h]
+        while width and at < f:
+            cost += k * min(width, f - at)
+            at, k, width = at + width, k + 1, at + width
+    assert (sum(taken.values()), cost) == want and sum(quotas) == want[0]
+    per = Counter()
+    source = {r[0]: r[2] for r in rows if r[0] not in (0, None)}
+    for r in got:
+        if r.doc_id in source:
+            per[source[r.doc_id]] += r.taken
+    rest = sum(r.taken for r in got if r.doc_id in (0, None))
+    assert sum(per.values()) + rest == sum(quotas) and all(per[n] <= q <= per[n] + rest for n, q in zip(names, quotas))
+
+
 def test_quality_rules(docs, labels):
     got = rows_of(quality_rules.quality_verdicts(docs, labels))
     for i, t in enumerate(texts()):
