@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole."""
-    mixed = mixing.mix_sources(docs, carry=True).where("times > 0")
+    mixed = mixing.mix_sources(docs, carry=True, copies=True).where("times > 0")
     return mixed.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
 
 
