@@ -17,9 +17,9 @@ prefix filter on their full sets; so no link inside a bucket is lost, and thousa
 below the threshold are not paired at all unless they share rare shingles.
 
 Nulls and odd input: a null text, or one without words, has an empty set and is linked with nothing; a text of fewer words
-than a shingle is one shingle; a row with a null id is not linked and keeps a null component; repeated rows of an id are one
-document if their texts agree, else the union of both is judged through the shared id; other columns are ignored; an empty
-table gives an empty result.
+than a shingle is one shingle; a row with a null id links nothing, has a null component and is kept; rows of one id are one
+document: each of their texts is judged by itself, and what any of them is linked with is linked with the id; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .shared import byte_codes, mix, row_slices, stored, text_view
 
 REGISTERS, MANTISSA, ROWS, BANDS, EMPTY = 384, 10, 8, 48, 0xFFFF
 SLICE_BYTES, SLOTS, BLOCKS = 1 << 19, 1 << 23, 1024
+#: Fixed value of the method: unlike registers of sets of one size agree with this chance over 2**MANTISSA.
+COLLISION = 0.339838974
 #: Up to this many candidate ids (8 bytes each) are broadcast to pick their texts; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +101,14 @@ def registers(own: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
     return np.where(least == 2**52, EMPTY, short).astype(np.uint16).reshape(rows, REGISTERS)
 
 
+def set_marks(own: np.ndarray, hashes: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Two 64-bit sums over the set of each row: a fingerprint that does not depend on order."""
+    sums = [np.zeros(rows, np.uint64) for _ in range(2)]
+    for k, out in enumerate(sums):
+        np.add.at(out, own, mix(hashes + np.uint64(0x1234567 * (k + 1))))
+    return [x.view(np.int64) for x in sums]
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (128-bit fingerprint of the set), bits_a, bits_b (a bit of 128 registers), sketch (binary; null for an empty set)."""
 
@@ -110,13 +120,11 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 cut = offsets[a : b + 1]
                 own, found = shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
                 n = np.bincount(own, minlength=b - a)
-                sums = [np.zeros(b - a, np.uint64) for _ in range(2)]
-                for k, out in enumerate(sums):
-                    np.add.at(out, own, mix(found + np.uint64(0x1234567 * (k + 1))))
+                sums = set_marks(own, found, b - a)
                 sketch = registers(own, found, b - a)
                 bits = np.packbits(mix(filled(sketch)[:, :128].astype(np.uint64)) >> np.uint64(63) == 1, axis=1).view(np.int64)
                 blobs = pa.array([row.tobytes() if some else None for row, some in zip(sketch, n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), blobs], ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits[:, 0]), pa.array(bits[:, 1]), blobs], ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, sketch binary")
 
@@ -149,16 +157,16 @@ def _banded(classes: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(band_keys(sketch)), pa.list_(pa.int64()))], ["doc_id", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(band_keys(sketch)), pa.list_(pa.int64()))], ["node", "keys"])
 
-    keyed = classes.select("doc_id", "sketch").mapInArrow(run, "doc_id long, keys array<long>")
-    return keyed.select(F.explode("keys").alias("key"), "doc_id")
+    keyed = classes.select("node", "sketch").mapInArrow(run, "node long, keys array<long>")
+    return keyed.select(F.explode("keys").alias("key"), "node")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     """Pairs whose sketches do not rule the threshold out."""
-    left = classes.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = classes.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
+    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
+    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +174,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
                 used = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
                 same = ((x == y) & (x != EMPTY)).sum(axis=1)
-                chance = 0.34 / (1 << MANTISSA)  # that two unlike registers agree in their short form
+                # that two unlike registers agree in their short form: less for sets of unlike sizes, whose leading zeros differ
+                n, m = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
+                chance = COLLISION / (1 << MANTISSA) * 4 * n * m / (n + m) ** 2
                 guess = (same / used - chance) / (1 - chance)
                 keep = guess >= share - 6 * np.sqrt(share * (1 - share) / used) - 1e-9
                 yield batch.filter(pa.array(keep)).select(["a", "b"])
@@ -174,26 +184,31 @@ def _likely(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, found (the sorted 64-bit shingles as binary) of the documents of `ids` (stored, distinct)."""
-    chosen = docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node, found (the sorted 64-bit shingles as binary) of the classes of `ids` (stored, distinct nodes), from the text that stands for each."""
+    few = ids.count() <= MOST_BROADCAST
+    wanted = classes.join(F.broadcast(ids) if few else ids, "node").select("node", "doc_id", F.col("set_a").alias("want_a"), F.col("set_b").alias("want_b"))
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "want_a", "want_b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_view(batch.column("text"))
+            want = [batch.column(c).to_numpy() for c in ("want_a", "want_b")]
             for a, b in row_slices(offsets, SLICE_BYTES):
                 cut = offsets[a : b + 1]
                 own, found = shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
                 parts = np.split(found, np.cumsum(np.bincount(own, minlength=b - a))[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "found"])
+                same = np.logical_and(*[x == y[a:b] for x, y in zip(set_marks(own, found, b - a), want)])
+                part = pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], ["node", "found"])
+                yield part.filter(pa.array(same))  # an id may have other texts besides
 
-    return stored(chosen.mapInArrow(run, "doc_id long, found binary").groupBy("doc_id").agg(F.max("found").alias("found")), "sets")
+    return stored(chosen.mapInArrow(run, "node long, found binary").dropDuplicates(["node"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs with 100 * |intersection| >= percent * |union| of their full sets."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
-    every = _sets(ids, docs, size)
+    ids = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidates")
+    every = _sets(ids, classes, docs, size)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,17 +220,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                 keep.append(inter > 0 and 100 * inter >= percent * (len(both) - inter))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    full = pairs.join(every.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), "a").join(every.select(F.col("doc_id").alias("b"), F.col("found").alias("y")), "b")
+    full = pairs.join(every.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(every.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     return full.mapInArrow(judge, "a long, b long")
 
 
-def _prefix_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """rows: doc_id, n, c. All pairs of different c that can reach the threshold, by prefix filtering: in one order of all
+def _prefix_pairs(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """rows: node, n, c. All pairs of different c that can reach the threshold, by prefix filtering: in one order of all
     shingles, rare ones first, the shorter set's first n - ceil(2t / (1 + t) n) + 1 shingles and the longer one's first
     n - ceil(t n) + 1 must share one, early enough to reach the overlap. Rarity is read from a table of SLOTS counters of a byte, the only thing that reaches the driver;
     any order is right, a good one gives few pairs.
     """
-    found = _sets(stored(rows.select("doc_id"), "open"), docs, size)
+    found = _sets(stored(rows.select("node"), "open"), classes, docs, size)
     share = percent / 100
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +262,11 @@ def _prefix_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) ->
                 short.append(x[: len(x) - int(np.ceil(2 * share / (1 + share) * len(x) - 1e-9)) + 1])
                 long.append(x[: len(x) - int(np.ceil(share * len(x) - 1e-9)) + 1])
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(short, kind), pa.array(long, kind)], ["doc_id", "short", "long"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, kind), pa.array(long, kind)], ["node", "short", "long"])
 
-    heads = stored(found.mapInArrow(cut, "doc_id long, short array<long>, long array<long>").join(rows, "doc_id"), "prefixes")
-    low = heads.select(F.posexplode("short").alias("i", "h"), F.col("doc_id").alias("p"), F.col("n").alias("n_p"), F.col("c").alias("c_p"))
-    high = heads.select(F.posexplode("long").alias("j", "h"), F.col("doc_id").alias("q"), F.col("n").alias("n_q"), F.col("c").alias("c_q"))
+    heads = stored(found.mapInArrow(cut, "node long, short array<long>, long array<long>").join(rows, "node"), "prefixes")
+    low = heads.select(F.posexplode("short").alias("i", "h"), F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("c").alias("c_p"))
+    high = heads.select(F.posexplode("long").alias("j", "h"), F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("c").alias("c_q"))
     ordered = (F.col("n_p") < F.col("n_q")) | ((F.col("n_p") == F.col("n_q")) & (F.col("p") < F.col("q")))
     # of a pair's first common shingle, at i and j, at most the rest of both sets can be common
     reach = F.least(F.col("n_p") - F.col("i"), F.col("n_q") - F.col("j")) * (100 + percent) >= percent * (F.col("n_p") + F.col("n_q"))
@@ -286,33 +301,45 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row: id, n_shingles, component_id (least id reachable through links), kept (component_id is the own id)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = stored(sketches(own, size), "sketches")
+    every = stored(sketches(own, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = every.where("sketch is not null and doc_id is not null")
-    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, "classes")
+    # a class is a set; its node is a number of its own, as one id may have several sets
+    alike = ["set_a", "set_b", "n_shingles"]
+    classes = some.groupBy(*alike).agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.select("*", "first.doc_id", F.col("first.row").alias("node")).drop("first"), "classes")
     keys = _banded(classes)
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    short = classes.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.col("bits_a").alias("x"), F.col("bits_b").alias("y"))
-    open_rows = stored(keys.join(shared, "key").join(short, "doc_id"), "bands")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    short = classes.select("node", F.col("n_shingles").cast("int").alias("n"), F.col("bits_a").alias("x"), F.col("bits_b").alias("y"))
+    open_rows = stored(keys.join(shared, "key").join(short, "node"), "bands")
     unlike = F.bit_count(F.col("x").bitwiseXOR(F.col("x_a"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("y_a")))
     least_n, mean = F.least("n", "n_a"), 64 * (1 - percent / 100)
-    alike = (least_n < 64) | (unlike <= F.when(least_n < 400, int(mean + 27)).otherwise(int(mean + 20)))
-    centres = open_rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "x", "y")).alias("s"))
-    centres = centres.select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("n_a"), F.col("s.x").alias("x_a"), F.col("s.y").alias("y_a"))
-    stars = open_rows.join(centres, "key").where((F.col("a") < F.col("doc_id")) & (100 * least_n >= percent * F.greatest("n", "n_a")) & alike)
-    tried = stored(_likely(stars.select("a", F.col("doc_id").alias("b")).distinct(), classes, percent / 100), "pairs")
-    links = stored(_confirmed(tried, own, size, percent), "links")
+    near = (least_n < 64) | (unlike <= F.when(least_n < 400, int(mean + 27)).otherwise(int(mean + 20)))
+    centres = open_rows.groupBy("key").agg(F.min(F.struct("node", "n", "x", "y")).alias("s"))
+    centres = centres.select("key", F.col("s.node").alias("a"), F.col("s.n").alias("n_a"), F.col("s.x").alias("x_a"), F.col("s.y").alias("y_a"))
+    stars = open_rows.join(centres, "key").where((F.col("a") < F.col("node")) & (100 * least_n >= percent * F.greatest("n", "n_a")) & near)
+    tried = stored(_likely(stars.select("a", F.col("node").alias("b")).distinct(), classes, percent / 100), "pairs")
+    links = stored(_confirmed(tried, classes, own, size, percent).unionByName(_same_id(some, classes, alike)), "links")
     label = stored(components(links), "labels")
-    rows = open_rows.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id"))
+    rows = open_rows.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
     split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = stored(rows.join(split, "key").select("doc_id", "n", "c").distinct(), "open")
+    rest = stored(rows.join(split, "key").select("node", "n", "c").distinct(), "open")
     if not rest.isEmpty():
-        pairs = _prefix_pairs(rest, own, size, percent).join(tried, ["a", "b"], "left_anti")
-        more = _confirmed(stored(_likely(pairs, classes, percent / 100), "pairs"), own, size, percent)
+        pairs = _prefix_pairs(rest, classes, own, size, percent).join(tried, ["a", "b"], "left_anti")
+        more = _confirmed(stored(_likely(pairs, classes, percent / 100), "pairs"), classes, own, size, percent)
         label = stored(components(stored(links.unionByName(more), "links")), "labels")
-    # a class has the component of its representative
-    named = classes.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("least"))
-    named = named.join(label, F.col("least") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "least").alias("least"))
-    out = every.join(named, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    # a component has the least id of its classes, and a class the component of its node
+    linked = classes.select(*alike, "doc_id", "node").join(label, "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = classes.select(*alike, "doc_id", "node").join(linked.select("node", "component").join(least, "component"), "node", "left")
+    out = every.join(named.select(*alike, F.coalesce("least", "doc_id").alias("least")), alike, "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _same_id(rows: DataFrame, classes: DataFrame, alike: list[str]) -> DataFrame:
+    """Links a, b between the classes of ids that have several."""
+    sets = rows.groupBy("doc_id").agg(F.min(F.struct(*alike)).alias("low"), F.max(F.struct(*alike)).alias("high")).where("low <> high").select("doc_id")
+    several = stored(rows.select("doc_id", *alike).join(sets, "doc_id").distinct(), "several")
+    nodes = several.join(classes.select(*alike, "node"), alike).select(F.col("doc_id"), "node")
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return nodes.join(first, "doc_id").where("a < node").select("a", F.col("node").alias("b"))

@@ -117,6 +117,15 @@ def test_near_dedup(docs, size, percent):
     assert all(r.kept == (r.component_id == i) for i, r in got.items()) and near_dedup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(80)]
+    a, a2, b = " ".join(base), " ".join(["edit", *base[1:]]), " ".join(f"v{i}" for i in range(80))
+    b2 = " ".join(["edit", *b.split()[1:]])
+    rows = [(1, a), (5, b), (5, a2), (7, b2), (9, "else"), (9, "else"), (11, ""), (11, b2), (None, a), (None, "else"), (None, None)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in EXTRA}), 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True)] * 3 + [(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True), (9, 9, True), (11, 1, False), (11, 11, True)]
+
+
 def test_near_dedup_many_copies(spark):
     draw = random.Random(3)
     base = [f"w{i}" for i in range(60)]
