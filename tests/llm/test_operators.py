@@ -344,13 +344,57 @@ def test_quality_rules(docs, labels):
     assert quality_rules.quality_verdicts(docs.limit(0), labels).count() == 0 and quality_rules.quality_verdicts(docs, labels.limit(0)).count() == len(texts())
 
 
-def test_exact_binomial(spark):
-    from math import comb
+def at_most(k, n, p):
+    from math import exp, lgamma, log
+
+    terms = [lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log(1 - p) for j in range(k + 1)]
+    return sum(exp(t) for t in terms)
+
 
-    cases = [(0, 10), (3, 50), (20, 400), (5, 5)]
+def test_exact_binomial(spark):
+    cases = [(0, 10), (3, 50), (20, 400), (5, 5), (49_000, 1_000_000), (150, 4000)]
     got = spark.createDataFrame(cases, "k int, n int").select("k", "n", quality_rules.binomial_at_most(F.col("k"), F.col("n"), 0.05).alias("p")).collect()
     for r in got:
-        assert abs(r.p - sum(comb(r.n, j) * 0.05**j * 0.95 ** (r.n - j) for j in range(r.k + 1))) < 1e-9
+        want = at_most(r.k, r.n, 0.05) if r.k < r.n else 1.0
+        assert abs(r.p - want) < 1e-9 + 1e-6 * want
+
+
+def brute_cutoffs(rows, risk, delta):
+    """rows: stratum, good, half, base_failed, measures. {(stratum, rule): cutoff} as the method says."""
+    grid, chains, out = quality_rules.GRID, {}, {}
+    for s in {r["stratum"] for r in rows}:
+        own, found = [r for r in rows if r["stratum"] == s and r["half"] == 0 and not r["base_failed"]], []
+        for rule, cuts in grid.items():
+            n = sum(r["good"] for r in own)
+            tries = [(sum(r["good"] and r[rule] > c for r in own), sum(not r["good"] and r[rule] > c for r in own), c) for c in cuts]
+            tries = [(bad - k, -k, c) for k, bad, c in tries if bad > k and k <= risk * n]
+            if tries:
+                found.append((max(tries), rule))
+        if found:
+            chains[s] = [(rule, t[2]) for t, rule in sorted(found, key=lambda x: (-x[0][0], -x[0][1], x[1]))]
+    tests = sum(map(len, chains.values()))
+    for s, chain in chains.items():
+        own, best = [r for r in rows if r["stratum"] == s and r["half"] == 1], None
+        for last in range(1, len(chain) + 1):
+            gone = [r["good"] for r in own if r["base_failed"] or any(r[rule] > c for rule, c in chain[:last])]
+            n, k = sum(r["good"] for r in own), sum(gone)
+            if k <= risk * n and own and at_most(k, n, risk) * tests <= delta:
+                best = max(best or (-(10**9), 0), (len(gone) - 2 * k, -last))
+        out |= {(s, rule): c for rule, c in chain[: -best[1]]} if best else {}
+    return out
+
+
+@pytest.mark.parametrize("n,spread", [(6000, 0.2), (4000, 0.6), (30, 0.2)])
+def test_cutoffs_by_brute_force(spark, n, spread):
+    draw = random.Random(n)
+    rows = []
+    for k in range(n):
+        good = draw.random() < 0.7
+        r = {"stratum": draw.choice(["a", "b", "c"]), "good": good, "half": draw.randint(0, 1), "base_failed": draw.random() < (0.002 if good else 0.2)}
+        rows.append(r | {m: min(1.0, abs(draw.gauss(0, 0.02 if good and draw.random() > 0.004 else spread))) for m in quality_rules.GRID})
+    labelled = spark.createDataFrame(rows, "stratum string, good boolean, half int, base_failed boolean, " + ", ".join(f"{m} double" for m in quality_rules.GRID))
+    got = {(r.stratum, r.rule): r.cutoff for r in quality_rules.choose_cutoffs(labelled).collect()}
+    assert got == brute_cutoffs(rows, 0.05, 0.05) and bool(got) == (n > 100)
 
 
 def test_learnt_cutoffs_reject_marked_junk(spark):
@@ -360,6 +404,20 @@ def test_learnt_cutoffs_reject_marked_junk(spark):
     marked = own.select("doc_id", (F.col("doc_id") < 400).cast("int").alias("quality"))
     got = quality_rules.quality_verdicts(own, marked)
     assert got.where("doc_id >= 400 and kept").count() == 0 and got.where("doc_id < 400 and not kept").count() == 0
+    assert [(r.reason, r["count"]) for r in got.select(F.explode("reasons").alias("reason")).groupBy("reason").count().collect()] == [("symbol_share", 40)]
+
+
+def test_the_bound_holds_for_the_verdict(spark):
+    """Four rules that each take 2 % of the good documents: no more of them apply than stay below 5 % together."""
+    def text(i, kind):
+        w = [f"w{i + j}" for j in range(40)]
+        return {0: " ".join(x + "**" for x in w), 1: " ".join(w).upper(), 2: "!! ".join(w), 3: " ".join(x for w2 in w for x in (w2, w2)), None: " ".join(w)}[kind]
+
+    kinds = [k // 40 if k < 4 * 40 else None for k in range(2000)]
+    rows = [(i, text(i, k), "en", 1) for i, k in enumerate(kinds)] + [(2000 + i, text(i, i % 4), "en", 0) for i in range(400)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = quality_rules.quality_verdicts(own.drop("quality"), own.select("doc_id", "quality"))
+    assert got.where("doc_id < 2000 and not kept").count() <= 100 and got.where("doc_id >= 2000 and not kept").count() >= 90
 
 
 SECRETS = [(re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16)]
