@@ -16,7 +16,6 @@ from tallyspark.llm.shared import stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     judged = quality_rules.quality_verdicts(docs, table(spark, sf_dir, "labels"), carry=True)
-    judged = stored(judged, "judged")  # else the filter would repeat every measure inside the scan's condition
     return judged.where("kept").select("doc.*")
 
 
