@@ -37,21 +37,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    folders: columns whose values get folders of their own.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_join(rows: DataFrame, side: DataFrame, key: str, n: str = "n") -> DataFrame:
+def hot_join(rows: DataFrame, side: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
     """`rows` (stored) joined with `side` (stored; one row for each key, with the number `n` of rows that hold it), without `n`.
 
     Keys of a thousandth of all rows, so at most 1,000 of them, are broadcast; the others are shuffled, none of them large.
     """
     bar = side.agg((F.coalesce(F.sum(n), F.lit(0)) / 1000).cast("long")).first()[0]
     hot = F.broadcast(side.where(F.col(n) > bar).drop(n))
-    cold = rows.join(hot.select(key), key, "left_anti").join(side.where(F.col(n) <= bar).drop(n), key)
+    cold = rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(side.where(F.col(n) <= bar).drop(n), key)
     return rows.join(hot, key).unionByName(cold)
 
 

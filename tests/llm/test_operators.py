@@ -184,6 +184,14 @@ def test_line_dedup(docs, batches, fan):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeated_ids_and_many_lines(spark):
+    many = "\n".join(f"a line number {i}" for i in range(20_000))
+    rows = [(1, many), (2, many + "\nsomething of its own"), (3, "A repeated line\nx"), (3, "y\nA repeated line"), (4, "a repeated line"), (None, "A repeated line"), (None, None)]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 10, 3, 2).collect()
+    found = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept if len(r.kept) < 99 else "long") for r in got)
+    assert found == [(0, 1, 0, ""), (0, 1, 1, ""), (1, 20000, 0, "long"), (2, 20001, 20000, "something of its own"), (3, 2, 0, "A repeated line\nx"), (3, 2, 0, "y\nA repeated line"), (4, 1, 1, "")]
+
+
 def test_quality_classifier(spark, docs, labels):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     got = rows_of(quality_classifier.quality_scores(docs, labels, held))
