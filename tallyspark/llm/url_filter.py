@@ -1,12 +1,17 @@
 """URL filters: ordered host/path rules, then exact list membership by a Bloom filter cascade.
 
-A cascade alternates Bloom filters over the complete key universe (the distinct hosts of the corpus): level 1 encodes the
-listed keys, level 2 the unlisted keys that level 1 lets through, level 3 the listed keys that level 2 lets through, and
-so on until nothing passes wrongly. A key is listed if the first level that rejects it is an even one. Over the universe
-this is exact, and pages are judged without a join: the filters are scalar subqueries of checked size.
-
-Nulls and odd input: a null url, or one without `://`, has empty host and path, fits no rule and is not listed. Repeated
-pages are each judged. An empty table gives an empty result. Other columns of the input are ignored.
+The list is a table of hosts and of labels (what `.` and `-` cut a host into); a host is listed if it or one of its labels is on
+it, which one join over the distinct hosts tells. A cascade alternates Bloom filters over this complete key universe (the distinct
+hosts of the corpus): level 1 encodes the listed keys, level 2 the unlisted keys that level 1 lets through, level 3 the listed keys
+that level 2 lets through, and so on until nothing passes wrongly. A key is listed if the first level that rejects it is an even
+one. Over the universe this is exact, and pages are judged without a join: the filters are scalar subqueries of checked size.
+
+The universe is dealt by hash into shards with a cascade each, so that no filter is longer than SHARD_BITS. All filters together
+are broadcast, so they have a bound, MOST_BITS (some 10 million listed hosts); beyond it pages are joined to the universe by host.
+
+Nulls and odd input: a null url, or one without `://`, has empty host and path, fits no rule and is not listed; null and empty
+keys of the list mean nothing, repeated ones count once. Repeated pages are each judged. An empty table gives an empty result,
+an empty list lists nothing. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import LOWER, UPPER, stored
@@ -22,10 +27,10 @@ from .shared import LOWER, UPPER, stored
 #: (host, path, verdict).
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Words that put a host on the list when one of its labels, cut at `-`, is such a word.
+#: The default list.
 LISTED_WORDS = ("ads", "adult", "bet", "bets", "casino", "pharma", "phish", "pills", "poker", "porn", "spam", "track", "tracker", "viagra", "warez", "xxx")
-#: The filters of one cascade stay below this many bits together; above it, judge() shards by a join on the shard number.
-MOST_BITS = 1 << 26
+#: The longest filter, and all filters of all shards together.
+SHARD_BITS, MOST_BITS = 1 << 24, 1 << 28
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -85,6 +90,13 @@ class Cascade:
         return out
 
 
+def _shape(inside: int, outside: int, level: int) -> tuple[int, int]:
+    """(hashes, bits) of a level."""
+    rate = 0.5 if level else min(0.5, max(1e-6, math.sqrt(inside / max(1, outside) / 2)))
+    hashes = max(1, round(-math.log2(rate)))
+    return hashes, 64 * max(1, math.ceil(inside * hashes / math.log(2) / 64))
+
+
 def build_cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade:
     """universe: key (distinct, not null), listed (boolean). Raises ValueError if the filters would exceed `most_bits`.
 
@@ -95,12 +107,10 @@ def build_cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade:
     sizes, levels, spent = [n["a"], n["b"]], [], 0
     while sizes[0]:
         level = len(levels)
-        rate = 0.5 if level else min(0.5, max(1e-6, math.sqrt(sizes[0] / max(1, sizes[1]) / 2)))
-        hashes = max(1, round(-math.log2(rate)))
-        bits = 64 * max(1, math.ceil(sizes[0] * hashes / math.log(2) / 64))
+        hashes, bits = _shape(*sizes, level)
         spent += bits
         if spent > most_bits:
-            raise ValueError(f"the cascade needs over {most_bits} bits; shard the universe first")
+            raise ValueError(f"the cascade needs over {most_bits} bits")
         words = stored(_filter(inside, level, hashes, bits), "cascade")
         levels.append((words, hashes, bits))
         passing = outside.where(_holds(F.col("key"), words.scalar(), level, hashes, bits))
@@ -109,23 +119,62 @@ def build_cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade:
     return Cascade(levels)
 
 
-def listed_hosts(hosts: DataFrame, words: Sequence[str] = LISTED_WORDS) -> DataFrame:
-    """hosts: key. Adds `listed`: one of the host's labels, cut at `-`, is a listed word."""
-    return hosts.select("key", F.col("key").rlike(rf"(^|[.-])({'|'.join(words)})($|[.-])").alias("listed"))
+class Shards:
+    """A cascade for each shard of the universe."""
+
+    def __init__(self, cascades: list[Cascade]):
+        self.cascades = cascades
+
+    def contains(self, key: Column) -> Column:
+        """Is a key of the universe listed? Exact; no join."""
+        out = self.cascades[0].contains(key)
+        for i, cascade in enumerate(self.cascades[1:], 1):
+            out = F.when(_shard(key, len(self.cascades)) == i, cascade.contains(key)).otherwise(out)
+        return out
+
+
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards)).cast("int")
+
+
+def build_shards(universe: DataFrame, shard_bits: int = SHARD_BITS, most_bits: int = MOST_BITS) -> Shards:
+    """universe: key (distinct, not null), listed (stored). As many shards as keep each first filter to about `shard_bits`."""
+    n = universe.agg(F.count_if("listed").alias("a"), F.count_if(~F.col("listed")).alias("b")).first()
+    shards = max(1, math.ceil(_shape(n["a"], n["b"], 0)[1] / shard_bits)) if n["a"] else 1
+    if shards > max(1, most_bits // shard_bits):
+        raise ValueError(f"the filters need over {most_bits} bits")
+    if shards == 1:
+        return Shards([build_cascade(universe, most_bits)])
+    dealt = stored(universe.withColumn("shard", _shard(F.col("key"), shards)), "shards", "shard")
+    return Shards([build_cascade(dealt.where(F.col("shard") == i).drop("shard"), most_bits) for i in range(shards)])
+
+
+def keys_of(host: Column) -> Column:
+    """The host and its labels, cut at `.` and `-`, without empty ones."""
+    return F.array_distinct(F.filter(F.concat(F.array(host), F.split(host, "[.-]", -1)), lambda k: k != ""))
+
+
+def word_list(spark: SparkSession, words: Sequence[str] = LISTED_WORDS) -> DataFrame:
+    """A list as a table: key."""
+    return spark.createDataFrame([(w,) for w in words], "key string")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, words: Sequence[str] = LISTED_WORDS, id_col: str = "page_id", url_col: str = "url", most_bits: int = MOST_BITS) -> DataFrame:
-    """Every page: id, host, path, rule (null if none fits), verdict (the rule's, else block if the host is listed), listed.
+def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", shard_bits: int = SHARD_BITS, most_bits: int = MOST_BITS) -> DataFrame:
+    """Every page: id, host, path, rule (null if none fits), verdict (the rule's, else block if it is listed), listed.
 
-    Should the list outgrow `most_bits`, hosts are judged by a join on the host instead of the cascade.
+    listed: a table with the column key (hosts or labels); default: the words of LISTED_WORDS.
     """
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    universe = stored(listed_hosts(parts.select(F.col("host").alias("key")).distinct(), words), "hosts")
+    hosts = stored(parts.select("host").distinct(), "hosts")
+    names = (word_list(pages.sparkSession) if listed is None else listed).select(F.col("key").cast("string").alias("key")).distinct()
+    hit = hosts.select("host", F.explode(keys_of(F.col("host"))).alias("key")).join(names, "key").select("host").distinct()
+    universe = hosts.join(hit.withColumn("found", F.lit(True)), "host", "left")
+    universe = stored(universe.select(F.col("host").alias("key"), F.coalesce("found", F.lit(False)).alias("listed")), "universe")
     try:
-        judged = parts.withColumn("listed", build_cascade(universe, most_bits).contains(F.col("host")))
+        judged = parts.withColumn("listed", build_shards(universe, shard_bits, most_bits).contains(F.col("host")))
     except ValueError:
-        judged = parts.join(universe.withColumnRenamed("key", "host"), "host", "left")
+        judged = parts.join(universe.withColumnRenamed("key", "host"), "host")
     rule, verdict = first_rule(F.col("host"), F.col("path"), rules)
     fallback = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, fallback).alias("verdict"), "listed")

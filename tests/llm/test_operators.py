@@ -58,14 +58,26 @@ def test_url_filter(spark):
     assert by[12].host == "b:" and url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
-def test_cascade_is_exact_and_falls_back(spark):
+def test_cascade_is_exact(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     cascade = url_filter.build_cascade(universe)
     assert len(cascade.levels) > 1 and universe.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
     with pytest.raises(ValueError):
         url_filter.build_cascade(universe, most_bits=64)
-    pages = universe.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://casino."), "key").alias("url"))
-    assert url_filter.judge_urls(pages, most_bits=64).where("not listed").count() == 0
+
+
+@pytest.mark.parametrize("shard_bits,most_bits", [(1 << 24, 1 << 28), (1024, 1 << 28), (64, 128)])
+def test_url_list(spark, shard_bits, most_bits):
+    """A list of hosts and labels by one cascade, by several shards, and by the join beyond the bound."""
+    hosts = [f"h{i}.site-{i % 50}.org" for i in range(1500)] + ["", "plain", "spam.org"]
+    names = [f"h{i}.site-{i % 50}.org" for i in range(0, 1500, 3)] + ["site", "spam", "site", None, "", "not there"][1:] + ["7"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    listed = spark.createDataFrame([(n,) for n in names], "key string")
+    got = rows_of(url_filter.judge_urls(pages, listed, shard_bits=shard_bits, most_bits=most_bits), "page_id")
+    known = {n for n in names if n}
+    for i, h in enumerate(hosts):
+        assert got[i].listed == bool(known & ({h} | set(re.split("[.-]", h)))) and got[i].verdict == ("block" if got[i].listed else "allow")
+    assert not any(r.listed for r in url_filter.judge_urls(pages, listed.limit(0)).collect())
 
 
 def brute_repeats(docs, size):
