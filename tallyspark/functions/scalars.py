@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ MISSING = ("", "nan", "none", "null", "na", "n/a")
 TRUE, FALSE = ("true", "1", "yes", "y", "t"), ("false", "0", "no", "n", "f")
 
 
+#: Words that begin the extent of a place, and words that belong to names in any case.
+EXTENT_MARKERS = ("CD Block", "CD Blocks", "C.D. Block", "C.D. Blocks", "Mandal", "Mandals", "Gram Panchayat", "Gram Panchayats", "Ward", "Wards", "DMC", "Tehsil", "Tehsils", "Taluk", "Taluks", "Block", "Blocks", "Nagar Parishad", "Nagar Palika", "Nagar", "Including", "Comprising", "Revenue", "Circle", "Town", "Village", "Area", "Entire", "Part of", "P.S.", "M.C.", "M.P.", "District", "Assembly Constituency")
+NAME_WORDS = ("AND", "CUM", "PUR", "NAGAR", "RURAL", "URBAN", "NORTH", "SOUTH", "EAST", "WEST", "CITY", "CANTONMENT", "SADAR")
+
+
 def squash_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -41,7 +47,9 @@ def from_map(c: Column, pairs: Mapping[str, str]) -> Column:
 
 
 def normalise_party(c: Column, aliases: Mapping[str, str]) -> Column:
-    """Alias, else a short token (at most 15 characters, no blank) as it is, else PARTY_ and 40 characters of the slug."""
+    """Upper-cased and squashed: its alias, else a short token (at most 15 characters, no blank) as it is, else PARTY_ and 40
+    characters of the slug."""
+    c = squash_ws(F.upper(c))
     short = (F.char_length(c) <= 15) & ~c.contains(" ")
     return F.coalesce(from_map(c, aliases), F.when(short, c).otherwise(F.concat(F.lit("PARTY_"), F.substring(slug(c), 1, 40))))
 
@@ -50,8 +58,9 @@ def candidate_id(period: Column, region: Column, contest: Column, party: Column,
     return F.concat_ws("_", F.lit("CAND"), period.cast("string"), slug(region), slug(contest), slug(party), slug(name))
 
 
-def norm_key(c: Column, ampersand: bool = True, reservation: bool = True, dash: bool = True) -> Column:
-    """Upper-case key: `&` to AND, dashes and slashes to blanks, (SC), (ST), (GEN) dropped, white space squashed."""
+def norm_key(c: Column, ampersand: bool = True, reservation: bool = True, dash: bool = True, punctuation: bool = False) -> Column:
+    """Upper-case key: `&` to AND, dashes and slashes to blanks, (SC), (ST), (GEN) dropped, other signs to blanks on request,
+    white space squashed."""
     out = F.upper(c)
     if ampersand:
         out = F.regexp_replace(out, "&", " AND ")
@@ -59,6 +68,8 @@ def norm_key(c: Column, ampersand: bool = True, reservation: bool = True, dash:
         out = F.regexp_replace(out, r"\((SC|ST|GEN)\)", " ")
     if dash:
         out = F.regexp_replace(out, r"[-/–—]", " ")
+    if punctuation:
+        out = F.regexp_replace(out, r"[^A-Z0-9]+", " ")
     return squash_ws(out)
 
 
@@ -88,6 +99,18 @@ def short_name(c: Column, markers: Sequence[str] = ("PART", "EXCLUDING", "INCLUD
     return F.trim(F.regexp_extract(first, rf"^((?:[A-Z][\w.'-]*\s*){{1,{words}}})", 1))
 
 
+def extent_name(c: Column, markers: Sequence[str] = EXTENT_MARKERS, keepers: Sequence[str] = NAME_WORDS, words: int = 6, most: int = 60) -> Column:
+    """The name that stands before its extent: without reservation mark, cut at a marker word and, if what is before it is at most
+    `most` long, at the first comma; then its first word and the capitalised or keeper words after it, at most `words` in all."""
+    text = squash_ws(F.regexp_replace(c, r"(?i)\((SC|ST|GEN)\)", " "))
+    marked = "|".join(m.replace(".", r"\.") for m in markers)
+    text = F.regexp_replace(text, rf"(?i)\s+(?:{marked})(?!\w).*$", "")
+    head = F.trim(F.get(F.split(text, ","), F.lit(0)))
+    text = F.when((head != "") & (F.char_length(head) <= most), head).otherwise(text)
+    name = F.regexp_extract(text, rf"^\S+(?:\s+(?:(?i:{'|'.join(keepers)})(?=\s|$)|\p{{Lu}}\S*)){{0,{words - 1}}}", 0)
+    return F.regexp_replace(name, r"^[ .,-]+|[ .,-]+$", "")
+
+
 def null_tokens(c: Column, tokens: Sequence[str] = MISSING) -> Column:
     return F.when(~F.lower(F.trim(c)).isin(*tokens), F.trim(c))
 
@@ -168,6 +191,18 @@ def signed_points(c: Column, digits: int = 1) -> Column:
     return F.format_string(f"%+.{digits}f points", c)
 
 
+def sentence(template: str, *parts: Column) -> Column:
+    """The template with its parts; null if one is."""
+    whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
+    return F.when(whole, F.format_string(template, *parts))
+
+
+def swing_sentence(name: str, c: Column, flat: float = 0.05, digits: int = 1) -> Column:
+    """`name` rose or fell by so many points, or was stable within `flat`; null stays null."""
+    by = F.format_string(f"%.{digits}f points", F.abs(c))
+    return F.when(F.abs(c) <= flat, F.lit(f"{name} was stable.")).when(c > 0, F.concat(F.lit(f"{name} rose by "), by, F.lit("."))).when(c < 0, F.concat(F.lit(f"{name} fell by "), by, F.lit(".")))
+
+
 def template_text(*parts: Column) -> Column:
     """The non-null sentences, joined by blanks."""
     return F.concat_ws(" ", *parts)

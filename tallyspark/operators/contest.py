@@ -132,8 +132,9 @@ def mode(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> Da
     return counts.groupBy(*keys).agg(best[value].alias(value))
 
 
-def region_outcomes(winners: DataFrame, scores: DataFrame, groups: DataFrame, close: float = 5.0) -> DataFrame:
-    """For each region: seats, flips, most frequent winner and group, mean and median margin, close contests, top score."""
+def region_outcomes(winners: DataFrame, scores: DataFrame, groups: DataFrame, close: float = 5.0, prev: DataFrame | None = None, key_options: Sequence[str] = ()) -> DataFrame:
+    """For each region: seats, flips, most frequent winner and group, mean and median margin, close contests, top score; with the
+    features of the period before, also the key options' seats in both (prev_<k>, curr_<k>) and their change (change_<k>)."""
     rows = winners.join(scores.select("contest", "flipped", "score"), "contest", "left").join(groups.withColumnRenamed("option", "winner"), "winner", "left")
     out = rows.groupBy("region").agg(
         F.count("*").alias("seats"), F.count_if("flipped").alias("flips"), (100 * F.count_if("flipped") / F.count("flipped")).alias("flip_rate"), F.avg("winner_share").alias("mean_share"),
@@ -141,7 +142,13 @@ def region_outcomes(winners: DataFrame, scores: DataFrame, groups: DataFrame, cl
     )
     top = mode(rows.groupBy("region", "winner").agg(F.count("*").alias("n")), ["region"], "winner").withColumnRenamed("winner", "top_winner")
     group = mode(rows.where("group is not null").groupBy("region", "group").agg(F.count("*").alias("n")), ["region"], "group").withColumnRenamed("group", "top_group")
-    return out.join(top, "region", "left").join(group, "region", "left")
+    out = out.join(top, "region", "left").join(group, "region", "left")
+    if prev is None:
+        return out
+    both = prev.select("region", F.col("winner").alias("p"), F.lit(None).cast("string").alias("c")).unionByName(winners.select("region", F.lit(None).cast("string").alias("p"), F.col("winner").alias("c")))
+    seats = both.groupBy("region").agg(*[F.count_if(F.col(side) == o).alias(f"{name}_{k}") for k, o in enumerate(key_options) for side, name in (("p", "prev"), ("c", "curr"))])
+    seats = seats.withColumns({f"change_{k}": F.col(f"curr_{k}") - F.col(f"prev_{k}") for k in range(len(key_options))})
+    return out.join(seats, "region", "left")
 
 
 def region_option_summary(swings: DataFrame, prev: DataFrame, curr: DataFrame) -> DataFrame:
@@ -171,6 +178,19 @@ def region_summary(compared: DataFrame, swings: DataFrame, key_options: Sequence
     return seats.join(means, "region", "left").join(gain, "region", "left")
 
 
+def region_quality(rows: DataFrame) -> DataFrame:
+    """rows: contest, region, turnout_prev, turnout_curr, coverage, quality. For each region: contests, those with coverage and their
+    share, mean change of turnout (where both are known), mean coverage and a label by rule."""
+    n, some = F.count("*"), F.count("coverage")
+    out = rows.groupBy("region").agg(
+        n.alias("contests"), some.alias("covered"), (100 * some / n).alias("coverage_pct"), F.avg(F.col("turnout_curr") - F.col("turnout_prev")).alias("turnout_change"),
+        F.avg("coverage").alias("mean_coverage"), F.count_if(F.col("quality") == "high").alias("_high"),
+    )
+    mean = F.col("mean_coverage")
+    label = F.when(F.col("_high") >= 0.5 * F.col("contests"), "high").when(F.col("covered") == 0, "election_only").when(mean >= 0.75, "high").when(mean >= 0.5, "medium").otherwise("low")
+    return out.withColumn("label", label).drop("_high")
+
+
 def flip_report(actual: DataFrame, simulated: DataFrame) -> DataFrame:
     """Winners before and after, flipped contests first, then by margin."""
     a = actual.select("contest", "region", F.col("winner").alias("actual_winner"), "top2_margin_pct")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import null_tokens
@@ -33,6 +33,52 @@ def priority_contests(scores: DataFrame, top: int = 25, review: int = 30, count_
     return out.withColumn("review", F.col("points") >= review)
 
 
+def profile_tags(options: Sequence[str] = ("a", "b"), close: float = 5.0, large: float = 10.0, turnout: float = 5.0, covered: tuple[float, float] = (0.5, 0.75)) -> Column:
+    """Tags of the rules that hold, in rule order, from flipped, margin, swing_<option>, turnout_change or both turnouts, urban,
+    coverage, quality and zones_missing. The defaults are fixed values."""
+    change = F.coalesce("turnout_change", F.col("turnout_curr") - F.col("turnout_prev"))
+    rules = [("flip", F.col("flipped")), ("close", F.col("margin") <= close)]
+    for o in options:
+        rules += [(f"large_gain_{o}", F.col(f"swing_{o}") >= large), (f"large_loss_{o}", F.col(f"swing_{o}") <= -large)]
+    rules += [("turnout_shift", F.abs(change) >= turnout), ("urban", F.col("urban") >= 50), ("rural", F.col("urban") < 30), ("well_covered", F.col("coverage") >= covered[1]), ("thinly_covered", F.col("coverage") < covered[0])]
+    rules += [("results_only", F.col("quality") == "election_only"), ("zones_missing", F.col("zones_missing") != "")]
+    return F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in rules]))
+
+
+#: Points of each reason.
+REASONS = {"flip": 30, "close": 25, "gain": 20, "loss": 20, "major": 15}
+
+
+def priority_list(rows: DataFrame, majors: DataFrame, listed: DataFrame | None = None, options: Sequence[str] = ("a", "b"), top: int = 25, review: int = 30) -> DataFrame:
+    """rows: contest, flipped, margin, swing_<option>. Every contest with a reason: points, reasons, rank and review.
+
+    Flips, majors (contest), the `top` closest and each option's `top` gains and losses give points; `listed` (contest, reason) are
+    published lists, whose reasons add their points again.
+    """
+    reason = lambda df, name: df.select("contest", F.lit(name).alias("reason"))
+    first = lambda c, down: rows.where(F.col(c).isNotNull()).orderBy(F.desc(c) if down else F.asc(c), "contest").limit(top)
+    parts = [reason(rows.where("flipped"), "flip"), reason(rows.join(majors.select("contest").distinct(), "contest", "left_semi"), "major"), reason(first("margin", False), "close")]
+    for o in options:
+        parts += [reason(first(f"swing_{o}", True), f"gain_{o}"), reason(first(f"swing_{o}", False), f"loss_{o}")]
+    every = reduce(DataFrame.unionByName, parts if listed is None else [*parts, listed.select("contest", "reason")])
+    worth = F.element_at(F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair]), F.get(F.split("reason", "_"), F.lit(0)))
+    out = every.groupBy("contest").agg(F.sum(worth).alias("points"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    # points are sums of a few values: a window over them sees a row for each sum
+    sums = out.groupBy("points").agg(F.count("*").alias("n"))
+    above = sums.withColumn("above", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("points")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("points").orderBy("contest"))
+    return out.join(F.broadcast(above), "points").select("contest", "points", "reasons", (F.col("above") + place).alias("rank"), (F.col("points") >= review).alias("review"))
+
+
+def rank_flags(rows: DataFrame, priority: DataFrame, options: Sequence[str] = ("a", "b"), close: float = 5.0, large: float = 10.0) -> DataFrame:
+    """Booleans of each contest: flipped, close, large gain and loss of each option, on the priority list; unknown is false."""
+    tests = {"is_flipped": F.col("flipped"), "is_close": F.col("margin") <= close}
+    for o in options:
+        tests |= {f"is_large_gain_{o}": F.col(f"swing_{o}") >= large, f"is_large_loss_{o}": F.col(f"swing_{o}") <= -large}
+    out = rows.join(priority.select("contest", F.lit(True).alias("is_priority")), "contest", "left")
+    return out.select("contest", *[F.coalesce(t, F.lit(False)).alias(n) for n, t in tests.items()], F.coalesce("is_priority", F.lit(False)).alias("is_priority"))
+
+
 def merge_notes(generated: DataFrame, manual: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Field-wise: a manual text that is not blank goes first; source says manual, mixed or generated."""
     own = manual.select(key, *[null_tokens(F.col(f)).alias(f"_{f}") for f in fields])
@@ -95,3 +141,29 @@ def coded_totals(raw: DataFrame, code: str, level: str, levels: Sequence[str], v
     wide = raw.groupBy(pad_code(F.col(code), size).alias(code)).agg(*[F.sum(F.when(F.col(level) == lv, F.col(v))).alias(f"{lv}_{v}") for lv in levels for v in values])
     rates = {f"{lv}_{v}_pct": ratio(F.col(f"{lv}_{v}"), F.col(f"{levels[0]}_{v}")) for lv in levels[1:] for v in values}
     return wide.withColumns(rates)
+
+
+def zone_master(zones: DataFrame, name: str, sources: Sequence[DataFrame], values: Sequence[str]) -> DataFrame:
+    """One row for each zone: id (slug of its name), name, and each value from the first source that has it (each source: the
+    name column and some of `values`). Zones of one id are merged under the least name."""
+    from tallyspark.functions.scalars import slug
+
+    rows = [zones.select(F.col(name), F.lit(0).alias("_p"), *[F.lit(None).cast("double").alias(v) for v in values])]
+    for k, source in enumerate(sources, 1):
+        rows.append(source.select(F.col(name), F.lit(k).alias("_p"), *[(F.col(v).cast("double") if v in source.columns else F.lit(None).cast("double")).alias(v) for v in values]))
+    every = reduce(DataFrame.unionByName, rows).withColumn("zone_id", slug(F.col(name)))
+    best = [F.min(F.when(F.col(v).isNotNull(), F.struct("_p", v)))[v].alias(v) for v in values]
+    out = every.groupBy("zone_id").agg(F.min(F.when(F.col("_p") == 0, F.col(name))).alias(name), *best)
+    return out.where(F.col(name).isNotNull())
+
+
+def region_census(files: Sequence[DataFrame], key: str, level: str, value: str, levels: Sequence[str]) -> DataFrame:
+    """Totals of each key by level, from long tables (key, level, value) in order of priority, and the levels' share of the first.
+
+    One aggregate over the union: of the files that have a level of a key, the first one's sum counts.
+    """
+    rows = reduce(DataFrame.unionByName, [f.select(key, level, value, F.lit(k).alias("_p")) for k, f in enumerate(files)])
+    sums = rows.where(F.col(level).isin(*levels)).groupBy(key, level, "_p").agg(F.sum(value).alias(value)).where(F.col(value).isNotNull())
+    first = [F.min(F.when(F.col(level) == lv, F.struct("_p", value)))[value].alias(lv) for lv in levels]
+    out = sums.groupBy(key).agg(*first)
+    return out.withColumns({f"{lv}_pct": 100 * F.col(lv) / F.nullif(F.col(levels[0]), F.lit(0)) for lv in levels[1:]})

@@ -328,6 +328,13 @@ def movements(df: DataFrame, k: int = 10) -> DataFrame:
     return up.unionByName(down)
 
 
+def movement_lists(df: DataFrame, k: int = 10) -> DataFrame:
+    """df: region, contest, margin, flipped. Per region: the k closest contests, and the k closest flipped ones; ties by contest."""
+    order = Window.partitionBy("region").orderBy("margin", "contest")
+    lists = [df.where("margin is not null").withColumn("list", F.lit("closest")), df.where("flipped and margin is not null").withColumn("list", F.lit("flipped"))]
+    return reduce(DataFrame.unionByName, [x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) for x in lists])
+
+
 def nearest_neighbours(queries: DataFrame, rows: DataFrame, key: str, features: Sequence[str], k: int = 5, blocks: int = 16) -> DataFrame:
     """For each query row its k nearest other rows by Euclidean distance of z-scores (of `rows`, population sd; a constant
     feature counts 0); nulls dropped; ties by key. Rows are dealt to blocks, every query meets every block, and each block's

@@ -36,6 +36,17 @@ def total_fertility(rows: DataFrame, by: Sequence[str], age: str, weight: str, b
     return ages.groupBy(*by).agg((F.sum("rate") / years).alias("tfr"))
 
 
+def total_fertility_or_mean(rows: DataFrame, by: Sequence[str], age: str, weight: str, births: str, children: str, low: int = 15, high: int = 49) -> DataFrame:
+    """total_fertility where a group has any birth record (`births` not null), else the weighted mean of `children`."""
+    w, known = F.col(weight), F.col(children).isNotNull() & (F.col(weight) > 0)
+    ages = rows.where(F.col(age).between(low, high)).groupBy(*by, age).agg(
+        (F.sum(F.coalesce(births, F.lit(0)) * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("rate"), F.count(births).alias("seen"),
+        F.sum(F.when(known, F.col(children) * w)).alias("born"), F.sum(F.when(known, w)).alias("women"),
+    )
+    out = ages.groupBy(*by).agg(F.sum("rate").alias("rate"), F.sum("seen").alias("seen"), F.sum("born").alias("born"), F.sum("women").alias("women"))
+    return out.select(*by, F.when(F.col("seen") > 0, F.col("rate")).otherwise(F.col("born") / F.nullif(F.col("women"), F.lit(0.0))).alias("tfr"))
+
+
 def composite_region(rows: DataFrame, region: str, members: Sequence[str], name: str, totals: Sequence[str], means: Sequence[str], weight: str) -> DataFrame:
     """The table with one more region: sums of totals and `weight`-weighted means of the members."""
     merged = rows.where(F.col(region).isin(*members)).agg(*[F.sum(c).alias(c) for c in totals], *[weighted_mean(F.col(c), F.col(weight)).alias(c) for c in means]).withColumn(region, F.lit(name))
@@ -196,6 +207,15 @@ def alias_upsert(aliases: DataFrame, repairs: DataFrame, key: Sequence[str]) ->
     return aliases.join(repairs.select(*key).distinct(), list(key), "left_anti").unionByName(repairs)
 
 
+def alias_coverage(spine: DataFrame, before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: keys of the spine, how many have an alias before and after a repair, and their shares."""
+    rows = spine.select(key, F.lit(1).alias("s")).unionByName(before.select(key, F.lit(2).alias("s"))).unionByName(after.select(key, F.lit(4).alias("s")))
+    kinds = rows.groupBy(key).agg(F.bit_or("s").alias("s")).where(F.col("s").bitwiseAND(1) > 0)
+    has = lambda bit: F.count_if(F.col("s").bitwiseAND(bit) > 0)
+    out = kinds.agg(F.count("*").alias("keys"), has(2).alias("before"), has(4).alias("after"))
+    return out.withColumns({f"{c}_pct": 100 * F.col(c) / F.nullif(F.col("keys"), F.lit(0)) for c in ("before", "after")})
+
+
 # area panels
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def match_label(rows: DataFrame, label: str, aliases: Mapping[str, str], skip: Sequence[str] = ()) -> DataFrame:
-    """Adds `canonical`: the exact alias, else that of the longest alias contained either way (ties: by alias); null for skips.
+def match_label(rows: DataFrame, label: str, aliases: Mapping[str, str], skip: Sequence[str] = (), patterns: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Adds `canonical`: the exact alias, else that of the longest alias contained either way (ties: by alias), else that of the
+    first of the `patterns` (regular expression, name) that is found; null for skips.
 
     Aliases are a small rule table; each label is tested by one expression, without a join.
     """
@@ -20,7 +21,7 @@ def match_label(rows: DataFrame, label: str, aliases: Mapping[str, str], skip: S
     for alias, name in sorted(aliases.items(), key=lambda x: (len(x[0]), [-ord(c) for c in x[0]])):  # the last that holds wins
         exact = F.when(text == alias.lower(), name).otherwise(exact)
         inside = F.when(F.contains(text, F.lit(alias.lower())) | ((F.char_length(text) >= 3) & F.contains(F.lit(alias.lower()), text)), name).otherwise(inside)
-    found = F.coalesce(exact, inside)
+    found = F.coalesce(exact, inside, *[F.when(text.rlike(p), name) for p, name in patterns])
     return rows.withColumn("canonical", F.when(~text.isin(*[s.lower() for s in skip]), found) if skip else found)
 
 

@@ -52,9 +52,17 @@ def parse_file_name(df: DataFrame, name: str, pattern: str, fields: Sequence[str
 
 
 def read_tables_union(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All lines of many small text tables as (source, line, cells): ragged rows keep their own number of cells."""
+    """All lines of many small text tables as (source, line, cells): ragged rows keep their own number of cells, quoted cells
+    their commas."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("line"))
-    return lines.withColumn("cells", F.split("line", ",", -1))
+    cells = F.transform(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), unquoted)
+    return lines.withColumn("cells", F.when(F.contains("line", F.lit('"')), cells).otherwise(F.split("line", ",", -1)))
+
+
+def unquoted(cell: Column) -> Column:
+    """A cell without the quotes around it, doubled ones inside as one."""
+    inner = F.regexp_extract(cell, r'^\s*"((?s:.*))"\s*$', 1)
+    return F.when(cell.rlike(r'^\s*"(?s:.*)"\s*$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(cell)
 
 
 def json_documents(df: DataFrame, key: str, fields: Sequence[str], digits: int = 2) -> DataFrame:
