@@ -14,8 +14,8 @@ corpus lies in cells, ranges of document ids of a few MB. A cell sends each digi
 that stands in a third of all documents costs a bucket one entry for each cell. Because cells are in document order, the
 least cell that holds a digit holds its first occurrence, and nothing but fingerprints has to travel.
 
-Fingerprints have 64 bits (96 in the first pass): the chance that any of n windows is removed wrongly is about n**2 / 2**65
-over the windows of the last pass.
+Fingerprints have 64 bits and equal ones are not compared byte by byte: the chance that any of n runs or windows is removed
+wrongly is about n**2 / 2**65.
 
 Nulls and odd input: a null text counts as empty; documents shorter than `length` stay whole; documents are taken by
 ascending id, equal ids by text and a null id last; repeated rows are documents of their own, so the second loses its
