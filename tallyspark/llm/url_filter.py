@@ -156,7 +156,7 @@ def keys_of(host: Column) -> Column:
 
 def word_list(spark: SparkSession, words: Sequence[str] = LISTED_WORDS) -> DataFrame:
     """A list as a table: key."""
-    return spark.createDataFrame([(w,) for w in words], "key string")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, words)).cast("array<string>")).alias("key"))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", shard_bits: int = SHARD_BITS, most_bits: int = MOST_BITS) -> DataFrame:
