@@ -17,3 +17,12 @@ def test_stages(spark):
             before = docs.count()
     out = P.STAGES[-1][1](spark, docs, SF)
     assert out.count() == docs.count() and out.agg(F.sum("n_tokens")).first()[0] == out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text), (3, "other words here"), (3, "still other words"), (4, None), (None, text), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    got = P.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, text), (0, text), (1, text), (3, "other words here"), (4, "")]
+    assert P.near_duplicates(spark, docs.limit(0), SF).count() == 0
