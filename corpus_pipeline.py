@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, mixing, near_dedup, quality_rules, token_files
@@ -20,11 +20,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: shingles of five words, similarity 0.8."""
-    groups = near_dedup.near_groups(docs, size=5, percent=80)
+    """One document of each near-duplicate group: shingles of five words, similarity 0.8.
+
+    Rows of one id are one document, of which the row with the least text stays; rows with a null id and documents without words
+    are in no group and stay; an empty table stays empty.
+    """
+    groups = stored(near_dedup.near_groups(docs, size=5, percent=80), "groups")
     gone = stored(groups.where("not kept").select("doc_id").distinct(), "gone")
-    few = gone.count() <= near_dedup.MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    again = stored(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= near_dedup.MOST_BROADCAST else ids
+    left = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return left
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    repeated = left.join(small(again), "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
+    return left.join(small(again), "doc_id", "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
