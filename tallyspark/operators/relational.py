@@ -185,32 +185,55 @@ def fuzzy_block_match(left: DataFrame, right: DataFrame, block: str, threshold:
 
 
 def similar_names(left: DataFrame, right: DataFrame, block: str, prefix: int = 5, least: int = 5) -> DataFrame:
-    """Pairs of names of a block that are equal, contain each other (from `least` letters) or share a prefix."""
+    """Pairs of names of a block that are equal, contain each other (from `least` letters) or share a prefix.
+
+    Equal names, prefixes and the first `least` letters of the contained name are keys of equi-joins, so only pairs that share one meet.
+    """
     l, r = left.select(block, F.col("name").alias("a")).distinct(), right.select(block, F.col("name").alias("b")).distinct()
     a, b = F.col("a"), F.col("b")
-    shorter = F.least(F.char_length(a), F.char_length(b))
-    inside = (shorter >= least) & (F.contains(a, b) | F.contains(b, a))
-    shared = (shorter >= prefix) & (F.substring(a, 1, prefix) == F.substring(b, 1, prefix))
-    return l.join(r, block).where((a == b) | inside | shared)
+    start = lambda df, c, n: df.where(F.char_length(c) >= n).withColumn("_k", F.substring(c, 1, n))
+    places = lambda df, c: df.where(F.char_length(c) >= least).withColumn("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - least + 1), lambda i: F.substr(c, i, F.lit(least))))))
+    found = [
+        l.join(r.withColumn("a", b), [block, "a"]),
+        start(l, a, prefix).join(start(r, b, prefix), [block, "_k"]),
+        start(l, a, least).join(places(r, b), [block, "_k"]).where(F.contains(b, a)),
+        places(l, a).join(start(r, b, least), [block, "_k"]).where(F.contains(a, b)),
+    ]
+    return reduce(DataFrame.unionByName, [x.select(block, "a", "b") for x in found]).distinct()
+
+
+#: Layers of `layered_match`: method and confidence.
+LAYERS = {1: ("number", 1.0), 2: ("exact", 0.98), 3: ("contained", 0.9), 4: ("prefix", 0.85), 5: ("fuzzy", 0.8)}
 
 
-def layered_match(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
-    """left, right: block, number, name. Per left row: by number, equal name, unique contained name, unique prefix, else none.
+def layered_match(left: DataFrame, right: DataFrame, block: str, fuzzy: float | None = None) -> DataFrame:
+    """left, right: block, number, name. Per left row: by number, equal name, unique contained name, unique prefix, the only name
+    of at least `fuzzy` similarity (where given), else none.
 
-    Adds right_name, method, confidence and reason (of a failure).
+    Adds right_name, method, confidence and reason (of a failure). Each layer but the last is an equi-join: on the number, the
+    name, the runs of whole words and the beginnings of the right names; the last sees only rows that no layer settled.
     """
     l = left.select(block, F.col("number").alias("ln"), F.col("name").alias("left_name")).distinct()
     r = right.select(block, F.col("number").alias("rn"), F.col("name").alias("right_name")).distinct()
     a, b = F.upper("left_name"), F.upper("right_name")
-    layer = F.when(F.col("ln") == F.col("rn"), 1).when(a == b, 2).when(F.concat(F.lit(" "), b, F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" "))), 3).when(F.startswith(b, a), 4)
-    pairs = l.join(r, block).withColumn("layer", layer).where("layer is not null")
-    counted = pairs.groupBy(block, "ln", "left_name", "layer").agg(F.count("*").alias("n"), F.min("right_name").alias("right_name"))
-    usable = counted.where("layer <= 2 or n = 1").groupBy(block, "ln", "left_name").agg(F.min(F.struct("layer", "right_name")).alias("x"))
-    many = counted.groupBy(block, "ln", "left_name").agg(F.max("n").alias("most"))
-    out = l.join(usable, [block, "ln", "left_name"], "left").join(many, [block, "ln", "left_name"], "left")
-    names = F.create_map(*[F.lit(v) for kv in {1: "number", 2: "exact", 3: "contained", 4: "prefix"}.items() for v in kv])
-    sure = F.create_map(*[F.lit(v) for kv in {1: 1.0, 2: 0.98, 3: 0.9, 4: 0.85}.items() for v in kv])
-    return out.select(block, F.col("ln").alias("number"), F.col("left_name").alias("name"), F.col("x.right_name").alias("right_name"), F.try_element_at(names, F.col("x.layer")).alias("method"), F.try_element_at(sure, F.col("x.layer")).alias("confidence"), F.when(F.col("x").isNull(), F.when(F.col("most") > 1, "ambiguous").otherwise("no candidate")).alias("reason"))
+    key, names = [block, "ln", "left_name"], r.select(block, "right_name").distinct()
+    to = lambda n: F.sequence(F.lit(1), n)
+    runs = lambda w: F.flatten(F.transform(to(F.size(w)), lambda i: F.transform(to(F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), " "))))
+    keyed = l.withColumn("_k", a)
+    inside = names.withColumn("_k", F.explode(F.array_distinct(runs(F.split(b, " ", -1)))))
+    starts = names.withColumn("_k", F.explode(F.transform(F.sequence(F.lit(0), F.char_length(b)), lambda n: F.substr(b, F.lit(1), n))))
+    found = [l.join(r.withColumn("ln", F.col("rn")), [block, "ln"]), keyed.join(names.withColumn("_k", b), [block, "_k"]), keyed.join(inside, [block, "_k"]), keyed.join(starts, [block, "_k"])]
+    pairs = reduce(DataFrame.unionByName, [x.select(*key, "right_name", F.lit(k).alias("layer")) for k, x in enumerate(found, 1)])
+    counted = pairs.groupBy(*key, "right_name").agg(F.min("layer").alias("layer")).groupBy(*key, "layer").agg(F.count("*").alias("n"), F.min("right_name").alias("right_name"))
+    usable = counted.groupBy(*key).agg(F.min(F.when((F.col("layer") <= 2) | (F.col("n") == 1), F.struct("layer", "right_name"))).alias("x"), F.max("n").alias("most"))
+    out = l.join(usable, key, "left")
+    if fuzzy is not None:
+        open_rows = out.where("x is null").select(block, F.col("left_name").alias("name"))
+        near = fuzzy_block_match(open_rows, right, block, fuzzy, second_below=True).select(block, "left_name", F.struct(F.lit(5).alias("layer"), "right_name").alias("_near"))
+        out = out.join(near, [block, "left_name"], "left").withColumn("x", F.coalesce("x", "_near"))
+    of = lambda i: F.create_map(*[F.lit(v) for k, both in LAYERS.items() for v in (k, both[i])])
+    failed = F.when(F.col("x").isNull(), F.when(F.col("most") > 1, "ambiguous").otherwise("no candidate"))
+    return out.select(block, F.col("ln").alias("number"), F.col("left_name").alias("name"), F.col("x.right_name").alias("right_name"), F.try_element_at(of(0), F.col("x.layer")).alias("method"), F.try_element_at(of(1), F.col("x.layer")).alias("confidence"), failed.alias("reason"))
 
 
 def rank_join(codes: DataFrame, items: DataFrame, region: str, code: str, order: str) -> DataFrame:

@@ -46,10 +46,20 @@ def keyword_score(docs: DataFrame, text: str, keywords: Mapping[str, tuple[str,
     }).drop("_f")
 
 
-def classify_docs(docs: DataFrame, text: str, keywords: Mapping[str, Sequence[str]], guards: Sequence[str] = (), strong: int = 8, weak: int = 4) -> DataFrame:
-    """Adds class (most keyword hits; ties by name; null without), hits and action: accept, review or skip. A guard word skips."""
+def classify_docs(docs: DataFrame, text: str, keywords: Mapping[str, Sequence[str]], guards: Sequence[str] = (), strong: int = 8, weak: int = 4, context: Mapping[str, tuple[Sequence[str], int]] | None = None) -> DataFrame:
+    """Adds class (most keyword hits; ties by name; null without), hits and action: accept, review or skip. A guard word skips.
+
+    context: class -> (words, bonus); a class with hits gets the bonus where one of its words stands.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    counts = [F.struct((-sum((F.regexp_count(low, F.lit(w.lower())) for w in words), F.lit(0))).alias("neg"), F.lit(name).alias("name")) for name, words in sorted(keywords.items())]
+
+    def total(name: str, words: Sequence[str]) -> Column:
+        n = sum((F.regexp_count(low, F.lit(w.lower())) for w in words), F.lit(0))
+        around, bonus = (context or {}).get(name, ((), 0))
+        stands = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in around], F.lit(False))
+        return n + F.when((n > 0) & stands, bonus).otherwise(0)
+
+    counts = [F.struct((-total(name, words)).alias("neg"), F.lit(name).alias("name")) for name, words in sorted(keywords.items())]
     best = F.array_min(F.array(*counts))
     guard = reduce(lambda a, b: a | b, [F.contains(low, F.lit(g.lower())) for g in guards], F.lit(False))
     out = docs.withColumn("_b", best)

@@ -33,6 +33,35 @@ def progress(master: DataFrame, region: str, variables: Sequence[str]) -> DataFr
     return master.groupBy(region).agg(F.count("*").alias("contests"), F.count_if(filled == len(variables)).alias("complete"), F.sum(filled).alias("cells"), (100 * F.sum(filled) / (len(variables) * F.count("*"))).alias("pct"))
 
 
+def contest_progress(master: DataFrame, manual: DataFrame, key: str, variables: Sequence[str]) -> DataFrame:
+    """manual: key, variable, confidence, valid. Per contest: manual_fields, completed (filled or entered variables), missing (joined
+    by ;), confidence (level:count, by level) and needs_review (an entry is not valid)."""
+    mine = manual.withColumn("_c", F.nullif(F.lower(F.trim("confidence")), F.lit("")))
+    levels = mine.where("_c is not null").groupBy(key, "_c").agg(F.count("*").alias("_n")).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "_c", "_n"))), ", ").alias("_levels"))
+    per = mine.groupBy(key).agg(F.count("*").alias("_fields"), F.coalesce(F.bool_or(~F.col("valid")), F.lit(False)).alias("_odd"), *[F.count_if(F.col("variable") == v).alias(f"_m_{v}") for v in variables])
+    out = master.join(per, key, "left").join(levels, key, "left")
+    has = {v: F.col(v).isNotNull() | (F.coalesce(f"_m_{v}", F.lit(0)) > 0) for v in variables}
+    missing = F.array_join(F.array_compact(F.array(*[F.when(~has[v], F.lit(v)) for v in variables])), ";")
+    completed = sum((has[v].cast("int") for v in variables), F.lit(0))
+    return out.select(key, F.coalesce("_fields", F.lit(0)).alias("manual_fields"), completed.alias("completed"), missing.alias("missing"), F.coalesce("_levels", F.lit("")).alias("confidence"), F.coalesce("_odd", F.lit(False)).alias("needs_review"))
+
+
+def variable_progress(contests: DataFrame, manual: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """contests: of `contest_progress`. Per variable: contests needed and satisfied, values entered, valid ones, percent satisfied."""
+    open_ = F.split("missing", ";")
+    done = contests.select(F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), (~F.array_contains(open_, v)).alias("_has")) for v in variables])).alias("x")).select("x.*")
+    done = done.groupBy("variable").agg(F.count("*").alias("needed"), F.count_if("_has").alias("satisfied"))
+    got = manual.groupBy("variable").agg(F.count("*").alias("entered"), F.count_if("valid").alias("valid"))
+    out = done.join(got, "variable", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("entered", "valid")})
+    return out.withColumn("pct", 100 * F.col("satisfied") / F.col("needed"))
+
+
+def expand_batch(batch: DataFrame, manual: DataFrame, key: str, missing: str) -> DataFrame:
+    """One row for each variable in the list `missing` (joined by ;) of a contest that has no entry of it in `manual`."""
+    rows = batch.where(F.col(missing) != "").select(key, F.explode(F.split(missing, ";")).alias("variable"))
+    return rows.join(manual.select(key, "variable").distinct(), [key, "variable"], "left_anti")
+
+
 def worklist(rows: DataFrame, key: str, region: str, variables: Sequence[str], hot: Column, gap: int = 10) -> DataFrame:
     """Category of each contest (no_data, partial, complete), hot flag, gaps of its region and priority 1 to 3."""
     filled = sum((F.col(v).isNotNull().cast("int") for v in variables), F.lit(0))
