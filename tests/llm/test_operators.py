@@ -213,6 +213,25 @@ def test_quality_classifier(spark, docs, labels):
     assert {r.score for r in none.collect()} == {0.5} and quality_classifier.quality_scores(docs.limit(0), labels, held).count() == 0
 
 
+@pytest.mark.parametrize("n_good,n_bad", [(1, 12), (15, 1)])
+def test_fit_by_plain_descent(n_good, n_bad):
+    """With one row on a side every pair is drawn equally often, so the loss is known: descend it step by step."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(n_good + n_bad, 3))
+    good = np.arange(n_good + n_bad) < n_good
+    x[good] += 0.7
+    pairs = [[a - b for a, b in zip(u, v)] for u in x[good].tolist() for v in x[~good].tolist()]
+    w = [0.0] * 3
+    for _ in range(4000):
+        slope = [0.05 * v for v in w]
+        for p in pairs:
+            miss = 1 / (1 + np.exp(sum(a * b for a, b in zip(p, w))))
+            slope = [s - miss * v / len(pairs) for s, v in zip(slope, p)]
+        w = [v - 0.3 * s for v, s in zip(w, slope)]
+    found, cut, _ = quality_classifier.fit(x, good, ridge=0.05)
+    assert np.allclose(found, w, atol=1e-5) and np.isclose(cut, np.quantile(x @ np.array(w), n_bad / len(x)), atol=1e-4)
+
+
 def test_quality_classifier_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     found = queries.op6_quality_classifier(spark, sf).join(queries.table(spark, sf, "labels"), "doc_id").where("held_out")
