@@ -70,13 +70,13 @@ def row_confidence(options: Column, positive: Column, negative: Column, explicit
     return F.when(negative & ~positive, "low").when((options >= 2) & positive, sure).when((options >= 1) & (positive | explicit), "medium").otherwise("low")
 
 
-def extract_cells(cells: DataFrame, heads: DataFrame, aliases: Mapping[str, str], groups: Groups, signals: DataFrame | None = None, skip: Sequence[str] = (), whole: tuple[str, str] = ("electorate", "all voters")) -> DataFrame:
+def extract_cells(named: DataFrame, signals: DataFrame | None = None, whole: tuple[str, str] = ("electorate", "all voters")) -> DataFrame:
     """Distinct rows (file, layout, group_type, group, option, share, row_label, col_label, confidence) of all tables whose layout is known.
 
+    named: of `named_cells`; it is read several times, so store it first.
     signals: file, positive, negative (numbers of context words), question (the vote question is asked); tables with two negative
     words and no question are left out; without signals no context is known. The rows of a marginal table belong to `whole`.
     """
-    named = named_cells(cells, shifted_headers(cells, heads, aliases), aliases, groups, skip)
     known = table_layouts(named).where("layout <> 'unknown'").select("file", "layout", "label_col", "share_col", "group_col", "option_col", F.greatest("option_cols", "most_options").alias("_n"))
     if signals is None:
         known = known.withColumns({"positive": F.lit(False), "negative": F.lit(False)})
