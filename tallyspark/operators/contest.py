@@ -209,9 +209,22 @@ def pivot_option(swings: DataFrame, options: Sequence[str], index: str = "contes
     return wide
 
 
-def master(compared: DataFrame, prev: DataFrame, curr: DataFrame, swings: DataFrame, options: Sequence[str]) -> DataFrame:
-    """Spine of both periods' contests: winners, margins and their change, key options' shares."""
+def winner_turnout(rows: DataFrame, turnout: str) -> DataFrame:
+    """contest, turnout: the number on the winner's row of each contest."""
+    return rows.where("winner").groupBy("contest").agg(F.max(F.col(turnout).cast("double")).alias("turnout"))
+
+
+def master(compared: DataFrame, prev: DataFrame, curr: DataFrame, swings: DataFrame, options: Sequence[str], turnouts: tuple[DataFrame, DataFrame] | None = None, panel: DataFrame | None = None) -> DataFrame:
+    """Spine of both periods' contests: winners, margins and their change, key options' shares.
+
+    turnouts: (contest, turnout) of both periods, adds them and their change; panel: features of the contests, one row for each.
+    """
     p = prev.select("contest", F.col("top2_margin_pct").alias("prev_margin"), F.col("effective_options").alias("prev_effective"))
     c = curr.select("contest", F.col("top2_margin_pct").alias("curr_margin"), F.col("effective_options").alias("curr_effective"))
     out = compared.join(p, "contest", "left").join(c, "contest", "left").join(pivot_option(swings, options), "contest", "left")
-    return out.withColumn("margin_change", F.col("curr_margin") - F.col("prev_margin"))
+    out = out.withColumn("margin_change", F.col("curr_margin") - F.col("prev_margin"))
+    if turnouts is not None:
+        for n, t in zip(("prev", "curr"), turnouts):
+            out = out.join(t.select("contest", F.col("turnout").alias(f"{n}_turnout")), "contest", "left")
+        out = out.withColumn("turnout_change", F.col("curr_turnout") - F.col("prev_turnout"))
+    return out if panel is None else out.join(panel, "contest", "left")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import null_tokens
+from tallyspark.functions.scalars import norm_key, null_tokens, pad_code, ratio
 
 POINTS = (("flipped", 30), ("close", 25), ("volatile", 20))
 
@@ -100,6 +100,27 @@ def contest_profile(scores: DataFrame) -> DataFrame:
     return scores.select("contest", tags.alias("tags"), text.alias("text"), F.when(whole, "high").otherwise("low").alias("confidence"), F.when(F.col("score").isNotNull(), "complete").otherwise("partial").alias("quality"))
 
 
+def profile_sections(rows: DataFrame, options: Sequence[str] = ("a", "b")) -> DataFrame:
+    """rows: those of `profile_tags` with region, prev_winner and curr_winner. Per contest one text for each section, confidence and
+    the columns that the texts rest on. A section whose facts are unknown says so; points are rounded half up."""
+    points = lambda c: F.floor(F.abs(c) + 0.5).cast("string")
+    change = F.coalesce("turnout_change", F.col("turnout_curr") - F.col("turnout_prev"))
+    moved = [F.when(F.abs(F.col(f"swing_{o}")) >= 0.5, F.concat(F.lit(f"{o} "), F.when(F.col(f"swing_{o}") > 0, "gains ").otherwise("loses "), points(F.col(f"swing_{o}")), F.lit(" points."))).when(F.col(f"swing_{o}").isNotNull(), f"{o} holds its share.") for o in options]
+    turnout = F.when(change > 0, "Turnout rises.").when(change < 0, "Turnout falls.").when(change == 0, "Turnout is unchanged.")
+    said = lambda text, unknown: F.coalesce(F.nullif(text, F.lit("")), F.lit(unknown))
+    sections = {
+        "summary": said(F.when(F.col("flipped"), F.concat("region", F.lit(": from "), "prev_winner", F.lit(" to "), "curr_winner", F.lit("."))).otherwise(F.concat("region", F.lit(": held by "), "curr_winner", F.lit("."))), "No winner is known."),
+        "movement": said(F.concat_ws(" ", *moved, turnout), "No change is known."),
+        "population": F.when(F.col("urban") >= 50, "Mostly urban.").when(F.col("urban") < 30, "Mostly rural.").when(F.col("urban").isNotNull(), "Town and country.").otherwise("No area data."),
+        "zones": F.concat_ws(" ", said(F.concat(F.lit("Zones cover "), points(100 * F.col("coverage")), F.lit(" percent.")), "No zone is linked."), F.when(F.col("zones_missing") != "", F.concat(F.lit("Without data: "), "zones_missing", F.lit(".")))),
+        "watch": said(F.concat_ws(" ", F.when(F.col("margin") <= 5, F.concat(F.lit("The margin is "), points(F.col("margin")), F.lit(" points."))), F.when(F.col("flipped"), "The seat is new to its holder."), F.when(F.abs(change) >= 5, "Turnout moves.")), "Nothing stands out."),
+    }
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in ("curr_winner", "margin", *[f"swing_{o}" for o in options])])
+    confidence = F.when(~whole, "low").when(F.col("quality") == "high", "high").otherwise("medium")
+    facts = ["prev_winner", "curr_winner", "margin", *[f"swing_{o}" for o in options], "turnout_prev", "turnout_curr", "urban", "coverage", "zones_missing"]
+    return rows.select("contest", *[t.alias(n) for n, t in sections.items()], confidence.alias("confidence"), "quality", F.concat_ws(";", *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in facts]).alias("facts"))
+
+
 def review_report(notes: DataFrame, key: str, fields: Sequence[str], least: int = 20) -> DataFrame:
     """has_manual, review needed and why: blank fields, and texts shorter than `least` characters."""
     why = [F.when(null_tokens(F.col(f)).isNull(), F.lit(f"blank {f}")).when(F.char_length(f) < least, F.lit(f"short {f}")) for f in fields]
@@ -136,13 +157,45 @@ def reassign_region(rows: DataFrame, region: str, zone: str, moves: DataFrame) -
 
 def coded_totals(raw: DataFrame, code: str, level: str, levels: Sequence[str], values: Sequence[str], size: int) -> DataFrame:
     """District totals from coded raw rows: padded code, the named levels as columns <level>_<value>, share of the first level."""
-    from tallyspark.functions.scalars import pad_code, ratio
-
     wide = raw.groupBy(pad_code(F.col(code), size).alias(code)).agg(*[F.sum(F.when(F.col(level) == lv, F.col(v))).alias(f"{lv}_{v}") for lv in levels for v in values])
     rates = {f"{lv}_{v}_pct": ratio(F.col(f"{lv}_{v}"), F.col(f"{levels[0]}_{v}")) for lv in levels[1:] for v in values}
     return wide.withColumns(rates)
 
 
+def moved_region(rows: DataFrame, region: str, zone: str, moves: DataFrame | None) -> DataFrame:
+    """Adds region_key and zone_key; moves: region_key, zone_key, new_region of the zones that went to another region."""
+    out = rows.withColumn("region_key", norm_key(F.col(region))).withColumn("zone_key", norm_key(F.col(zone)))
+    if moves is None:
+        return out
+    out = out.join(moves.select("region_key", "zone_key", "new_region"), ["region_key", "zone_key"], "left")
+    return out.withColumn(region, F.coalesce("new_region", region)).withColumn("region_key", norm_key(F.col(region))).drop("new_region")
+
+
+def zone_areas(files: Sequence[DataFrame], region: str, zone: str, area: str, moves: DataFrame | None = None) -> DataFrame:
+    """Area of each zone from tables in order of priority; rows without an area above 0 go. Of the rows of a zone the first table's
+    counts, there the least name and area. Adds source: the table's place."""
+    rows = reduce(DataFrame.unionByName, [f.select(region, zone, F.col(area).cast("string").try_cast("double").alias(area), F.lit(k).alias("source")) for k, f in enumerate(files)])
+    keyed = moved_region(rows.where(F.col(area) > 0), region, zone, moves)
+    best = keyed.groupBy("region_key", "zone_key").agg(F.min(F.struct("source", zone, region, area)).alias("b"))
+    return best.select("region_key", "zone_key", *[F.col("b")[c].alias(c) for c in (region, zone, area, "source")])
+
+
+def zone_composition(raw: DataFrame, names: DataFrame, region_code: str, zone_code: str, lower: Sequence[str], kind: str, total: str, groups: Sequence[str], region: str, zone: str, sizes: tuple[int, int] = (2, 3), moves: DataFrame | None = None) -> DataFrame:
+    """Counts of `groups` and their percent of `total` for each zone, from the coded rows that stand for a whole zone: zone code set,
+    `lower` codes blank or 0, kind Total, total known. names: both codes, region, zone; zones without a name go. Of the rows of a
+    zone the one with the least numbers counts."""
+    empty = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).rlike("^0*([.]0)?$")
+    keep = reduce(Column.__and__, [empty(c) for c in lower], ~empty(zone_code) & (F.trim(kind) == "Total"))
+    number = lambda c: F.col(c).cast("string").try_cast("double").alias(c)
+    codes = lambda: (pad_code(F.col(region_code), sizes[0]).alias("_r"), pad_code(F.col(zone_code), sizes[1]).alias("_z"))
+    rows = raw.where(keep).select(*codes(), number(total), *[number(g) for g in groups]).where(F.col(total).isNotNull())
+    named = names.where(F.coalesce(F.trim(zone), F.lit("")) != "").groupBy(*codes()).agg(F.min(F.struct(region, zone)).alias("n")).select("_r", "_z", "n.*")
+    keyed = moved_region(rows.join(named, ["_r", "_z"]), region, zone, moves)
+    best = keyed.groupBy("region_key", "zone_key").agg(F.min(F.struct(total, *groups, region, zone)).alias("b"))
+    out = best.select("region_key", "zone_key", *[F.col("b")[c].alias(c) for c in (region, zone, total, *groups)])
+    return out.withColumns({f"{g}_pct": ratio(F.col(g), F.col(total)) for g in groups})
+
+
 def zone_master(zones: DataFrame, name: str, sources: Sequence[DataFrame], values: Sequence[str]) -> DataFrame:
     """One row for each zone: id (slug of its name), name, and each value from the first source that has it (each source: the
     name column and some of `values`). Zones of one id are merged under the least name."""

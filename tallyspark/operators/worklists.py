@@ -102,6 +102,21 @@ def gap_audit(reasons: DataFrame, regions: DataFrame, contest: str, region: str)
     return rows.groupBy(region).agg(F.count("*").alias("contests"), F.count_if(F.col("reason") != "covered").alias("gaps")).join(top, region, "left")
 
 
+def zone_gaps(links: DataFrame, panel: DataFrame, aliases: DataFrame, region: str, zone: str, contest: str, values: Sequence[str]) -> DataFrame:
+    """links: contest, region, zone; panel: zone, values; aliases: source, target. Per region and zone: contests that use it, where the
+    chain breaks (covered; alias_missing: the panel has it under the alias only; value_missing; zone_not_in_panel) and the repair."""
+    has = F.max(F.coalesce(*[F.when(F.col(v).isNotNull(), 1) for v in values], F.lit(0)))
+    known = panel.where(F.col(zone).isNotNull()).groupBy(F.col(zone).alias("_k")).agg(has.alias("_has"))
+    other = aliases.groupBy(F.col("source").alias("_s")).agg(F.min("target").alias("target"))
+    used = links.groupBy(region, zone).agg(F.count_distinct(contest).alias("contests"))
+    out = used.join(known.select(F.col("_k").alias(zone), F.col("_has").alias("_own")), zone, "left")
+    out = out.join(other.withColumnRenamed("_s", zone), zone, "left").join(known.select(F.col("_k").alias("target"), F.col("_has").alias("_other")), "target", "left")
+    reason = F.when(F.col("_own") == 1, "covered").when(F.col("_other") == 1, "alias_missing").when(F.coalesce("_own", "_other").isNotNull(), "value_missing").otherwise("zone_not_in_panel")
+    out = out.withColumn("reason", reason)
+    repair = F.when(F.col("reason") == "alias_missing", F.concat(F.lit("read as "), "target")).when(F.col("reason") == "value_missing", "enter the values").when(F.col("reason") == "zone_not_in_panel", "add the zone or an alias of it")
+    return out.select(region, zone, "contests", "reason", F.coalesce(repair, F.lit("none")).alias("repair"))
+
+
 def catalog_audit(variables: DataFrame, columns: DataFrame) -> DataFrame:
     """variables: variable, source; columns: file, column, stage. Is a variable in a raw or a processed file."""
     found = columns.groupBy(F.col("column").alias("variable")).agg(F.count_if(F.col("stage") == "raw").alias("raw"), F.count_if(F.col("stage") == "processed").alias("processed"))
