@@ -156,6 +156,45 @@ def mutual_nearest(left: DataFrame, right: DataFrame, block: str, features: Sequ
     return out.withColumn("confidence", F.when(F.col("cost") < 12, "high").when(F.col("cost") < 25, "medium").otherwise("low"))
 
 
+def code_crosswalk(codes: DataFrame, names: DataFrame, known: DataFrame, region: str, features: Sequence[str], matched: DataFrame | None = None) -> DataFrame:
+    """Names of numbered zones. codes: region, code, features; names: region, zone_code, name; known: region, name, features; matched:
+    region, code, name, cost of codes without a rank (as of `mutual_nearest`).
+
+    A code is the rank of a name by zone code in its region. The name counts as the known one of its key (method rank_known; high
+    below a cost of 15), else as the least known one that holds it or is held by it without blanks (rank_contained), else as it is
+    (rank). Codes beyond the names take their match (feature; high below 12, medium below 25) or stay unmapped. The cost is the mean
+    absolute difference of the features that both have. Containment is an equi-join on the substrings of names, which are short.
+    """
+    from tallyspark.functions.scalars import norm_key
+
+    packed = lambda c: F.replace(norm_key(F.col(c)), F.lit(" "), F.lit(""))
+    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.char_length(c) - i + 1), lambda n: F.substr(c, i, n)))))
+    place = F.row_number().over(Window.partitionBy(region).orderBy("zone_code", "name"))
+    ranked = names.select(region, place.alias("code"), F.col("name").alias("ranked_name"))
+    own = codes.select(region, "code", *[F.col(f).alias(f"_l_{f}") for f in features]).join(ranked, [region, "code"], "left")
+    own = own.withColumn("_key", norm_key(F.col("ranked_name")))
+    other = known.where(F.col("name").isNotNull()).groupBy(region, norm_key(F.col("name")).alias("_key")).agg(F.min(F.struct("name", *features)).alias("_known"))
+    out = own.join(other, [region, "_key"], "left")
+    left = out.where("_known is null and ranked_name is not null").select(region, "ranked_name", packed("ranked_name").alias("_a")).distinct().where("_a <> ''")
+    right = known.select(region, "name", packed("name").alias("_b")).distinct().where("_b <> ''")
+    inside = left.withColumn("_b", F.explode(parts(F.col("_a")))).join(right, [region, "_b"]).select(region, "ranked_name", "name")
+    around = right.withColumn("_a", F.explode(parts(F.col("_b")))).join(left, [region, "_a"]).select(region, "ranked_name", "name")
+    held = inside.unionByName(around).groupBy(region, "ranked_name").agg(F.min("name").alias("_held"))
+    out = out.join(held, [region, "ranked_name"], "left")
+    if matched is None:
+        out = out.withColumns({"_match": F.lit(None).cast("string"), "_cost": F.lit(None).cast("double")})
+    else:
+        out = out.join(matched.select(region, "code", F.col("name").alias("_match"), F.col("cost").alias("_cost")), [region, "code"], "left")
+    gaps = F.array_compact(F.array(*[F.abs(F.col(f"_l_{f}") - F.col("_known")[f]).cast("double") for f in features]))
+    cost = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(gaps), F.lit(0))
+    has, ranks, match = F.col("_known").isNotNull(), F.col("ranked_name").isNotNull(), F.col("_match").isNotNull()
+    out = out.withColumn("method", F.when(has, "rank_known").when(F.col("_held").isNotNull(), "rank_contained").when(ranks, "rank").when(match, "feature").otherwise("unmapped"))
+    out = out.withColumn("cost", F.when(has, cost).when(F.col("method") == "feature", F.col("_cost")))
+    bar = F.when(F.col("method") == "rank_known", 15.0).when(F.col("method") == "feature", 12.0)
+    confidence = F.when(F.col("cost") < bar, "high").when(ranks | (F.col("cost") < 25), "medium").otherwise("low")
+    return out.select(region, "code", F.coalesce(F.col("_known.name"), "_held", "ranked_name", "_match").alias("name"), "method", "cost", confidence.alias("confidence"))
+
+
 def region_trends(panel: DataFrame, region: str, survey: str, old: object, new: object, indicators: Mapping[str, int]) -> DataFrame:
     """Newer less older mean of each indicator times its sign (-1: less is better), joined back to the newer rows."""
     at = lambda s, f: F.avg(F.when(F.col(survey) == s, F.col(f)))

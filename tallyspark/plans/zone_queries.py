@@ -99,3 +99,26 @@ FACTS = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in ("prev_wi
     FROM rows r JOIN (SELECT contest, prev_winner, curr_winner FROM volatility) USING (contest)"""))
 def _(spark, d):
     return P.profile_sections(profile_rows(spark, d).join(scores(spark, d).select("contest", "prev_winner", "curr_winner"), "contest"))
+
+
+@query("d8_code_crosswalk", """WITH c AS (SELECT p_type AS region, 2 * p_size AS code, avg(p_retailprice) AS x FROM part GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY z, name) AS code FROM (SELECT p_type AS region, p_name AS name, min(p_partkey) AS z FROM part GROUP BY ALL)),
+    k AS (SELECT p_type AS region, CASE WHEN p_name LIKE 's%' THEN split_part(p_name, ' ', 1) WHEN p_name LIKE 'c%' THEN upper(p_name) || ' 2' WHEN p_name LIKE 'h%' THEN 'zone ' || length(p_name) ELSE p_name END AS name, avg(p_retailprice) + 1 AS y FROM part GROUP BY ALL),
+    o AS (SELECT c.*, n.name AS ranked FROM c LEFT JOIN n USING (region, code)),
+    e AS (SELECT o.*, k.name AS known, abs(x - y) AS d FROM o LEFT JOIN k ON k.region = o.region AND upper(k.name) = upper(ranked)),
+    h AS (SELECT e.region, ranked, min(k.name) AS held FROM (SELECT DISTINCT region, ranked FROM e WHERE known IS NULL AND ranked IS NOT NULL) e JOIN k ON k.region = e.region AND (contains(upper(replace(ranked, ' ', '')), upper(replace(k.name, ' ', ''))) OR contains(upper(replace(k.name, ' ', '')), upper(replace(ranked, ' ', '')))) GROUP BY ALL),
+    p AS (SELECT o.region, o.code, k.name, abs(x - y) AS cost FROM o JOIN k USING (region) WHERE ranked IS NULL),
+    m AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY region, code ORDER BY cost, name) = 1 AND row_number() OVER (PARTITION BY region, name ORDER BY cost, code) = 1),
+    f AS (SELECT e.region, e.code, coalesce(known, held, e.ranked, m.name) AS name, CASE WHEN known IS NOT NULL THEN 'rank_known' WHEN held IS NOT NULL THEN 'rank_contained' WHEN e.ranked IS NOT NULL THEN 'rank' WHEN m.name IS NOT NULL THEN 'feature' ELSE 'unmapped' END AS method, CASE WHEN known IS NOT NULL THEN d WHEN e.ranked IS NULL THEN m.cost END AS cost
+          FROM e LEFT JOIN h ON h.region = e.region AND h.ranked = e.ranked LEFT JOIN m ON m.region = e.region AND m.code = e.code)
+    SELECT *, CASE WHEN method = 'rank_known' AND cost < 15 OR method = 'feature' AND cost < 12 THEN 'high' WHEN method LIKE 'rank%' OR cost < 25 THEN 'medium' ELSE 'low' END AS confidence FROM f""")
+def _(spark, d):
+    part = table(spark, d, "part").withColumnRenamed("p_type", "region")
+    codes = part.groupBy("region", (2 * F.col("p_size")).alias("code")).agg(F.avg("p_retailprice").alias("x"))
+    names = part.groupBy("region", F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("zone_code"))
+    name = F.col("p_name")
+    told = F.when(name.like("s%"), F.substring_index(name, " ", 1)).when(name.like("c%"), F.concat(F.upper(name), F.lit(" 2"))).when(name.like("h%"), F.concat(F.lit("zone "), F.length(name).cast("string"))).otherwise(name)
+    known = part.groupBy("region", told.alias("name")).agg((F.avg("p_retailprice") + 1).alias("x"))
+    ranks = names.groupBy("region").agg(F.count("*").alias("n"))
+    beyond = codes.join(ranks, "region").where("code > n or code < 1").drop("n")
+    matched = W.mutual_nearest(beyond, known, "region", ["x"])
+    return W.code_crosswalk(codes, names, known, "region", ["x"], matched)
