@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
+from . import bpe_codec, decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_line_dedup": op5_line_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_secret_scan": op9_secret_scan, "op10_decontamination": op10_decontamination}
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = bpe_codec.decode_ids(bpe_codec.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_line_dedup": op5_line_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_secret_scan": op9_secret_scan, "op10_decontamination": op10_decontamination, "op13_bpe_codec": op13_bpe_codec}
 
 _WORDS = "|".join(url_filter.LISTED_WORDS)
 SQL: dict[str, str] = {
