@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
+from . import bpe_codec, decontaminate, line_dedup, merkle, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and each leaf folded to the root again: half of the texts without their line feeds."""
+    head, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains(text, F.lit("\n"))
+    forged = F.when(tampered, merkle.leaf_digest(*head, F.replace(text, F.lit("\n"), F.lit(""))))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "source", merkle.leaf_digest(*head, text).alias("leaf"), forged.alias("forged"))
+    found = merkle.merkle_manifest(leaves, "source", "doc_id")
+    proof = F.array_join(F.zip_with("before", "after", lambda b, a: F.concat(b, a)), "")
+    folded = merkle.fold(F.coalesce("forged", "leaf"), F.col("before"), F.col("after"))
+    out = found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof.cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,7 +97,7 @@ def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_line_dedup": op5_line_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_secret_scan": op9_secret_scan, "op10_decontamination": op10_decontamination, "op13_bpe_codec": op13_bpe_codec}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_line_dedup": op5_line_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_secret_scan": op9_secret_scan, "op10_decontamination": op10_decontamination, "op11_merkle_manifest": op11_merkle_manifest, "op13_bpe_codec": op13_bpe_codec}
 
 _WORDS = "|".join(url_filter.LISTED_WORDS)
 SQL: dict[str, str] = {
@@ -120,6 +133,46 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id
     """,
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS codes
+        ), marked AS (
+            SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                  lambda c, x: xor(c // 256, codes[xor(c % 256, x) + 1])) % 2 = 1 AS tampered FROM documents, crc
+        ), fields AS (
+            SELECT doc_id, source, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                                          coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+                   text, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS given FROM marked
+        ), l AS (
+            SELECT doc_id, source AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(given) || ':' || given, '-')) AS given,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM fields
+        ), t(g, lv, i, d, n) AS (
+            SELECT g, 0, p, leaf, n FROM l
+            UNION ALL SELECT g, lv + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY g, lv, i // 3, n
+        ), r AS (
+            SELECT g, d AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM t WHERE n = 1
+        ), s(lv, i, d, n) AS (
+            SELECT 0, p, subroot, n FROM r
+            UNION ALL SELECT lv + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM s WHERE n > 1 GROUP BY lv, i // 3, n
+        ), beside AS (
+            SELECT doc_id, lv, coalesce(string_agg(d, '' ORDER BY i) FILTER (i < p // power), '') AS before, coalesce(string_agg(d, '' ORDER BY i) FILTER (i > p // power), '') AS after
+            FROM (SELECT *, CAST(pow(3, lv) AS BIGINT) AS power FROM t WHERE n > 1) t JOIN l ON l.g IS NOT DISTINCT FROM t.g AND t.i // 3 = l.p // (3 * power) GROUP BY ALL
+            UNION ALL
+            SELECT doc_id, 100 + lv, coalesce(string_agg(d, '' ORDER BY i) FILTER (i < r.p // power), ''), coalesce(string_agg(d, '' ORDER BY i) FILTER (i > r.p // power), '')
+            FROM (SELECT *, CAST(pow(3, lv) AS BIGINT) AS power FROM s WHERE n > 1) s JOIN r ON s.i // 3 = r.p // (3 * power) JOIN l ON l.g IS NOT DISTINCT FROM r.g GROUP BY ALL
+        ), path AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lv) AS k FROM beside
+        ), fold(doc_id, k, d) AS (
+            SELECT doc_id, CAST(0 AS BIGINT), given FROM l
+            UNION ALL SELECT fold.doc_id, path.k, sha256(before || d || after) FROM fold JOIN path ON path.doc_id = fold.doc_id AND path.k = fold.k + 1
+        ), folded AS (
+            SELECT doc_id, arg_max(d, k) AS folded_root FROM fold GROUP BY 1
+        ), proof AS (
+            SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM path GROUP BY 1
+        )
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM l JOIN r ON l.g IS NOT DISTINCT FROM r.g JOIN folded USING (doc_id) LEFT JOIN proof USING (doc_id), (SELECT d AS root FROM s WHERE n = 1)
+    """,
     "op10_decontamination": r"""
         WITH dw AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
