@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, line_dedup, merkle, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
+from . import bpe_codec, collocations, decontaminate, line_dedup, merkle, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"), least=30, longest=4, held=80, top=2000)
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,7 +101,7 @@ def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_line_dedup": op5_line_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_secret_scan": op9_secret_scan, "op10_decontamination": op10_decontamination, "op11_merkle_manifest": op11_merkle_manifest, "op13_bpe_codec": op13_bpe_codec}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op2_suffix_dedup": op2_suffix_dedup, "op3_near_dedup": op3_near_dedup, "op4_token_files": op4_token_files, "op5_line_dedup": op5_line_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_secret_scan": op9_secret_scan, "op10_decontamination": op10_decontamination, "op11_merkle_manifest": op11_merkle_manifest, "op12_collocations": op12_collocations, "op13_bpe_codec": op13_bpe_codec}
 
 _WORDS = "|".join(url_filter.LISTED_WORDS)
 SQL: dict[str, str] = {
@@ -173,6 +177,33 @@ SQL: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
         FROM l JOIN r ON l.g IS NOT DISTINCT FROM r.g JOIN folded USING (doc_id) LEFT JOIN proof USING (doc_id), (SELECT d AS root FROM s WHERE n = 1)
     """,
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+        ), f AS (
+            SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, count(*) AS f
+            FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(m) WHERE len(w) >= m) GROUP BY ALL
+        ), n AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 30
+        ), k AS (
+            SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)
+        ), s AS (
+            SELECT k.*, l.f AS l, r.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+            FROM k JOIN f l ON l.lang = k.lang AND l.phrase = x JOIN f r ON r.lang = k.lang AND r.phrase = y
+        ), b AS (
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), o AS (
+            SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS a
+            FROM (SELECT *, unnest(generate_series(1, m - z + 1)) AS i FROM (SELECT *, unnest(generate_series(2, m - 1)) AS z FROM c WHERE m > 2)) GROUP BY ALL
+        )
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, n, score
+        FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+        WHERE o.a IS NULL OR 100 * CAST(o.a AS HUGEINT) < 80 * CAST(b.a AS HUGEINT) QUALIFY rank <= 2000
+    """,
     "op10_decontamination": r"""
         WITH dw AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
