@@ -102,6 +102,33 @@ def test_suffix_dedup(docs, size, cell, monkeypatch):
     assert suffix_dedup.remove_repeats(docs.limit(0), size).count() == 0
 
 
+@pytest.mark.parametrize("bits", [4, 16])
+def test_suffix_dedup_by_narrow_hashes(spark, monkeypatch, bits):
+    """Runs and windows whose first fingerprints agree are told apart by the others: nothing is lost and nothing removed wrongly."""
+    pair = suffix_dedup._pair
+    monkeypatch.setattr(suffix_dedup, "_pair", lambda a, b, k: pair(a, b, k) & np.uint64((1 << bits) - 1))
+    draw = random.Random(8)
+    noise = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    passages = [noise(120) for _ in range(6)]
+    own = [(i, noise(40) + draw.choice(passages) + noise(60)) for i in range(120)]
+    got = rows_of(suffix_dedup.remove_repeats(spark.createDataFrame(own, "doc_id long, text string"), 100, cell_bytes=3000))
+    assert {i: bytes(r.kept) for i, r in got.items()} == brute_repeats(own, 100) and sum(len(r.spans) for r in got.values()) > 100
+
+
+@pytest.mark.parametrize("cell", [None, 1500])
+def test_suffix_dedup_of_null_and_repeated_ids(spark, cell):
+    """Equal ids go by a hash of the text, null ids last; an id of many rows is spread over cells."""
+    draw = random.Random(9)
+    some = ["".join(draw.choices("abc ", k=draw.randint(50, 400))) for _ in range(25)]
+    rows = [(draw.choice([None, None, 3, 3, i]), draw.choice([None, "", *some])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).distinct().collect()}
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, order[r[1]], r[1] or ""))
+    want = brute_repeats(enumerate(t for _, t in rows), 20)
+    got = suffix_dedup.remove_repeats(df, 20, cell_bytes=cell).collect()
+    assert Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == Counter((i, len((t or "").encode()), want[k]) for k, (i, t) in enumerate(rows))
+
+
 def brute_groups(docs, size, percent):
     sets = {}
     for i, t in docs:
