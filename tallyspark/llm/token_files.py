@@ -10,7 +10,7 @@ Executors write to the shared folder under a name of their attempt; only parts n
 is run again leaves no wrong file behind.
 
 Nulls and odd input: a null or empty text has the end id alone; a null id sorts first; repeated ids are documents of their
-own, ordered by text; an empty table gives an empty manifest; other columns are ignored.
+own, ordered by a hash of the text; an empty table gives an empty manifest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -157,6 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
     """Encode every whole text and write the files; returns the manifest: part, path, docs, tokens, base."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    own = own.withColumn("hash", F.xxhash64("text"))  # rows of one id, or of none, need not share a part
     _, size = total_bytes(own, "text")
     folder = new_path(spark, "tokens")
 
@@ -186,8 +187,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": f"{folder}/{path}", "docs": sum(map(len, ids)), "tokens": at}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     parts = max(1, -(-size // part_bytes(size)))
-    dealt = own.repartitionByRange(parts, "doc_id") if parts > 1 else own.coalesce(1)
-    manifest = stored(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
+    dealt = own.repartitionByRange(parts, "doc_id", "hash") if parts > 1 else own.coalesce(1)
+    manifest = stored(dealt.sortWithinPartitions("doc_id", "hash", "text").mapInArrow(write, MANIFEST), "manifest")
     # prefix sums in two steps: over blocks of 1,024 parts, then inside each block
     before = lambda *key: Window.partitionBy(*key).orderBy(*(["part"] if key else ["block"])).rowsBetween(Window.unboundedPreceding, -1)
     manifest = manifest.withColumn("block", F.shiftright("part", 10))
