@@ -79,13 +79,17 @@ def fingerprints(rows: DataFrame, key: str, window: int, gram: int, lengths: lis
     return one.select(key, F.inline(found))
 
 
-def _small(df: DataFrame, words: str | None = None) -> DataFrame:
-    """df (stored), to be broadcast if it is small."""
-    size = F.sum(F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 16)) if words else F.lit(0)
-    n, size = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+def _small(df: DataFrame, *sizes: Column) -> DataFrame:
+    """df (stored), to be broadcast if it is small; sizes: bytes of what is not of fixed size in a row."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(sizes, F.lit(64)).cast("long")), F.lit(0))).first()
     return F.broadcast(df) if n <= MOST_BROADCAST and size <= MOST_BYTES else df
 
 
+def _bytes(words: str) -> Column:
+    """Bytes of an array of strings."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 16)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
     """Every row: id, n_words, spans (array of from, to: hit windows), items (sorted as strings), n_hit, contaminated.
 
@@ -101,7 +105,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         prints = prints.unionByName(fingerprints(items.where(F.col("n") == m), "item", window, gram, [m]).select("h"))
     prints = _small(stored(prints.distinct(), "prints"))
     hits = fingerprints(own, "row", window, gram, lengths).join(prints, "h", "left_semi")
-    hits = _small(stored(hits.groupBy("row").agg(F.collect_set(F.struct("at", "m")).alias("hits")), "hits"))
+    hits = _small(stored(hits.groupBy("row").agg(F.collect_set(F.struct("at", "m")).alias("hits")), "hits"), F.octet_length("row"), F.size("hits") * 24)
 
     # the stretches of an item's length around each hit, with their words
     chosen = own.join(hits, "row").dropDuplicates(["row"]).select("row", "hits", words_of(F.col("text")).alias("words"))
@@ -112,16 +116,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     around = around.select("row", F.inline(F.transform("a", lambda x: F.struct(x["at"].alias("at"), (x["at"] + x["m"]).alias("end"), F.slice("words", x["at"] + 1, x["m"]).alias("own")))))
     m = F.least("n", F.lit(window))
     test = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - m), lambda i: F.slice("words", i + 1, m))).alias("own"))
-    test = _small(stored(test.groupBy("own").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows"), "own")
+    test = _small(stored(test.groupBy("own").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows"), _bytes("own"), _bytes("items"))
     by_row = around.join(test, "own").groupBy("row", "at").agg(F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     reach = F.max("end").over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     by_row = by_row.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("at", F.coalesce(reach, F.lit(0)))))
     told = by_row.groupBy("row").agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.collect_list(F.struct(F.col("at").alias("from"), F.col("end").alias("to")))).alias("spans"))
-    told = stored(told, "told")
-    few = told.agg(F.coalesce(F.sum(F.size("spans") * 24 + F.size("items") * 32), F.lit(0))).first()[0] <= MOST_BYTES
+    told = _small(stored(told, "told"), F.octet_length("row"), F.size("spans") * 32, _bytes("items"))
     carried = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct("*").alias("doc")] if carry else []))
     n_words = F.coalesce(F.regexp_count("text", F.lit(UNFOLDED_WORD)), F.lit(0)).cast("long")
     out = carried.select("doc_id", row.alias("row"), *(["doc"] if carry else []), n_words.alias("n_words"))
-    out = out.join(F.broadcast(told) if few else told, "row", "left")
+    out = out.join(told, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"), *(["doc"] if carry else []))
