@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.operators import name_pieces, spatial
+
 #: A side is broadcast by hint only where its rows are counted and at most this many; else Spark chooses the join.
 MOST_BROADCAST = 100_000
 
@@ -167,19 +169,12 @@ def dedupe_join(joined: DataFrame, key: Sequence[str], order: Sequence[Column])
     return joined.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 less the edit distance over the longer length; 1 for two empty texts."""
-    longest = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
-
-
 def fuzzy_block_match(left: DataFrame, right: DataFrame, block: str, threshold: float, second_below: bool = False) -> DataFrame:
     """left, right: block, name. Best partner by similarity inside the block, if at least `threshold` (ties: by name).
 
-    second_below: only if no other partner reaches the threshold. Names are distinct first; blocks bound the pairs.
+    second_below: only if no other partner reaches the threshold. Pairs come from an index of name pieces (see `name_pieces`).
     """
-    l, r = left.select(block, F.col("name").alias("left_name")).distinct(), right.select(block, F.col("name").alias("right_name")).distinct()
-    pairs = l.join(r, block).withColumn("score", similarity(F.col("left_name"), F.col("right_name"))).where(F.col("score") >= threshold)
+    pairs = name_pieces.edit_join(left, right, block, threshold)
     best = pairs.groupBy(block, "left_name").agg(F.min(F.struct((-F.col("score")).alias("neg"), "right_name"))["right_name"].alias("right_name"), F.max("score").alias("score"), F.count("*").alias("hits"))
     return (best.where("hits = 1") if second_below else best).drop("hits")
 
@@ -358,17 +353,11 @@ def movement_lists(df: DataFrame, k: int = 10) -> DataFrame:
     return reduce(DataFrame.unionByName, [x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) for x in lists])
 
 
-def nearest_neighbours(queries: DataFrame, rows: DataFrame, key: str, features: Sequence[str], k: int = 5, blocks: int = 16) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, rows: DataFrame, key: str, features: Sequence[str], k: int = 5) -> DataFrame:
     """For each query row its k nearest other rows by Euclidean distance of z-scores (of `rows`, population sd; a constant
-    feature counts 0); nulls dropped; ties by key. Rows are dealt to blocks, every query meets every block, and each block's
-    best k go on (WindowGroupLimit before the shuffle).
-    """
+    feature counts 0); nulls dropped; ties by key. Exact, by a grid of cells (see `spatial`)."""
     rows, queries = rows.dropna(subset=[key, *features]), queries.dropna(subset=[key, *features])
-    stats = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
-    z = [(F.col(f) - stats.select(f"m_{f}").scalar()) / F.coalesce(F.nullif(stats.select(f"s_{f}").scalar(), F.lit(0.0)), F.lit(1.0)) for f in features]
-    left = queries.select(F.col(key).alias("a"), F.array(*z).alias("za"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = rows.select(F.col(key).alias("b"), F.array(*z).alias("zb"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    far = F.sqrt(F.aggregate(F.zip_with("za", "zb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = left.join(right, "block").where("a <> b").select("a", "b", far.alias("distance"))
-    order = Window.partitionBy("a").orderBy("distance", "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    stats = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
+    point = F.array(*[(F.col(f) - F.lit(stats[f"m_{f}"] or 0.0)) / F.lit(stats[f"s_{f}"] or 1.0) for f in features])
+    found = spatial.nearest(queries.select(F.col(key).alias("a"), point.alias("point")), rows.select(F.col(key).alias("b"), point.alias("point")), [], len(features), k, spatial.euclidean, others=True)
+    return found.select("a", "b", "distance", "rank")

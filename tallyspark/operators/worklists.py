@@ -133,6 +133,20 @@ def autofill(targets: DataFrame, links: DataFrame, zones: DataFrame, contest: st
     return out.withColumn("method", F.when(F.col("zones") == 1, "zone_proxy").otherwise("weighted")).withColumn("confidence", F.when(F.col("mapped") >= 0.95, "high").when(F.col("mapped") >= 0.6, "medium").otherwise("low"))
 
 
+def closest_names(targets: DataFrame, names: DataFrame, region: str, threshold: float = 0.6, prefix: int = 5) -> DataFrame:
+    """targets, names: region, name. For each target the closest name of its region: region, name, closest, score.
+
+    Names are close that are equal, hold each other, share their first `prefix` letters or have a similarity of at least `threshold`;
+    the greatest similarity counts, ties go to the least name. Targets without one have no row.
+    """
+    from tallyspark.operators import name_pieces, relational
+
+    near = name_pieces.edit_join(targets, names, region, threshold).select(region, F.col("left_name").alias("a"), F.col("right_name").alias("b"))
+    pairs = near.unionByName(relational.similar_names(targets, names, region, prefix, prefix)).distinct().withColumn("score", name_pieces.similarity(F.col("a"), F.col("b")))
+    best = pairs.groupBy(region, F.col("a").alias("name")).agg(F.min(F.struct((-F.col("score")).alias("neg"), "b")).alias("x"))
+    return best.select(region, "name", F.col("x.b").alias("closest"), (-F.col("x.neg")).alias("score"))
+
+
 def skip_diagnostics(targets: DataFrame, candidates: DataFrame, links: DataFrame, contest: str, variables: Sequence[str]) -> DataFrame:
     """Per contest: missing and filled variables and an action (none, link, source, review)."""
     missing = sum((F.col(v).isNull().cast("int") for v in variables), F.lit(0))
@@ -143,15 +157,45 @@ def skip_diagnostics(targets: DataFrame, candidates: DataFrame, links: DataFrame
     return out.select(contest, "missing", filled.alias("filled"), F.when(F.col("missing") == 0, "none").when(F.col("_link").isNull(), "link").when(filled == 0, "source").when(filled < F.col("missing"), "review").otherwise("none").alias("action"))
 
 
+def skipped_targets(targets: DataFrame, filled: DataFrame, linked: DataFrame, sources: Mapping[str, DataFrame], references: Mapping[str, DataFrame], repairs: DataFrame, region: str, master: str, frontend: str, threshold: float = 0.6) -> DataFrame:
+    """Targets (region, name, expected: variables to fill) that an autofill left open, and what to do about each.
+
+    filled: region, name, filled (number of variables); linked: region, name of those with zones; sources and references: name ->
+    table (region, name); repairs: region, name, kind (`alias_duplicate`, `reference_old_name` or other). Adds in_<source> for each
+    source (is the name in it), closest_<reference> (see `closest_names`), alias (the closest name of the first reference for
+    names outside `master`), reason (no_link, no_value, partial) and action. Targets are distinct; null names are in no source.
+    """
+    key = [region, "name"]
+    out = targets.select(*key, "expected").join(filled.select(*key, "filled"), key, "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
+    out = out.where(F.col("filled") < F.col("expected"))
+    for flag, table in {"_linked": linked, **{f"in_{n}": t for n, t in sources.items()}}.items():
+        out = out.join(table.select(*key).distinct().withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    for name, table in references.items():
+        found = closest_names(out.select(*key), table, region, threshold).select(*key, F.col("closest").alias(f"closest_{name}"))
+        out = out.join(found, key, "left")
+    out = out.join(repairs.groupBy(*key).agg(F.min("kind").alias("_kind")), key, "left")
+    alias = F.when(~F.col(f"in_{master}"), F.col(f"closest_{next(iter(references))}"))
+    reason = F.when((F.col("filled") == 0) & ~F.col("_linked"), "no_link").when(F.col("filled") == 0, "no_value").otherwise("partial")
+    out = out.withColumns({"alias": alias, "reason": reason})
+    action = (
+        F.when(F.col("_kind") == "alias_duplicate", "merge_duplicate").when(F.col("_kind") == "reference_old_name", "drop_old_name").when(F.col("alias").isNotNull(), "map_alias")
+        .when(F.col("reason") == "no_link", "add_link").when(~F.col(f"in_{master}") & ~F.col(f"in_{frontend}"), "drop_old_name").otherwise("research")
+    )
+    return out.withColumn("action", action).drop("_linked", "_kind")
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, block: str, features: Sequence[str]) -> DataFrame:
     """left: block, code, features; right: block, name, features. Pairs that are each other's nearest (mean absolute difference;
-    ties by name and code), with cost and confidence."""
-    l = left.select(block, "code", *[F.col(f).alias(f"l_{f}") for f in features])
-    r = right.select(block, "name", *[F.col(f).alias(f"r_{f}") for f in features])
-    cost = sum((F.abs(F.col(f"l_{f}") - F.col(f"r_{f}")) for f in features), F.lit(0.0)) / len(features)
-    pairs = l.join(r, block).select(block, "code", "name", cost.alias("cost")).where("cost is not null")
-    of_code = pairs.groupBy(block, "code").agg(F.min(F.struct("cost", "name")).alias("x")).select(block, "code", F.col("x.name").alias("name"), F.col("x.cost").alias("cost"))
-    of_name = pairs.groupBy(block, "name").agg(F.min(F.struct("cost", "code")).alias("x")).select(block, "name", F.col("x.code").alias("code"))
+    ties by name and code), with cost and confidence. Rows with a null feature have no partner. Exact, by a grid of cells.
+    """
+    from tallyspark.operators import spatial
+
+    def side(df: DataFrame, key: str, role: str) -> DataFrame:
+        return df.dropna(subset=list(features)).select(block, F.col(key).alias(role), F.array(*[F.col(f).cast("double") for f in features]).alias("point"))
+
+    near = lambda a, b, x, y: spatial.nearest(side(a, x, "a"), side(b, y, "b"), [block], len(features), 1, spatial.mean_difference, spread=len(features))
+    of_code = near(left, right, "code", "name").select(block, F.col("a").alias("code"), F.col("b").alias("name"), F.col("distance").alias("cost"))
+    of_name = near(right, left, "name", "code").select(block, F.col("a").alias("name"), F.col("b").alias("code"))
     out = of_code.join(of_name, [block, "code", "name"])
     return out.withColumn("confidence", F.when(F.col("cost") < 12, "high").when(F.col("cost") < 25, "medium").otherwise("low"))
 

@@ -155,6 +155,24 @@ def _(spark, d):
     return W.skip_diagnostics(targets, made, links(spark, d), "contest", ["tax", "returned"])
 
 
+SMALL_NAMES = "(SELECT p_size AS region, p_name AS name, least(count(*), 4) AS expected, count(*) FILTER (p_retailprice > 1000) AS filled FROM part WHERE p_type = 'SMALL' GROUP BY ALL)"
+
+
+@query("d13_skipped_targets", f"""WITH t AS (SELECT *, region % 3 > 0 OR name < 'm' AS linked FROM {SMALL_NAMES} WHERE filled < expected), p AS (SELECT DISTINCT p_size AS region, p_name AS name, p_type FROM part),
+    c AS (SELECT t.region, t.name, p.name AS b, p.p_type, 1 - levenshtein(t.name, p.name) / greatest(length(t.name), length(p.name)) AS score FROM t JOIN p USING (region) WHERE p_type IN ('LARGE', 'MEDIUM')
+        AND (score >= 0.7 OR least(length(t.name), length(b)) >= 5 AND (contains(t.name, b) OR contains(b, t.name) OR substr(t.name, 1, 5) = substr(b, 1, 5)))),
+    m AS (SELECT region, name, arg_min(b, {{'s': -score, 'b': b}}) FILTER (p_type = 'LARGE') AS closest_roll, arg_min(b, {{'s': -score, 'b': b}}) FILTER (p_type = 'MEDIUM') AS closest_map FROM c GROUP BY ALL),
+    f AS (SELECT t.*, EXISTS (FROM p WHERE p.region = t.region AND p.name = t.name AND p_type = 'PROMO') AS in_master, EXISTS (FROM p WHERE p.region = t.region AND p.name = t.name AND p_type = 'LARGE') AS in_roll, closest_roll, closest_map FROM t LEFT JOIN m ON m.region = t.region AND m.name = t.name),
+    a AS (SELECT *, CASE WHEN NOT in_master THEN closest_roll END AS alias, CASE WHEN filled > 0 THEN 'partial' WHEN linked THEN 'no_value' ELSE 'no_link' END AS reason FROM f)
+    SELECT region, name, expected, filled, in_master, in_roll, closest_roll, closest_map, alias, reason, CASE WHEN name LIKE 'red%' THEN 'merge_duplicate' WHEN name LIKE 'hot%' THEN 'drop_old_name' WHEN alias IS NOT NULL THEN 'map_alias' WHEN reason = 'no_link' THEN 'add_link' WHEN NOT in_master AND NOT in_roll THEN 'drop_old_name' ELSE 'research' END AS action FROM a""")
+def _(spark, d):
+    part = table(spark, d, "part").select(F.col("p_size").alias("region"), F.col("p_name").alias("name"), "p_type", "p_retailprice")
+    of = lambda kind: part.where(F.col("p_type") == kind)
+    own = of("SMALL").groupBy("region", "name").agg(F.least(F.count("*"), F.lit(4)).alias("expected"), F.count_if(F.col("p_retailprice") > 1000).alias("filled"))
+    kind = F.when(F.col("name").like("red%"), "alias_duplicate").when(F.col("name").like("hot%"), "reference_old_name")
+    return W.skipped_targets(own.drop("filled"), own, own.where("region % 3 > 0 or name < 'm'"), {"master": of("PROMO"), "roll": of("LARGE")}, {"roll": of("LARGE"), "map": of("MEDIUM")}, own.withColumn("kind", kind), "region", "master", "roll", 0.7)
+
+
 @query("d7_region_trends", f"SELECT zone, -(avg(tax) FILTER (survey = 2) - avg(tax) FILTER (survey = 1)) AS tax_trend, avg(returned) FILTER (survey = 2) - avg(returned) FILTER (survey = 1) AS returned_trend FROM {PANEL} GROUP BY 1")
 def _(spark, d):
     return W.region_trends(panel(spark, d), "zone", "survey", 1, 2, {"tax": -1, "returned": 1})
@@ -167,3 +185,15 @@ def _(spark, d):
     l = table(spark, d, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("code"), F.col("c_acctbal").alias("x"))
     r = table(spark, d, "supplier").select(F.col("s_nationkey").alias("block"), F.col("s_suppkey").alias("name"), F.col("s_acctbal").alias("x"))
     return W.mutual_nearest(l, r, "block", ["x"])
+
+
+@query("d8_mutual_nearest_features", """WITH l AS (SELECT c_nationkey AS block, c_custkey AS code, c_acctbal AS x, sum(o_totalprice) / 1000 AS y FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL), r AS (SELECT s_nationkey AS block, s_suppkey AS name, s_acctbal AS x, sum(l_extendedprice) / 1000 AS y FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL),
+    p AS (SELECT block, code, name, (abs(l.x - r.x) + abs(l.y - r.y)) / 2 AS cost FROM l JOIN r USING (block))
+    SELECT block, code, name, cost, CASE WHEN cost < 12 THEN 'high' WHEN cost < 25 THEN 'medium' ELSE 'low' END AS confidence FROM p
+    QUALIFY row_number() OVER (PARTITION BY block, code ORDER BY cost, name) = 1 AND row_number() OVER (PARTITION BY block, name ORDER BY cost, code) = 1""")
+def _(spark, d):
+    spent = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("code")).agg((F.sum("o_totalprice") / 1000).alias("y"))
+    sold = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("name")).agg((F.sum("l_extendedprice") / 1000).alias("y"))
+    l = table(spark, d, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("code"), F.col("c_acctbal").alias("x")).join(spent, "code")
+    r = table(spark, d, "supplier").select(F.col("s_nationkey").alias("block"), F.col("s_suppkey").alias("name"), F.col("s_acctbal").alias("x")).join(sold, "name")
+    return W.mutual_nearest(l, r, "block", ["x", "y"])
