@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators import selection
+
 
 def _valid(value: Column, weight: Column) -> Column:
     return value.isNotNull() & weight.isNotNull() & (weight > 0)
@@ -136,8 +138,13 @@ def catalog_usage(rows: DataFrame, source: str, variable: str, period: str, cont
 
 
 def describe(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("sd"), F.min(F.col(c).cast("double")).alias("low"), F.percentile(c, F.lit(0.25)).alias("q1"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.75)).alias("q3"), F.max(F.col(c).cast("double")).alias("high")) for c in columns]
-    return rows.agg(F.array(*cells).alias("x")).select(F.inline("x"))
+    """Of each column: number of values, mean, deviation, least and greatest, and exact quartiles (by selection, see there)."""
+    number = lambda c: F.col(c).cast("double")
+    cells = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("sd"), F.min(number(c)).alias("low"), F.max(number(c)).alias("high")) for c in columns]
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in columns])))
+    quartiles = selection.percentiles(long, ["column"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    out = rows.agg(F.array(*cells).alias("x")).select(F.inline("x")).join(quartiles, "column", "left")
+    return out.select("column", "n", "mean", "sd", "low", "q1", "median", "q3", "high")
 
 
 def dedupe_by_priority(rows: DataFrame, keys: Sequence[str], value: str, confidence: str, order: Sequence[Column]) -> DataFrame:
@@ -162,12 +169,8 @@ def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 
 def priority_rank(rows: DataFrame, score: str, name: str) -> DataFrame:
-    """1..n by score (falling), then name. Sums of rows below each distinct score give the base, so no task holds all rows."""
-    counts = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    base = counts.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc_nulls_last(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy(score).orderBy(name))
-    joined = rows.withColumn("_in", inner).join(base.select(F.col(score).alias("_s"), "_above"), F.col(score).eqNullSafe(F.col("_s")))
-    return joined.withColumn("rank", F.col("_above") + F.col("_in")).drop("_in", "_above", "_s")
+    """1..n by score (falling, nulls last), then name; by range partitions, so no task holds all rows or all scores."""
+    return selection.ordered(rows, [], [F.desc_nulls_last(score), F.asc(name)], "rank")
 
 
 def basic_checks(ranked: DataFrame, expected: int) -> DataFrame:

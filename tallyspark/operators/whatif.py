@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators import selection
+
 
 def ranked_by(rows: DataFrame, share: str = "sim_share", key: str = "contest") -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.desc(share), "option")
@@ -122,11 +124,9 @@ def ensemble_seats(drawn: DataFrame, groups: DataFrame, draws: int) -> DataFrame
 
 def index_percentile(counts: DataFrame, keys: Sequence[str], value: str, n: str, shares: Sequence[float]) -> DataFrame:
     """counts: keys, value, n (rows of that value). Value at place floor(p * (N - 1)) in order, for each p, as p<percent>."""
-    below = F.sum(n).over(Window.partitionBy(*keys).orderBy(value))
-    total = F.sum(n).over(Window.partitionBy(*keys))
-    placed = counts.withColumn("_to", below).withColumn("_all", total)
-    pick = lambda p: F.min(F.when(F.col("_to") > F.floor(F.lit(p) * (F.col("_all") - 1)), F.col(value))).alias(f"p{round(100 * p)}")
-    return placed.groupBy(*keys).agg(*[pick(p) for p in shares])
+    found = selection.percentiles(counts, keys, value, {f"p{round(100 * p)}": p for p in shares}, weight=n, between=False)
+    kind = counts.schema[value].dataType
+    return found.select(*keys, *[F.col(c).cast(kind).alias(c) for c in found.columns if c not in keys])
 
 
 def histogram(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
