@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators import selection
+
 KEYS = ("period", "contest")
 
 
@@ -98,6 +100,74 @@ def option_swings(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return both.withColumn("swing", F.col("curr_share") - F.col("prev_share"))
 
 
+def option_pairs(rows: DataFrame, first: object = 1, second: object = 2) -> DataFrame:
+    """rows: period, region, contest, option, votes, one row for each option of a contest in a period. One row for each contest and
+    option of either period: in_prev, in_curr, and of both the region, votes, rank, share (null where it does not run) and the swing.
+
+    One grouped pass and windows over one partitioning by contest take the place of ranking both periods and joining them.
+    """
+    own = rows.where("period is not null and contest is not null and option is not null").where(F.col("period").isin(first, second))
+    at = lambda p, c: F.max(F.when(F.col("period") == p, F.col(c)))
+    sides = (("prev", first), ("curr", second))
+    cells = [x for side, p in sides for x in (F.bool_or(F.col("period") == p).alias(f"in_{side}"), at(p, "region").alias(f"{side}_region"), at(p, "votes").alias(f"{side}_votes"))]
+    wide = own.groupBy("contest", "option").agg(*cells)
+    of_contest = Window.partitionBy("contest")
+    for side, _ in sides:
+        votes, runs = F.col(f"{side}_votes"), F.col(f"in_{side}")
+        place = F.row_number().over(of_contest.orderBy(F.desc(f"in_{side}"), votes.desc_nulls_last(), "option"))
+        total = F.nullif(F.sum(votes).over(of_contest), F.lit(0))
+        wide = wide.withColumns({f"{side}_rank": F.when(runs, place.cast("long")), f"{side}_share": 100 * votes / total})
+    return wide.withColumn("swing", F.coalesce("curr_share", F.lit(0.0)) - F.coalesce("prev_share", F.lit(0.0)))
+
+
+def contest_pairs(rows: DataFrame, first: object = 1, second: object = 2, options: Sequence[str] = ()) -> DataFrame:
+    """`rows` as of `option_pairs`. One row for each contest of either period: of both the number of options (0: not held), region,
+    winner, winner_share, margin_votes, top2_margin_pct and effective_options as <side>_<name>, whether the winner changed (null
+    unless both were held), the range and mean of the swings; and of each named option prev_share, curr_share and swing as <option>_<name>.
+    """
+    aggs = []
+    for side in ("prev", "curr"):
+        top = lambda r, c: F.max(F.when(F.col(f"{side}_rank") == r, F.col(c)))  # noqa: B023, E731
+        share, votes = f"{side}_share", f"{side}_votes"
+        found = {
+            "options": F.count_if(f"in_{side}"), "region": F.min(f"{side}_region"), "winner": top(1, "option"), "winner_share": top(1, share),
+            "margin_votes": top(1, votes) - top(2, votes), "top2_margin_pct": top(1, share) - top(2, share), "effective_options": effective_number(F.col(share)),
+        }
+        aggs += [c.alias(f"{side}_{n}") for n, c in found.items()]
+    aggs += [F.max("swing").alias("max_swing"), F.min("swing").alias("min_swing"), F.avg(F.abs("swing")).alias("mean_abs_swing"), (F.max("swing") - F.min("swing")).alias("swing_range")]
+    for o in options:
+        held = {"prev_share": F.coalesce("prev_share", F.lit(0.0)), "curr_share": F.coalesce("curr_share", F.lit(0.0)), "swing": F.col("swing")}
+        aggs += [F.max(F.when(F.col("option") == o, c)).alias(f"{o}_{n}") for n, c in held.items()]
+    both = F.when((F.col("prev_options") > 0) & (F.col("curr_options") > 0), F.col("prev_winner") != F.col("curr_winner"))
+    return option_pairs(rows, first, second).groupBy("contest").agg(*aggs).withColumn("flipped", both)
+
+
+def features_of(pairs: DataFrame, side: str) -> DataFrame:
+    """Contest features of one side (`prev`, `curr`) of `contest_pairs`, as of `contest_features`."""
+    names = ("region", "winner", "winner_share", "margin_votes", "top2_margin_pct", "effective_options")
+    return pairs.where(F.col(f"{side}_options") > 0).select("contest", *[F.col(f"{side}_{n}").alias(n) for n in names])
+
+
+def volatility_of(pairs: DataFrame) -> DataFrame:
+    """`volatility` of the contests that both sides of `contest_pairs` held."""
+    kept = pairs.where("prev_options > 0 and curr_options > 0").withColumn("_margin", F.col("curr_top2_margin_pct"))
+    out = kept.select("contest", F.col("curr_region").alias("region"), "flipped", "prev_winner", "curr_winner", F.col("_margin").alias("top2_margin_pct"), F.col("curr_effective_options").alias("effective_options"), "mean_abs_swing")
+    return out.withColumn("score", volatility_score())
+
+
+def volatility_score() -> Column:
+    margin = F.when(F.col("top2_margin_pct") > 20, F.lit(20.0)).otherwise(F.col("top2_margin_pct"))
+    return 40 * F.col("flipped").cast("int") + (20 - margin) + 5 * F.col("effective_options") + 2 * F.col("mean_abs_swing")
+
+
+def master_of(pairs: DataFrame, options: Sequence[str], turnouts: tuple[DataFrame, DataFrame] | None = None, panel: DataFrame | None = None) -> DataFrame:
+    """`master` from `contest_pairs`, which hold the named options."""
+    shares = [f"{o}_{m}" for o in options for m in ("prev_share", "curr_share", "swing")]
+    named = {"prev_winner_share": "prev_share", "curr_winner_share": "curr_share", "prev_top2_margin_pct": "prev_margin", "prev_effective_options": "prev_effective", "curr_top2_margin_pct": "curr_margin", "curr_effective_options": "curr_effective"}
+    out = pairs.where("prev_options > 0 and curr_options > 0").select("contest", F.col("curr_region").alias("region"), "prev_winner", "curr_winner", "flipped", *[F.col(f"`{a}`").alias(b) for a, b in named.items()], *[F.col(f"`{c}`") for c in shares])
+    return with_turnout(out.withColumn("margin_change", F.col("curr_margin") - F.col("prev_margin")), turnouts, panel)
+
+
 def unmatched(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Contests of one period only, with the period and a reason."""
     gone = prev.select("contest", "region").distinct().join(curr, "contest", "left_anti").select("*", F.lit("previous").alias("period"), F.lit("missing in current").alias("reason"))
@@ -122,8 +192,7 @@ def volatility(compared: DataFrame, features: DataFrame, swings: DataFrame) -> D
     f = features.select("contest", "top2_margin_pct", "effective_options")
     s = swing_features(swings).select("contest", "mean_abs_swing")
     rows = compared.select("contest", "region", "flipped", "prev_winner", "curr_winner").join(f, "contest", "left").join(s, "contest", "left")
-    margin = F.when(F.col("top2_margin_pct") > 20, F.lit(20.0)).otherwise(F.col("top2_margin_pct"))
-    return rows.withColumn("score", 40 * F.col("flipped").cast("int") + (20 - margin) + 5 * F.col("effective_options") + 2 * F.col("mean_abs_swing"))
+    return rows.withColumn("score", volatility_score())
 
 
 def mode(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
@@ -132,14 +201,21 @@ def mode(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> Da
     return counts.groupBy(*keys).agg(best[value].alias(value))
 
 
+def with_median(out: DataFrame, rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """`out` (one row for each key) with the median of `value` over the rows of its key; null without values."""
+    found = selection.percentiles(rows.select(key, value), [key], value, {name: 0.5}).withColumnRenamed(key, "_key")
+    return out.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def region_outcomes(winners: DataFrame, scores: DataFrame, groups: DataFrame, close: float = 5.0, prev: DataFrame | None = None, key_options: Sequence[str] = ()) -> DataFrame:
     """For each region: seats, flips, most frequent winner and group, mean and median margin, close contests, top score; with the
     features of the period before, also the key options' seats in both (prev_<k>, curr_<k>) and their change (change_<k>)."""
     rows = winners.join(scores.select("contest", "flipped", "score"), "contest", "left").join(groups.withColumnRenamed("option", "winner"), "winner", "left")
     out = rows.groupBy("region").agg(
         F.count("*").alias("seats"), F.count_if("flipped").alias("flips"), (100 * F.count_if("flipped") / F.count("flipped")).alias("flip_rate"), F.avg("winner_share").alias("mean_share"),
-        F.avg("top2_margin_pct").alias("mean_margin"), F.percentile("top2_margin_pct", F.lit(0.5)).alias("median_margin"), F.count_if(F.col("top2_margin_pct") <= close).alias("close"), F.max("score").alias("max_score"),
+        F.avg("top2_margin_pct").alias("mean_margin"), F.count_if(F.col("top2_margin_pct") <= close).alias("close"), F.max("score").alias("max_score"),
     )
+    out = with_median(out, rows, "region", "top2_margin_pct", "median_margin")
     top = mode(rows.groupBy("region", "winner").agg(F.count("*").alias("n")), ["region"], "winner").withColumnRenamed("winner", "top_winner")
     group = mode(rows.where("group is not null").groupBy("region", "group").agg(F.count("*").alias("n")), ["region"], "group").withColumnRenamed("group", "top_group")
     out = out.join(top, "region", "left").join(group, "region", "left")
@@ -164,7 +240,8 @@ def swing_sensitivity(actual: DataFrame, simulated: DataFrame, close: float = 5.
     """Contest features before and after a scenario: for each region seats, flips, close contests, margins, flip rate."""
     rows = simulated.join(actual.select("contest", F.col("winner").alias("before")), "contest")
     flips = F.count_if(F.col("winner") != F.col("before"))
-    return rows.groupBy("region").agg(F.count("*").alias("seats"), flips.alias("flips"), F.count_if(F.col("top2_margin_pct") <= close).alias("close"), F.avg("top2_margin_pct").alias("mean_margin"), F.percentile("top2_margin_pct", F.lit(0.5)).alias("median_margin"), (flips / F.count("*")).alias("flip_rate"))
+    out = rows.groupBy("region").agg(F.count("*").alias("seats"), flips.alias("flips"), F.count_if(F.col("top2_margin_pct") <= close).alias("close"), F.avg("top2_margin_pct").alias("mean_margin"), (flips / F.count("*")).alias("flip_rate"))
+    return with_median(out, rows, "region", "top2_margin_pct", "median_margin")
 
 
 def region_summary(compared: DataFrame, swings: DataFrame, key_options: Sequence[str]) -> DataFrame:
@@ -222,7 +299,10 @@ def master(compared: DataFrame, prev: DataFrame, curr: DataFrame, swings: DataFr
     p = prev.select("contest", F.col("top2_margin_pct").alias("prev_margin"), F.col("effective_options").alias("prev_effective"))
     c = curr.select("contest", F.col("top2_margin_pct").alias("curr_margin"), F.col("effective_options").alias("curr_effective"))
     out = compared.join(p, "contest", "left").join(c, "contest", "left").join(pivot_option(swings, options), "contest", "left")
-    out = out.withColumn("margin_change", F.col("curr_margin") - F.col("prev_margin"))
+    return with_turnout(out.withColumn("margin_change", F.col("curr_margin") - F.col("prev_margin")), turnouts, panel)
+
+
+def with_turnout(out: DataFrame, turnouts: tuple[DataFrame, DataFrame] | None, panel: DataFrame | None) -> DataFrame:
     if turnouts is not None:
         for n, t in zip(("prev", "curr"), turnouts):
             out = out.join(t.select("contest", F.col("turnout").alias(f"{n}_turnout")), "contest", "left")

@@ -8,18 +8,28 @@ from tallyspark.operators import contest as C
 from tallyspark.plans import fixtures as X
 from tallyspark.plans.registry import query
 from tallyspark.plans.fixtures import sql
+from tallyspark.sources.shared import stored
 
 KEY = ["Brand#1", "Brand#2"]
 
 
+def pairs(spark, d, options=()):
+    """Both periods of each contest from one pass over the results."""
+    return C.contest_pairs(X.results(spark, d), options=options)
+
+
+def features(spark, d, side):
+    return C.features_of(pairs(spark, d), side)
+
+
 def both(spark, d):
-    prev, curr = X.periods(spark, d)
-    return prev, curr, C.contest_features(prev, ["contest"]), C.contest_features(curr, ["contest"])
+    """(features before, features after), written once for what reads them several times"""
+    found = stored(pairs(spark, d), "pairs")
+    return C.features_of(found, "prev"), C.features_of(found, "curr")
 
 
 def scores(spark, d):
-    prev, curr, fp, fc = both(spark, d)
-    return C.volatility(C.compare_winners(fp, fc), fc, C.option_swings(prev, curr))
+    return C.volatility_of(pairs(spark, d))
 
 
 @query("w1_rank_options", sql("ranked", "SELECT period, contest, option, votes, rank, winner FROM ranked"))
@@ -81,7 +91,7 @@ def _(spark, d):
 
 @query("a4_flip_matrix", sql("compared", "SELECT prev_winner, curr_winner, count(*) AS n FROM compared WHERE flipped GROUP BY ALL"))
 def _(spark, d):
-    _, _, fp, fc = both(spark, d)
+    fp, fc = both(spark, d)
     return C.flip_matrix(C.compare_winners(fp, fc))
 
 
@@ -103,8 +113,8 @@ def _(spark, d):
            (SELECT "group" FROM r q WHERE q.region = r.region AND "group" IS NOT NULL GROUP BY "group" ORDER BY count(*) DESC, "group" LIMIT 1) AS top_group
     FROM r GROUP BY region"""))
 def _(spark, d):
-    _, _, _, fc = both(spark, d)
-    return C.region_outcomes(fc, scores(spark, d), X.option_dim(spark, d))
+    found = stored(pairs(spark, d), "pairs")
+    return C.region_outcomes(C.features_of(found, "curr"), C.volatility_of(found), X.option_dim(spark, d))
 
 
 @query("a8_region_option_summary", sql("swings features", """SELECT s.*, coalesce(p.n, 0) AS prev_seats, coalesce(c.n, 0) AS curr_seats, coalesce(c.n, 0) - coalesce(p.n, 0) AS seat_change
@@ -112,15 +122,15 @@ def _(spark, d):
     LEFT JOIN (SELECT region, winner AS option, count(*) AS n FROM features WHERE period = 1 GROUP BY ALL) p USING (region, option)
     LEFT JOIN (SELECT region, winner AS option, count(*) AS n FROM features WHERE period = 2 GROUP BY ALL) c USING (region, option)"""))
 def _(spark, d):
-    prev, curr, fp, fc = both(spark, d)
-    return C.region_option_summary(C.option_swings(prev, curr), fp, fc)
+    fp, fc = both(spark, d)
+    return C.region_option_summary(C.option_swings(*X.periods(spark, d)), fp, fc)
 
 
 @query("a9_swing_sensitivity", sql("features", """SELECT s.region, count(*) AS seats, count(*) FILTER (s.winner <> a.winner) AS flips, count(*) FILTER (s.top2_margin_pct <= 5) AS close,
     avg(s.top2_margin_pct) AS mean_margin, quantile_cont(s.top2_margin_pct, 0.5) AS median_margin, count(*) FILTER (s.winner <> a.winner) / count(*) AS flip_rate
     FROM (SELECT * FROM features WHERE period = 2) s JOIN (SELECT * FROM features WHERE period = 1) a USING (contest) GROUP BY s.region"""))
 def _(spark, d):
-    _, _, fp, fc = both(spark, d)
+    fp, fc = both(spark, d)
     return C.swing_sensitivity(fp, fc)
 
 
@@ -130,8 +140,8 @@ def _(spark, d):
     LEFT JOIN (SELECT region, option FROM (SELECT region, option, avg(swing) AS s FROM swings GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY region ORDER BY s DESC, option) = 1) g USING (region)
     GROUP BY c.region"""))
 def _(spark, d):
-    prev, curr, fp, fc = both(spark, d)
-    return C.region_summary(C.compare_winners(fp, fc), C.option_swings(prev, curr), KEY)
+    fp, fc = both(spark, d)
+    return C.region_summary(C.compare_winners(fp, fc), C.option_swings(*X.periods(spark, d)), KEY)
 
 
 @query("a29_contests_per_region", sql("results", "SELECT region, count(DISTINCT contest) AS contests FROM results GROUP BY region"))
@@ -141,7 +151,7 @@ def _(spark, d):
 
 @query("j4_compare_winners", sql("compared", "SELECT * FROM compared"))
 def _(spark, d):
-    _, _, fp, fc = both(spark, d)
+    fp, fc = both(spark, d)
     return C.compare_winners(fp, fc)
 
 
@@ -164,14 +174,14 @@ def _(spark, d):
 @query("c4_flip_report", sql("features", """SELECT a.contest, a.region, a.winner AS actual_winner, a.top2_margin_pct, s.winner AS sim_winner, s.winner_share AS sim_share, a.winner <> s.winner AS flipped
     FROM (SELECT * FROM features WHERE period = 1) a JOIN (SELECT * FROM features WHERE period = 2) s USING (contest)"""))
 def _(spark, d):
-    _, _, fp, fc = both(spark, d)
+    fp, fc = both(spark, d)
     return C.flip_report(fp, fc)
 
 
 @query("c5_battlegrounds", sql("features volatility", """SELECT a.contest, a.region, a.winner AS actual_winner, a.top2_margin_pct, s.winner AS sim_winner, s.winner_share AS sim_share, a.winner <> s.winner AS flipped, v.score, v.mean_abs_swing
     FROM (SELECT * FROM features WHERE period = 1) a JOIN (SELECT * FROM features WHERE period = 2) s USING (contest) LEFT JOIN volatility v USING (contest)"""))
 def _(spark, d):
-    _, _, fp, fc = both(spark, d)
+    fp, fc = both(spark, d)
     return C.battlegrounds(C.flip_report(fp, fc), scores(spark, d))
 
 
@@ -188,5 +198,4 @@ def _(spark, d):
     LEFT JOIN (SELECT * FROM features WHERE period = 1) p USING (contest) LEFT JOIN (SELECT * FROM features WHERE period = 2) f USING (contest)
     LEFT JOIN (SELECT contest, {PIVOT} FROM swings GROUP BY contest) v USING (contest)"""))
 def _(spark, d):
-    prev, curr, fp, fc = both(spark, d)
-    return C.master(C.compare_winners(fp, fc), fp, fc, C.option_swings(prev, curr), KEY)
+    return C.master_of(pairs(spark, d, KEY), KEY)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,31 +12,17 @@ from tallyspark.operators import relational as R
 from tallyspark.operators import summaries as A
 from tallyspark.operators import surveys as V
 from tallyspark.plans import fixtures as X
-from tallyspark.plans.contest_queries import KEY, both, scores
+from tallyspark.plans.contest_queries import KEY, pairs
 from tallyspark.plans.fixtures import sql, table
 from tallyspark.plans.registry import query
 from tallyspark.plans.summary_queries import MICRO, micro
 from tallyspark.sources import tables as T
-
-
-def scratch(spark, name):
-    """A new path in the folder that driver and executors share; a temporary folder serves local sessions without one."""
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home and not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(home or 'file://' + tempfile.mkdtemp(prefix='spark-scratch-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(spark, df, name):
-    """The table, written and read again, for what reads it several times."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tallyspark.sources.shared import new_path, stored
 
 
 @query("io2_write_table", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders")
 def _(spark, d):
-    path, orders = scratch(spark, "orders"), table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path, orders = new_path(spark, "orders"), table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     T.write_table(orders, path, "o_orderstatus")
     T.write_table(orders.where("o_orderstatus = 'P'").withColumn("o_totalprice", -F.col("o_totalprice")), path, "o_orderstatus")
     return T.read_table(spark, path)
@@ -46,7 +30,7 @@ def _(spark, d):
 
 @query("io7_read_tables_union", """SELECT CAST(c_custkey AS VARCHAR) AS a, c_name || ', "' || c_mktsegment || '"' AS b, CASE WHEN c_nationkey % 2 = 0 THEN '' || c_nationkey END AS c, CASE WHEN c_nationkey % 2 = 0 THEN 3 ELSE 2 END AS n FROM customer""")
 def _(spark, d):
-    path, rows = scratch(spark, "lines"), table(spark, d, "customer")
+    path, rows = new_path(spark, "lines"), table(spark, d, "customer")
     quoted = F.concat(F.lit('"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('"""'))
     rows.select(F.concat_ws(",", "c_custkey", quoted, F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")))).write.text(path)
     cells = T.read_tables_union(spark, path)
@@ -56,7 +40,7 @@ def _(spark, d):
 @query("io8_nested_documents", "SELECT n_regionkey, count(*) AS nations, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
 def _(spark, d):
     nested = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))  # as many as a region has
-    path = scratch(spark, "documents")
+    path = new_path(spark, "documents")
     T.write_json_documents(nested, path)
     back = spark.read.json(path)
     return back.select("n_regionkey", F.size("nations").cast("long").alias("nations"), F.array_join("nations.n_name", ",").alias("names"))
@@ -65,7 +49,7 @@ def _(spark, d):
 @query("io11_read_feature_properties", "SELECT n_nationkey, n_name, replace(n_name, '_', ' ') AS key FROM nation")
 def _(spark, d):
     lists = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.struct("n_nationkey", "n_name").alias("properties"), F.lit("Feature").alias("type"))).alias("features"))
-    path = scratch(spark, "features")
+    path = new_path(spark, "features")
     lists.select("features").repartition(5).write.json(path)
     return T.read_feature_properties(spark, path, {"key": S.norm_key(F.col("n_name"), punctuation=True)})
 
@@ -107,8 +91,8 @@ def _(spark, d):
     SELECT region, count(*) FILTER (period = 1 AND winner = 'Brand#1') AS p0, count(*) FILTER (period = 2 AND winner = 'Brand#1') AS c0, count(*) FILTER (period = 1 AND winner = 'Brand#2') AS p1, count(*) FILTER (period = 2 AND winner = 'Brand#2') AS c1
     FROM features GROUP BY region HAVING count(*) FILTER (period = 2) > 0)"""))
 def _(spark, d):
-    _, _, fp, fc = both(spark, d)
-    out = C.region_outcomes(fc, scores(spark, d), X.option_dim(spark, d), prev=fp, key_options=KEY)
+    found = stored(pairs(spark, d), "pairs")
+    out = C.region_outcomes(C.features_of(found, "curr"), C.volatility_of(found), X.option_dim(spark, d), prev=C.features_of(found, "prev"), key_options=KEY)
     return out.select("region", *[f"{n}_{k}" for k in (0, 1) for n in ("prev", "curr", "change")])
 
 
@@ -121,12 +105,10 @@ ROWS = """, rows AS (
 
 
 def profile_rows(spark, d):
-    prev, curr, fp, fc = both(spark, d)
-    swings = C.option_swings(prev, curr)
-    v = C.volatility(C.compare_winners(fp, fc), fc, swings)
-    of = swings.groupBy("contest").agg(*[F.max(F.when(F.col("option") == o, F.col("swing"))).alias(f"swing_{n}") for n, o in zip("ab", KEY)])
+    found = pairs(spark, d, KEY)
+    of = found.select("contest", *[F.col(f"`{o}_swing`").alias(f"swing_{n}") for n, o in zip("ab", KEY)])
     votes = X.results(spark, d).groupBy("contest").agg(*[(F.sum(F.when(F.col("period") == k, F.col("votes"))) / 100).alias(f"turnout_{n}") for k, n in ((1, "prev"), (2, "curr"))])
-    rows = v.join(of, "contest", "left").join(votes, "contest", "left")
+    rows = C.volatility_of(found).join(of, "contest", "left").join(votes, "contest", "left")
     few, n = F.col("mean_abs_swing") < 8, F.col("effective_options")
     return rows.select(
         "contest", "region", "flipped", F.col("top2_margin_pct").alias("margin"), "swing_a", "swing_b", "turnout_prev", "turnout_curr", F.lit(None).cast("double").alias("turnout_change"), (4 * F.col("top2_margin_pct")).alias("urban"),
@@ -165,13 +147,13 @@ def priority(spark, d, rows):
 
 @query("c8_priority_list", sql(NEEDED, PRIORITY + "SELECT *, row_number() OVER (ORDER BY points DESC, contest) AS rank FROM priority"))
 def _(spark, d):
-    return priority(spark, d, written(spark, profile_rows(spark, d), "profiles"))
+    return priority(spark, d, stored(profile_rows(spark, d), "profiles"))
 
 
 @query("c13_profile_flags", sql(NEEDED, PRIORITY + """SELECT contest, coalesce(flipped, false) AS is_flipped, coalesce(margin <= 5, false) AS is_close, coalesce(swing_a >= 10, false) AS is_large_gain_a, coalesce(swing_a <= -10, false) AS is_large_loss_a,
     coalesce(swing_b >= 10, false) AS is_large_gain_b, coalesce(swing_b <= -10, false) AS is_large_loss_b, contest IN (SELECT contest FROM priority) AS is_priority FROM rows"""))
 def _(spark, d):
-    rows = written(spark, profile_rows(spark, d), "profiles")
+    rows = stored(profile_rows(spark, d), "profiles")
     return P.rank_flags(rows, priority(spark, d, rows))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import contest as C
 from tallyspark.operators import profiles as P
 from tallyspark.operators import surveys as V
-from tallyspark.plans.contest_queries import both, scores
+from tallyspark.plans.contest_queries import features, scores
 from tallyspark.plans.fixtures import sql, table
 from tallyspark.plans.registry import query
 from tallyspark.plans.relational_queries import PAIR, survey_pair
@@ -29,14 +29,14 @@ def _(spark, d):
 @query("c14_insight_flags", sql("features", "SELECT contest, list_filter([CASE WHEN top2_margin_pct < 3 THEN 'narrow' END, CASE WHEN effective_options > 12 THEN 'crowded' END, CASE WHEN winner_share > 20 THEN 'strong' END], lambda x: x IS NOT NULL) AS insights FROM features WHERE period = 2"))
 def _(spark, d):
     rules = [("narrow", "top2_margin_pct", "<", 3), ("crowded", "effective_options", ">", 12), ("strong", "winner_share", ">", 20)]
-    return P.insight_flags(both(spark, d)[3], rules).select("contest", "insights")
+    return P.insight_flags(features(spark, d, "curr"), rules).select("contest", "insights")
 
 
 @query("c7_region_bridge", sql("features", """, o AS (SELECT region, count(*) AS seats FROM features WHERE period = 2 GROUP BY 1), f AS (SELECT n_name AS region, sum(s_acctbal) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 4 > 0 GROUP BY 1)
     SELECT o.region, seats, CASE WHEN a.region IS NOT NULL THEN a.balance WHEN b.region IS NOT NULL THEN b.balance WHEN c.region IS NOT NULL THEN c.balance END AS balance, CASE WHEN a.region IS NOT NULL THEN 'exact' WHEN b.region IS NOT NULL THEN 'composite' WHEN c.region IS NOT NULL THEN 'legacy' ELSE 'none' END AS match
     FROM o LEFT JOIN f a ON a.region = o.region LEFT JOIN f b ON o.region = 'NATION_4' AND b.region = 'NATION_5' LEFT JOIN f c ON o.region = 'NATION_8' AND c.region = 'NATION_9'"""))
 def _(spark, d):
-    outcomes = C.seat_counts(both(spark, d)[3], ["region"])
+    outcomes = C.seat_counts(features(spark, d, "curr"), ["region"])
     nation = table(spark, d, "nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("region"))
     facts = table(spark, d, "supplier").join(nation, "s_nationkey").groupBy("region").agg(F.sum("s_acctbal").alias("balance"))
     one = lambda a, b: spark.createDataFrame([(a, b)], "region string, other string")

@@ -9,7 +9,7 @@ from tallyspark.operators import contest as C
 from tallyspark.operators import relational as R
 from tallyspark.operators import whatif as Q
 from tallyspark.plans import fixtures as X
-from tallyspark.plans.contest_queries import both, scores
+from tallyspark.plans.contest_queries import features, scores
 from tallyspark.plans.fixtures import sql, table
 from tallyspark.plans.registry import query
 
@@ -52,17 +52,17 @@ def _(spark, d):
 
 @query("p8_closest_contests", sql("features", "SELECT contest, winner, top2_margin_pct FROM features WHERE period = 2 AND top2_margin_pct IS NOT NULL ORDER BY top2_margin_pct, contest LIMIT 25"))
 def _(spark, d):
-    return R.closest(both(spark, d)[3], "top2_margin_pct", 25).select("contest", "winner", "top2_margin_pct")
+    return R.closest(features(spark, d, "curr"), "top2_margin_pct", 25).select("contest", "winner", "top2_margin_pct")
 
 
 @query("p9_most_fragmented", sql("features", "SELECT contest, effective_options FROM features WHERE period = 2 ORDER BY effective_options DESC NULLS LAST, contest LIMIT 25"))
 def _(spark, d):
-    return R.greatest_by(both(spark, d)[3], "effective_options", 25).select("contest", "effective_options")
+    return R.greatest_by(features(spark, d, "curr"), "effective_options", 25).select("contest", "effective_options")
 
 
 @query("p10_vulnerable", sql("features", "SELECT contest, top2_margin_pct FROM features WHERE period = 2 AND winner = 'Brand#3' AND top2_margin_pct <= 5"))
 def _(spark, d):
-    return both(spark, d)[3].where((F.col("winner") == "Brand#3") & (F.col("top2_margin_pct") <= 5)).select("contest", "top2_margin_pct")
+    return features(spark, d, "curr").where((F.col("winner") == "Brand#3") & (F.col("top2_margin_pct") <= 5)).select("contest", "top2_margin_pct")
 
 
 @query("p11_search", "SELECT p_partkey, p_name FROM part WHERE (p_name ILIKE '%RING%' OR p_type ILIKE '%RING%') AND lower(p_type) = 'small' AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")

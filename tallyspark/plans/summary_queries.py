@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import summaries as A
 from tallyspark.plans import fixtures as X
-from tallyspark.plans.contest_queries import both, scores
+from tallyspark.plans.contest_queries import scores
 from tallyspark.plans.fixtures import sql, table
 from tallyspark.plans.registry import query
 

@@ -8,10 +8,10 @@ from tallyspark.operators import relational as R
 from tallyspark.operators import survey_cells as L
 from tallyspark.operators import surveys as V
 from tallyspark.operators import worklists as W
-from tallyspark.plans.detail_queries import written
 from tallyspark.plans.fixtures import table
 from tallyspark.plans.registry import query
 from tallyspark.plans.source_queries import GAPS, gaps
+from tallyspark.sources.shared import stored
 
 ALIASES = {f"Brand {k}": f"B{k}" for k in range(10)}
 GROUPS = {f"Zone {k}": ("zone", f"Z{k}") for k in range(10)}
@@ -40,14 +40,14 @@ def survey_cells(spark, d):
     head = head.when(F.col("kind") == 3, F.concat(heads(n(1), "Brand "), F.array(cell(n(0), n(0), n("Title"))))).otherwise(F.array(cell(n(0), n(0), n("group")), cell(n(0), n(1), n("party")), cell(n(0), n(2), n("share"))))
     tops = s.select("file", "kind").distinct().select("file", F.explode(head).alias("x"))
     sides = s.select("file", "kind").distinct().where("kind in (0, 1, 3)").select("file", F.explode(F.transform(digits, lambda j: cell(j + 1 + down, n(0), F.concat(F.when(F.col("kind") == 1, "Brand ").otherwise("Zone "), j)))).alias("x"))
-    cells = written(spark, body.unionByName(tops).unionByName(sides).select("file", "x.*").distinct(), "cells")
+    cells = stored(body.unionByName(tops).unionByName(sides).select("file", "x.*").distinct(), "cells")
     return cells, cells.select("file").distinct().withColumn("row", n(0))
 
 
 @query("r7_table_layouts", f"WITH {SUMS} SELECT file, CASE WHEN kind = 2 AND count(*) = 1 THEN 'unknown' WHEN kind = 1 THEN 'options_in_rows' WHEN kind = 2 THEN 'marginal' WHEN kind = 4 THEN 'long' ELSE 'groups_in_rows' END AS layout FROM s GROUP BY file, kind")
 def _(spark, d):
     cells, heads = survey_cells(spark, d)
-    named = written(spark, L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
+    named = stored(L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
     return L.table_layouts(named).select("file", "layout")
 
 
@@ -59,7 +59,7 @@ def _(spark, d):
     cells, heads = survey_cells(spark, d)
     f = F.col("file")
     signals = heads.select("file", F.when(f % 3 > 0, 1).otherwise(0).alias("positive"), (f % 2 * 2).alias("negative"), ((f % 4 == 0) | (f % 7 == 0)).alias("question"))
-    named = written(spark, L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
+    named = stored(L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
     rows = L.extract_cells(named, signals)
     return rows.select("file", "layout", "group_type", "group", "option", "share", "confidence").distinct()
 
@@ -78,7 +78,7 @@ def _(spark, d):
     FROM c""")
 def _(spark, d):
     cells, heads = survey_cells(spark, d)
-    named = written(spark, L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
+    named = stored(L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
     kinds = heads.select("file", F.when(F.col("file") % 3 == 0, "votes").when(F.col("file") % 3 == 1, "method").alias("kind"))
     return L.table_potential(named, L.table_layouts(named), kinds, ["votes"], ["method"]).select("file", "options", "groups", "numbers", "percents", "potential")
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from tallyspark.operators import contest as C
 from tallyspark.operators import profiles as P
 from tallyspark.operators import worklists as W
-from tallyspark.plans.contest_queries import KEY, PIVOT, both, scores
+from tallyspark.plans.contest_queries import KEY, PIVOT, pairs, scores
 from tallyspark.plans.detail_queries import NEEDED, ROWS, profile_rows
+from tallyspark.plans import fixtures as X
 from tallyspark.plans.fixtures import sql, table
 from tallyspark.plans.registry import query
 from tallyspark.plans.summary_queries import PANEL, panel
+from tallyspark.sources.shared import stored
 
 ZONES = f"""WITH p AS (SELECT zone, max(CASE WHEN returned IS NOT NULL THEN 1 ELSE 0 END) AS has FROM {PANEL} WHERE survey = 1 GROUP BY 1),
     a AS (SELECT x.n_name AS source, y.n_name AS target FROM nation x JOIN nation y ON y.n_nationkey = x.n_nationkey + 1 WHERE x.n_regionkey < 2),
@@ -74,12 +76,13 @@ def _(spark, d):
     LEFT JOIN (SELECT contest, votes / vote_share AS turnout FROM ranked WHERE winner AND period = 1) t USING (contest) LEFT JOIN (SELECT contest, votes / vote_share AS turnout FROM ranked WHERE winner AND period = 2) u USING (contest)
     LEFT JOIN (SELECT n_name, avg(s_acctbal) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) s ON s.n_name = c.region"""))
 def _(spark, d):
-    prev, curr, fp, fc = both(spark, d)
+    prev, curr = X.periods(spark, d)
+    found = stored(pairs(spark, d, KEY), "pairs")
     turnouts = tuple(C.winner_turnout(rows.withColumn("turnout", F.col("votes") / F.col("vote_share")), "turnout") for rows in (prev, curr))
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("region"))
     balance = table(spark, d, "supplier").join(nation, "s_nationkey").groupBy("region").agg(F.avg("s_acctbal").alias("balance"))
-    features = fc.select("contest", "region").join(balance, "region").select("contest", "balance")
-    return C.master(C.compare_winners(fp, fc), fp, fc, C.option_swings(prev, curr), KEY, turnouts, features)
+    features = C.features_of(found, "curr").select("contest", "region").join(balance, "region").select("contest", "balance")
+    return C.master_of(found, KEY, turnouts, features)
 
 
 def moved_sql(o: str) -> str:
