@@ -121,14 +121,17 @@ def table_potential(named: DataFrame, layouts: DataFrame, kinds: DataFrame | Non
 
 
 def prioritise_tables(tables: DataFrame, file: str, text: str, keywords: Sequence[str], boosts: Sequence[str], low: Sequence[str], types: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Each file once (its least text): score (keywords, and boosts once more), bucket, and the first of `types` with a word in it.
+    """Each file once, by all its texts: score (keywords that any text holds, and boosts once more), bucket, and the first of `types`
+    with a word in it.
 
-    high: a score of 4 with at most 2 of the `low` words; medium: 2. Empty and null texts score 0, type unclear.
+    high: a score of 4 with at most 2 of the `low` words; medium: 2. Files of empty and null texts score 0, type unclear.
     """
-    once = tables.groupBy(file).agg(F.lower(F.coalesce(F.min(text), F.lit(""))).alias("_t"))
-    count = lambda words: sum((F.contains("_t", F.lit(w)).cast("int") for w in sorted(set(words))), F.lit(0))
+    words = sorted({*keywords, *boosts, *low, *(w for some in types.values() for w in some)})
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    once = tables.groupBy(file).agg(*[F.max(F.contains(lower, F.lit(w)).cast("int")).alias(f"_{i}") for i, w in enumerate(words)])
+    count = lambda some: sum((F.col(f"_{words.index(w)}") for w in sorted(set(some))), F.lit(0))
     kind = F.lit("unclear")
-    for name, words in reversed(list(types.items())):
-        kind = F.when(count(words) > 0, name).otherwise(kind)
-    out = once.withColumns({"score": count(keywords) + count(boosts), "_low": count(low), "suggested": kind})
-    return out.withColumn("bucket", F.when((F.col("score") >= 4) & (F.col("_low") <= 2), "high").when(F.col("score") >= 2, "medium").otherwise("low")).drop("_t", "_low")
+    for name, some in reversed(list(types.items())):
+        kind = F.when(count(some) > 0, name).otherwise(kind)
+    out = once.select(file, (count(keywords) + count(boosts)).alias("score"), count(low).alias("_low"), kind.alias("suggested"))
+    return out.withColumn("bucket", F.when((F.col("score") >= 4) & (F.col("_low") <= 2), "high").when(F.col("score") >= 2, "medium").otherwise("low")).drop("_low")

@@ -92,11 +92,12 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", S.clamp(F.col("value"), 5.0, 100.0).alias("value"))
 
 
-@query("s16_parse_percent", "SELECT event_id, CASE WHEN value <= 100 THEN value END AS strict, CAST(k AS DOUBLE) AS loose FROM (SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS k FROM events) WHERE k > 1 AND value > 1")
+@query("s16_parse_percent", """SELECT event_id, CASE WHEN value BETWEEN 0 AND 100 THEN value END AS strict, CASE WHEN k = 1 THEN 100 WHEN k <= 100 THEN k END::DOUBLE AS loose,
+    CASE WHEN f > 0 AND f <= 1 THEN f * 100 WHEN f BETWEEN 0 AND 100 THEN f END AS scaled FROM (SELECT *, TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS k, value / 100 AS f FROM events)""")
 def _(spark, d):
-    k = F.regexp_extract("props", r"(\d+)", 1)
-    rows = table(spark, d, "events").where((k.cast("int") > 1) & (F.col("value") > 1))
-    return rows.select("event_id", S.parse_percent(F.concat(F.col("value").cast("string"), F.lit("%"))).alias("strict"), S.parse_percent(F.concat(k, F.lit(" per cent (n=500)")), loose=True).alias("loose"))
+    k, text = F.regexp_extract("props", r"(\d+)", 1), lambda c: c.cast("string")
+    cells = {"strict": F.concat(text(F.col("value")), F.lit("%")), "loose": F.concat(k, F.lit(" per cent (n=500)")), "scaled": text(F.col("value") / 100)}
+    return table(spark, d, "events").select("event_id", *[S.parse_percent(c, loose=n == "loose").alias(n) for n, c in cells.items()])
 
 
 @query("s17_rank_label", "SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 ELSE 0 END AS rank FROM orders")

@@ -32,12 +32,12 @@ def _(spark, d):
     return P.insight_flags(features(spark, d, "curr"), rules).select("contest", "insights")
 
 
-@query("c7_region_bridge", sql("features", """, o AS (SELECT region, count(*) AS seats FROM features WHERE period = 2 GROUP BY 1), f AS (SELECT n_name AS region, sum(s_acctbal) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 4 > 0 GROUP BY 1)
+@query("c7_region_bridge", sql("features", """, o AS (SELECT region, count(*) AS seats FROM features WHERE period = 2 GROUP BY 1), f AS (SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_name END AS region, sum(s_acctbal) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
     SELECT o.region, seats, CASE WHEN a.region IS NOT NULL THEN a.balance WHEN b.region IS NOT NULL THEN b.balance WHEN c.region IS NOT NULL THEN c.balance END AS balance, CASE WHEN a.region IS NOT NULL THEN 'exact' WHEN b.region IS NOT NULL THEN 'composite' WHEN c.region IS NOT NULL THEN 'legacy' ELSE 'none' END AS match
     FROM o LEFT JOIN f a ON a.region = o.region LEFT JOIN f b ON o.region = 'NATION_4' AND b.region = 'NATION_5' LEFT JOIN f c ON o.region = 'NATION_8' AND c.region = 'NATION_9'"""))
 def _(spark, d):
     outcomes = C.seat_counts(features(spark, d, "curr"), ["region"])
-    nation = table(spark, d, "nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("region"))
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.when(F.col("n_nationkey") % 4 > 0, F.col("n_name")).alias("region"))
     facts = table(spark, d, "supplier").join(nation, "s_nationkey").groupBy("region").agg(F.sum("s_acctbal").alias("balance"))
     one = lambda a, b: spark.createDataFrame([(a, b)], "region string, other string")
     return P.region_bridge(outcomes, facts, "region", one("NATION_4", "NATION_5"), one("NATION_8", "NATION_9"))
@@ -58,20 +58,20 @@ def _(spark, d):
     return P.coded_totals(table(spark, d, "orders"), "o_custkey", "o_orderstatus", ["F", "O"], ["o_totalprice"], 5)
 
 
-@query("d11_region_census", "WITH a AS (SELECT c_nationkey AS k, sum(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS x FROM customer WHERE c_nationkey % 5 > 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, sum(s_acctbal) AS x FROM supplier GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(a.x, b.x) AS x FROM a FULL JOIN b ON a.k = b.k")
+@query("d11_region_census", "WITH a AS (SELECT CASE WHEN c_nationkey % 5 > 0 THEN c_nationkey END AS k, sum(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS x FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, sum(s_acctbal) AS x FROM supplier GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(a.x, b.x) AS x FROM a FULL JOIN b ON a.k = b.k")
 def _(spark, d):
     from tallyspark.operators import relational as R
 
-    a = table(spark, d, "customer").where("c_nationkey % 5 > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("x"))
+    a = table(spark, d, "customer").groupBy(F.when(F.col("c_nationkey") % 5 > 0, F.col("c_nationkey")).alias("k")).agg(F.sum(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("x"))
     b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("x"))
     return R.coalesce_join(a, b, ["k"], ["x"], how="full_outer")
 
 
-@query("d9_zone_master", "SELECT n_nationkey, n_name, coalesce(c, s) AS balance FROM nation LEFT JOIN (SELECT c_nationkey, max(c_acctbal) AS c FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+@query("d9_zone_master", "SELECT n_nationkey, n_name, coalesce(c, s) AS balance FROM nation LEFT JOIN (SELECT c_nationkey, max(CASE WHEN c_nationkey % 2 = 0 THEN c_acctbal END) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
 def _(spark, d):
     from tallyspark.operators import relational as R
 
-    first = table(spark, d, "customer").where("c_nationkey % 2 = 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.max("c_acctbal").alias("balance"))
+    first = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.max(F.when(F.col("c_nationkey") % 2 == 0, F.col("c_acctbal"))).alias("balance"))
     second = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.max("s_acctbal").alias("balance"))
     spine = R.multi_left_join(table(spark, d, "nation").select("n_nationkey", "n_name"), [(first, ["n_nationkey"])])
     return R.coalesce_join(spine, second, ["n_nationkey"], ["balance"])

@@ -65,8 +65,8 @@ def _(spark, d):
 
 
 @query("v12_prioritise_tables", """SELECT source, score, CASE WHEN score >= 4 AND low <= 2 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS bucket, suggested FROM (
-    SELECT source, 2 * CAST(contains(t, 'the ') AS INT) + CAST(contains(t, ' of ') AS INT) + CAST(contains(t, ' und ') AS INT) + 2 * CAST(contains(t, 'token') AS INT) AS score, CAST(contains(t, 'license') AS INT) + CAST(contains(t, '@') AS INT) + CAST(contains(t, ' der ') AS INT) AS low,
-           CASE WHEN contains(t, ' der ') OR contains(t, ' und ') THEN 'de' WHEN contains(t, 'the ') THEN 'en' ELSE 'unclear' END AS suggested FROM (SELECT source, lower(coalesce(min(text), '')) AS t FROM documents GROUP BY 1))""")
+    SELECT source, 2 * the + of_ + und + 2 * token AS score, license + mark + der AS low, CASE WHEN der + und > 0 THEN 'de' WHEN the > 0 THEN 'en' ELSE 'unclear' END AS suggested FROM (
+    SELECT source, max(CAST(contains(lower(coalesce(text, '')), ' der ') AS INT)) AS der, max(CAST(contains(lower(coalesce(text, '')), 'the ') AS INT)) AS the, max(CAST(contains(lower(coalesce(text, '')), ' of ') AS INT)) AS of_, max(CAST(contains(lower(coalesce(text, '')), ' und ') AS INT)) AS und, max(CAST(contains(lower(coalesce(text, '')), 'token') AS INT)) AS token, max(CAST(contains(lower(coalesce(text, '')), 'license') AS INT)) AS license, max(CAST(contains(lower(coalesce(text, '')), '@') AS INT)) AS mark FROM documents GROUP BY 1))""")
 def _(spark, d):
     types = {"de": [" der ", " und "], "en": ["the "]}
     return L.prioritise_tables(table(spark, d, "documents"), "source", "text", ["the ", " of ", " und ", "token"], ["the ", "token"], ["license", "@", " der "], types)
