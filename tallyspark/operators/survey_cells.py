@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import parse_percent
@@ -19,48 +19,61 @@ ROLES = {"group": ("group", "voter_group", "category"), "option": ("option", "pa
 Groups = Mapping[str, tuple[str, str]]
 
 
-def named_cells(cells: DataFrame, heads: DataFrame, aliases: Mapping[str, str], groups: Groups, skip: Sequence[str] = ()) -> DataFrame:
-    """The cells from their file's header row on, with head (in the header row), canonical (option), group_type and group."""
-    rows = cells.join(heads.select("file", F.col("row").alias("_h")), "file").where("row >= _h")
-    return match_group(match_label(rows, "value", aliases, skip), "value", groups).withColumn("head", F.col("row") == F.col("_h")).drop("_h")
+OF_FILE, OF_COLUMN, OF_ROW = ("file",), ("file", "col"), ("file", "row")
+LAYOUT = ("option_cols", "group_cols", "most_options", "option_rows", "group_rows", "label_col", "share_col", "group_col", "option_col", "layout")
 
 
-def shifted_headers(cells: DataFrame, heads: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
-    """The header row of each file; the row below it where the header names no option and that row names at least two."""
-    rows = match_label(cells.join(heads.select("file", F.col("row").alias("_h")), "file").where("row in (_h, _h + 1)"), "value", aliases)
-    hits = lambda at: F.count_if((F.col("row") == at) & F.col("canonical").isNotNull())
-    down = (hits(F.col("_h")) == 0) & (hits(F.col("_h") + 1) >= 2)
-    return rows.groupBy("file", "_h").agg(down.cast("int").alias("_d")).select("file", (F.col("_h") + F.col("_d")).alias("row"))
+def file_cells(cells: DataFrame, heads: DataFrame, aliases: Mapping[str, str], groups: Groups, skip: Sequence[str] = ()) -> DataFrame:
+    """The cells from their file's header row on, beside all that their table's edges say. heads: file, row (of the header).
 
+    Adds canonical (option), group_type and group of the cell's own text; head (in the header row, which is one lower where that row
+    names no option and the next at least two); hits on both edges, the most options of a column, label_col, share_col, group_col,
+    option_col and the layout of the file: long, groups_in_rows, options_in_rows, marginal (labels and one share column) or unknown.
+
+    Cells are dealt by file once; everything else is a window over a file, a column or a row of it, none of which needs more than
+    that. A file is one survey table and fits a task.
+    """
+    named = match_group(match_label(cells, "value", aliases, skip), "value", groups)
+    rows = named.join(heads.select("file", F.col("row").alias("_h")), "file")
+    hits = lambda at: F.count_if((F.col("row") == at) & F.col("canonical").isNotNull()).over(Window.partitionBy(*OF_FILE))
+    rows = rows.withColumns({"_own": hits(F.col("_h")), "_next": hits(F.col("_h") + 1)})
+    rows = rows.withColumn("_h", F.col("_h") + ((F.col("_own") == 0) & (F.col("_next") >= 2)).cast("int")).where("row >= _h").withColumn("head", F.col("row") == F.col("_h"))
 
-def table_layouts(named: DataFrame) -> DataFrame:
-    """named: of `named_cells`. Per file: hits on both edges, the most options of a column, label_col, share_col, group_col, option_col and layout: long,
-    groups_in_rows, options_in_rows, marginal (labels and one share column) or unknown."""
     text = F.lower(F.trim("value"))
-    head, below, option, group = F.col("head"), ~F.col("head"), F.col("canonical").isNotNull(), F.col("group").isNotNull()
-    any_of = lambda c: F.coalesce(F.bool_or(head & c), F.lit(False))
     marked = F.lit(False)
     for mark in SHARE_MARKS:
         marked = marked | F.contains(text, F.lit(mark))
-    per = named.groupBy("file", "col").agg(
-        any_of(option).alias("option_head"), any_of(group).alias("group_head"), any_of(marked).alias("share_head"), any_of(text.isin(*SAMPLE_HEADERS)).alias("sample"),
-        *[any_of(text.isin(*words)).alias(f"{role}_role") for role, words in ROLES.items()],
-        F.count_if(below & option).alias("options"), F.count_if(below & group).alias("groups"), F.count_if(below & parse_percent(F.col("value"), loose=True).isNotNull()).alias("shares"), F.count_if(below).alias("rows"),
-    )
+    head, below, option, group = F.col("head"), ~F.col("head"), F.col("canonical").isNotNull(), F.col("group").isNotNull()
+    any_of = lambda c: F.coalesce(F.bool_or(head & c).over(Window.partitionBy(*OF_COLUMN)), F.lit(False))
+    count = lambda c: F.count_if(below & c).over(Window.partitionBy(*OF_COLUMN))
+    rows = rows.withColumn("_share", F.round(parse_percent(F.col("value"), loose=True), 3)).withColumns({
+        "option_head": any_of(option), "group_head": any_of(group), "share_head": any_of(marked), "sample": any_of(text.isin(*SAMPLE_HEADERS)), **{f"{role}_role": any_of(text.isin(*words)) for role, words in ROLES.items()},
+        "options": count(option), "groups": count(group), "shares": count(F.col("_share").isNotNull()), "rows": count(F.lit(True)), "_one": F.row_number().over(Window.partitionBy(*OF_COLUMN).orderBy("row")) == 1,
+    })
+
+    # of a file, by one cell of each column
+    one = lambda f, c: f(F.when(F.col("_one"), c)).over(Window.partitionBy(*OF_FILE))
+    tally = lambda name: F.count_if(F.col("_one") & F.col(name)).over(Window.partitionBy(*OF_FILE))
+    left = lambda name: F.coalesce(one(F.max, F.when(F.col("col") == 0, F.col(name))), F.lit(0))
+    first = lambda c: one(F.min, F.when(c, F.col("col")))
     labels = ~F.col("sample") & ~F.col("share_head") & (F.col("options") >= 2)
     filled = ~F.col("sample") & (F.col("options") < 2) & (F.col("shares") >= F.greatest(F.lit(2), F.floor(F.col("rows") / 4)))
-    first = lambda name: F.min(F.when(F.col(name), F.col("col")))
-    out = per.groupBy("file").agg(
-        F.count_if("option_head").alias("option_cols"), F.count_if("group_head").alias("group_cols"), F.max("options").alias("most_options"),
-        F.coalesce(F.max(F.when(F.col("col") == 0, F.col("options"))), F.lit(0)).alias("option_rows"), F.coalesce(F.max(F.when(F.col("col") == 0, F.col("groups"))), F.lit(0)).alias("group_rows"),
-        F.min(F.when(labels, F.struct((-F.col("options")).alias("n"), "col")))["col"].alias("label_col"), F.coalesce(first("share_head"), F.min(F.when(filled, F.col("col")))).alias("share_col"),
-        first("group_role").alias("group_col"), first("option_role").alias("option_col"), first("share_role").alias("_share"),
-    )
+    rows = rows.withColumns({
+        "option_cols": tally("option_head"), "group_cols": tally("group_head"), "most_options": one(F.max, F.col("options")), "option_rows": left("options"), "group_rows": left("groups"),
+        "_label": one(F.min, F.when(labels, F.struct((-F.col("options")).alias("n"), "col"))), "share_col": F.coalesce(first(F.col("share_head")), first(filled)),
+        "group_col": first(F.col("group_role")), "option_col": first(F.col("option_role")), "_long": first(F.col("share_role")),
+    }).withColumn("label_col", F.col("_label.col"))
     crossed = lambda a, b, n: (F.col(a) >= n) & (F.col(b) >= n)
-    long = F.col("group_col").isNotNull() & F.col("option_col").isNotNull() & F.col("_share").isNotNull()
+    long = F.col("group_col").isNotNull() & F.col("option_col").isNotNull() & F.col("_long").isNotNull()
     layout = F.when(long, "long").when(crossed("option_cols", "group_rows", 2), "groups_in_rows").when(crossed("option_rows", "group_cols", 2), "options_in_rows")
     layout = layout.when(F.col("label_col").isNotNull() & F.col("share_col").isNotNull(), "marginal").when(crossed("option_cols", "group_rows", 1), "groups_in_rows").when(crossed("option_rows", "group_cols", 1), "options_in_rows")
-    return out.withColumns({"layout": layout.otherwise("unknown"), "share_col": F.when(long, F.col("_share")).otherwise(F.col("share_col"))}).drop("_share")
+    rows = rows.withColumns({"layout": layout.otherwise("unknown"), "share_col": F.when(long, F.col("_long")).otherwise(F.col("share_col"))})
+    return rows.select("file", "row", "col", "value", "canonical", "group_type", "group", "head", F.col("_share").alias("share"), *LAYOUT)
+
+
+def table_layouts(cells: DataFrame) -> DataFrame:
+    """cells: of `file_cells`. What they say of each file, once."""
+    return cells.groupBy("file").agg(*[F.first(c).alias(c) for c in LAYOUT])
 
 
 def row_confidence(options: Column, positive: Column, negative: Column, explicit: Column) -> Column:
@@ -70,48 +83,47 @@ def row_confidence(options: Column, positive: Column, negative: Column, explicit
     return F.when(negative & ~positive, "low").when((options >= 2) & positive, sure).when((options >= 1) & (positive | explicit), "medium").otherwise("low")
 
 
-def extract_cells(named: DataFrame, signals: DataFrame | None = None, whole: tuple[str, str] = ("electorate", "all voters")) -> DataFrame:
+def extract_cells(cells: DataFrame, signals: DataFrame | None = None, whole: tuple[str, str] = ("electorate", "all voters")) -> DataFrame:
     """Distinct rows (file, layout, group_type, group, option, share, row_label, col_label, confidence) of all tables whose layout is known.
 
-    named: of `named_cells`; it is read several times, so store it first.
+    cells: of `file_cells`; the edges of a row or column stand beside each of its cells, so nothing is joined but the signals.
     signals: file, positive, negative (numbers of context words), question (the vote question is asked); tables with two negative
     words and no question are left out; without signals no context is known. The rows of a marginal table belong to `whole`.
     """
-    known = table_layouts(named).where("layout <> 'unknown'").select("file", "layout", "label_col", "share_col", "group_col", "option_col", F.greatest("option_cols", "most_options").alias("_n"))
-    if signals is None:
-        known = known.withColumns({"positive": F.lit(False), "negative": F.lit(False)})
-    else:
-        asked = F.coalesce("question", F.lit(False))
-        flags = signals.select("file", (asked | (F.coalesce("positive", F.lit(0)) >= 1)).alias("positive"), (F.coalesce("negative", F.lit(0)) >= 2).alias("negative"), asked.alias("_q"))
-        known = known.join(flags, "file", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("positive", "negative", "_q")}).where("not negative or _q").drop("_q")
-    rows = named.join(known, "file")
     is_layout = lambda *names: F.col("layout").isin(*names)
+    rows = cells.where("layout <> 'unknown'")
     label_at = F.when(is_layout("marginal"), F.col("label_col")).when(is_layout("long"), F.col("option_col")).otherwise(F.lit(0))
     group_at = F.when(is_layout("long"), F.col("group_col")).when(is_layout("groups_in_rows"), F.lit(0))
-    here = F.struct("group_type", "group")
-    sides = rows.where("not head").groupBy("file", "row").agg(
-        F.max(F.when(F.col("col") == label_at, F.col("canonical"))).alias("_ro"), F.max(F.when((F.col("col") == group_at) & F.col("group").isNotNull(), here)).alias("_rg"), F.max(F.when(F.col("col") == label_at, F.trim("value"))).alias("row_label")
-    )
-    tops = rows.where("head").groupBy("file", "col").agg(F.max("canonical").alias("_co"), F.max(F.when(F.col("group").isNotNull(), here)).alias("_cg"), F.max(F.trim("value")).alias("col_label"))
-    body = rows.where("not head").withColumn("share", F.round(parse_percent(F.col("value"), loose=True), 3)).where("share is not null").where(F.when(is_layout("marginal", "long"), F.col("col") == F.col("share_col")).otherwise(F.col("col") > 0))
-    both = body.select("file", "row", "col", "share", "layout", "positive", "negative", "_n").join(sides, ["file", "row"]).join(tops, ["file", "col"])
+    here, below, head = F.when(F.col("group").isNotNull(), F.struct("group_type", "group")), ~F.col("head"), F.col("head")
+    beside = lambda at, c: F.max(F.when(below & (F.col("col") == at), c)).over(Window.partitionBy(*OF_ROW))
+    above = lambda c: F.max(F.when(head, c)).over(Window.partitionBy(*OF_COLUMN))
+    rows = rows.withColumns({"_co": above(F.col("canonical")), "_cg": above(here), "col_label": above(F.trim("value"))})
+    rows = rows.withColumns({"_ro": beside(label_at, F.col("canonical")), "_rg": beside(group_at, here), "row_label": beside(label_at, F.trim("value"))})
+    body = rows.where(below & F.col("share").isNotNull() & F.when(is_layout("marginal", "long"), F.col("col") == F.col("share_col")).otherwise(F.col("col") > 0))
     option = F.when(is_layout("groups_in_rows"), F.col("_co")).otherwise(F.col("_ro"))
     group = F.when(is_layout("marginal"), F.struct(F.lit(whole[0]).alias("group_type"), F.lit(whole[1]).alias("group"))).when(is_layout("options_in_rows"), F.col("_cg")).otherwise(F.col("_rg"))
-    out = both.withColumns({"option": option, "_g": group}).where("option is not null and _g is not null")
+    out = body.withColumns({"option": option, "_g": group, "_n": F.greatest("option_cols", "most_options")}).where("option is not null and _g is not null")
+    if signals is None:
+        out = out.withColumns({"positive": F.lit(False), "negative": F.lit(False)})
+    else:
+        asked = F.coalesce("question", F.lit(False))
+        flags = signals.select("file", (asked | (F.coalesce("positive", F.lit(0)) >= 1)).alias("positive"), (F.coalesce("negative", F.lit(0)) >= 2).alias("negative"), asked.alias("_q"))
+        out = out.join(flags, "file", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("positive", "negative", "_q")}).where("not negative or _q")
     sure = row_confidence(F.col("_n"), F.col("positive"), F.col("negative"), ~is_layout("marginal"))
     return out.select("file", "layout", "_g.group_type", "_g.group", "option", "share", "row_label", "col_label", sure.alias("confidence")).distinct()
 
 
-def table_potential(named: DataFrame, layouts: DataFrame, kinds: DataFrame | None = None, useful: Sequence[str] = (), useless: Sequence[str] = ()) -> DataFrame:
-    """Per file: distinct options and groups named, numeric and percent cells, layout and the potential of extracting it.
+def table_potential(cells: DataFrame, kinds: DataFrame | None = None, useful: Sequence[str] = (), useless: Sequence[str] = ()) -> DataFrame:
+    """Per file: distinct options and groups named, numeric and percent cells, layout and the potential of extracting it. cells: of `file_cells`.
 
     kinds: file, kind; kinds in `useful` add 15, in `useless` take 20. Fixed values: 4 an option and 3 a group (at most 6 each), 12 for a
     crossed or marginal layout, 0.4 a percent cell (at most 30), 0.05 a number (at most 40).
     """
-    per = named.groupBy("file").agg(
+    per = cells.groupBy("file").agg(
+        F.first("layout").alias("layout"),
         F.count_distinct("canonical").alias("options"), F.count_distinct(F.when(F.col("group").isNotNull(), F.struct("group_type", "group"))).alias("groups"),
         F.count_if(~F.col("head") & F.trim("value").try_cast("double").isNotNull()).alias("numbers"), F.count_if(~F.col("head") & parse_percent(F.col("value")).isNotNull()).alias("percents"),
-    ).join(layouts.select("file", "layout"), "file")
+    )
     per = per.withColumn("kind", F.lit(None).cast("string")) if kinds is None else per.join(kinds.select("file", "kind"), "file", "left")
     most = lambda c, n, k: F.least(F.col(c), F.lit(n)) * F.lit(k)
     shape = F.when(F.col("layout").isin("groups_in_rows", "options_in_rows", "marginal"), 12.0).otherwise(0.0)

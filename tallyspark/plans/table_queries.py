@@ -47,20 +47,18 @@ def survey_cells(spark, d):
 @query("r7_table_layouts", f"WITH {SUMS} SELECT file, CASE WHEN kind = 2 AND count(*) = 1 THEN 'unknown' WHEN kind = 1 THEN 'options_in_rows' WHEN kind = 2 THEN 'marginal' WHEN kind = 4 THEN 'long' ELSE 'groups_in_rows' END AS layout FROM s GROUP BY file, kind")
 def _(spark, d):
     cells, heads = survey_cells(spark, d)
-    named = stored(L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
-    return L.table_layouts(named).select("file", "layout")
+    return L.table_layouts(L.file_cells(cells, heads, ALIASES, GROUPS)).select("file", "layout")
 
 
 @query("v5_extract_cells", f"""WITH {SUMS}, f AS (SELECT *, count(*) OVER (PARTITION BY file) AS n, file % 2 = 1 AS neg, file % 4 = 0 OR file % 7 = 0 AS q, file % 3 > 0 OR file % 4 = 0 OR file % 7 = 0 AS pos FROM s)
-    SELECT DISTINCT file, CASE kind WHEN 1 THEN 'options_in_rows' WHEN 2 THEN 'marginal' WHEN 4 THEN 'long' ELSE 'groups_in_rows' END AS layout, CASE kind WHEN 2 THEN 'electorate' ELSE 'zone' END AS group_type, CASE kind WHEN 2 THEN 'all voters' ELSE 'Z' || g END AS "group", 'B' || o AS option, share,
+    SELECT DISTINCT file, CASE kind WHEN 1 THEN 'options_in_rows' WHEN 2 THEN 'marginal' WHEN 4 THEN 'long' ELSE 'groups_in_rows' END AS layout, CASE kind WHEN 2 THEN 'electorate' ELSE 'zone' END AS group_type, CASE kind WHEN 2 THEN 'all voters' ELSE 'Z' || g END AS "group", 'B' || o AS option, CASE WHEN share <= 1 THEN 100 * share ELSE share END AS share,
            CASE WHEN neg AND NOT pos THEN 'low' WHEN pos AND (kind <> 4 OR n > 1) THEN CASE WHEN kind = 2 OR neg THEN 'medium' ELSE 'high' END WHEN pos OR kind <> 2 THEN 'medium' ELSE 'low' END AS confidence
     FROM f WHERE (kind <> 2 OR n > 1) AND NOT (neg AND NOT q)""")
 def _(spark, d):
     cells, heads = survey_cells(spark, d)
     f = F.col("file")
     signals = heads.select("file", F.when(f % 3 > 0, 1).otherwise(0).alias("positive"), (f % 2 * 2).alias("negative"), ((f % 4 == 0) | (f % 7 == 0)).alias("question"))
-    named = stored(L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
-    rows = L.extract_cells(named, signals)
+    rows = L.extract_cells(L.file_cells(cells, heads, ALIASES, GROUPS), signals)
     return rows.select("file", "layout", "group_type", "group", "option", "share", "confidence").distinct()
 
 
@@ -78,9 +76,8 @@ def _(spark, d):
     FROM c""")
 def _(spark, d):
     cells, heads = survey_cells(spark, d)
-    named = stored(L.named_cells(cells, L.shifted_headers(cells, heads, ALIASES), ALIASES, GROUPS), "named")
     kinds = heads.select("file", F.when(F.col("file") % 3 == 0, "votes").when(F.col("file") % 3 == 1, "method").alias("kind"))
-    return L.table_potential(named, L.table_layouts(named), kinds, ["votes"], ["method"]).select("file", "options", "groups", "numbers", "percents", "potential")
+    return L.table_potential(L.file_cells(cells, heads, ALIASES, GROUPS), kinds, ["votes"], ["method"]).select("file", "options", "groups", "numbers", "percents", "potential")
 
 
 MARKED = "len(regexp_extract_all(lower(text), '{}'))"
