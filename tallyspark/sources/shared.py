@@ -32,3 +32,14 @@ def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """`df` as a table of `buckets` (default: the session's shuffle partitions) sorted by `keys`, shuffled once here; joins and groups by
+    these keys read it as it lies. The catalogue entry lasts as long as the session's warehouse; the files stand in the shared folder."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, name)
+    label = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(label)
+    return spark.table(label)
