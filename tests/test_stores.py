@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import relational
+from tallyspark.operators import dataset_report, relational
 from tallyspark.sources import stores
 from tallyspark.sources.shared import stored_bucketed
 
@@ -61,3 +61,20 @@ def test_bucketed_joins_do_not_move_the_spine(spark):
     assert plan.count("SortMergeJoin") == 8 and "Exchange" not in plan
     held = {r.k: r.n for r in found.select("k", sum((F.col(f"v{i}").isNotNull().cast("int") for i in range(8)), F.lit(0)).alias("n")).collect()}
     assert held == {k: sum(k % (i + 2) == 0 for i in range(8)) for k in range(500)}
+
+
+def test_dataset_report_merges_states(spark, tmp_path):
+    make = lambda: dataset_report.DatasetReport(spark, str(tmp_path), {"regions": ["region"], "zones": ["region", "zone"]}, ["x", "y"])
+    columns = "region string, zone string, has_old boolean, has_new boolean, quality string, coverage double, x double, y double"
+    first = [("a", "1", True, True, "low", 0.5, 1.0, None), ("a", "1", True, False, "high", None, None, None), ("b", None, None, None, None, 0.9, 1.0, 1.0), ("a:1", "1", False, True, "low", 1.0, 1.0, 1.0)]
+    second = [("a", "2", True, True, "low", 0.1, None, None), ("c", "1", True, True, "high", 1.0, 1.0, 1.0), (None, "1", True, True, "high", 1.0, 1.0, 1.0)]
+    source = spark.createDataFrame(first, columns)
+    source.write.parquet(f"{tmp_path}/first.parquet")
+    make().add("first", spark.read.parquet(f"{tmp_path}/first.parquet"))
+    os.rename(f"{tmp_path}/first.parquet", f"{tmp_path}/gone.parquet")
+    make().add("second", spark.createDataFrame(second, columns))
+    assert tuple(make().report("d").first()) == ("d", 7, 4, 4, 4, 3, "2 rows of one round only; 2 rows with a coverage below 0.85; most missing: y=43%, x=29%")
+    with pytest.raises(ValueError):
+        make().add("second", source)
+    empty = dataset_report.DatasetReport(spark, f"{tmp_path}/empty", {"regions": ["region"]}, ["x"])
+    assert tuple(empty.report("none").first()) == ("none", 0, 0, 0, 0, "no rows")
