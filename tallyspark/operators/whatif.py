@@ -6,7 +6,7 @@ contest whose shares sum to 0 as it is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,27 @@ def project(results: DataFrame, rules: DataFrame, others: float = 0.0) -> DataFr
     return ranked_by(rescale(moved.withColumn("sim_share", F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))).drop("d_own", "d_all")))
 
 
+def simulated_base(results: DataFrame, contests: DataFrame, named: Mapping[str, str], region: str | None = None, low_quality: bool = True, low: Sequence[str] = ("election_only", "low"), rest: str = "OTHERS") -> DataFrame:
+    """Base shares of the contests that a scenario simulates: region, contest, option, vote_share, rank, completeness.
+
+    contests: contest, region, winner, quality and the columns of `named` (option -> column of its share). With `region` only that
+    region is simulated; without `low_quality` contests with a label in `low` are left out. Contests with rows in `results` are full; of
+    the others only the named shares are known: they are limited, and what is left of 100 goes to the winner, or to `rest` where
+    the winner is a named option (or unknown). Rank 1 is the winner's row.
+    """
+    kept = contests if region is None else contests.where(F.col("region") == region)
+    if not low_quality:
+        kept = kept.where(~F.coalesce(F.col("quality").isin(*low), F.lit(False)))
+    full = results.join(kept.select("contest"), "contest", "left_semi").select("region", "contest", "option", "vote_share", "rank", F.lit("full").alias("completeness"))
+    held = results.select("contest").distinct()
+    known = [F.struct(F.lit(o).alias("option"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("vote_share")) for o, c in named.items()]
+    left = F.greatest(F.lit(0.0), 100 - sum((x["vote_share"] for x in known), F.lit(0.0)))
+    other = F.when(F.col("winner").isin(*named), F.lit(rest)).otherwise(F.coalesce("winner", F.lit(rest)))
+    rows = kept.join(held, "contest", "left_anti").select("region", "contest", "winner", F.inline(F.array(*known, F.struct(other.alias("option"), left.alias("vote_share")))))
+    first = F.when(F.col("option") == F.coalesce("winner", F.lit(rest)), F.lit(1)).cast("long")
+    return full.unionByName(rows.select("region", "contest", "option", "vote_share", first.alias("rank"), F.lit("limited").alias("completeness")))
+
+
 def projected_winners(projected: DataFrame) -> DataFrame:
     """One row for each contest: base and projected winner, margin, changed, confidence by margin."""
     at = lambda r, c: F.max(F.when(F.col("sim_rank") == r, F.col(c)))

@@ -9,9 +9,10 @@ from tallyspark.operators import contest as C
 from tallyspark.operators import relational as R
 from tallyspark.operators import whatif as Q
 from tallyspark.plans import fixtures as X
-from tallyspark.plans.contest_queries import features, scores
+from tallyspark.plans.contest_queries import features, pairs, scores
 from tallyspark.plans.fixtures import sql, table
 from tallyspark.plans.registry import query
+from tallyspark.sources.shared import stored
 
 
 @query("p1_clean_column_names", "SELECT c_custkey AS customer_key, c_mktsegment AS market_segment FROM customer")
@@ -352,6 +353,24 @@ def _(spark, d):
     return projected(spark, d)
 
 
+LIMITED = PROJECT.replace("FROM ranked WHERE period = 2)", "FROM base)")
+
+
+@query("f4_project_limited", sql("ranked features", """, c AS (SELECT f.contest, f.region, f.winner, f.top2_margin_pct < 1 AS limited, (SELECT vote_share FROM ranked r WHERE period = 2 AND r.contest = f.contest AND option = 'Brand#1') AS s1, (SELECT vote_share FROM ranked r WHERE period = 2 AND r.contest = f.contest AND option = 'Brand#2') AS s2 FROM features f WHERE period = 2 AND effective_options >= 9),
+    base AS (SELECT r.region, r.contest, r.option, r.vote_share, r.rank, 'full' AS completeness FROM ranked r JOIN c USING (contest) WHERE period = 2 AND limited IS NOT TRUE
+        UNION ALL SELECT region, contest, o, v, CASE WHEN o = winner THEN 1 END, 'limited' FROM (SELECT *, unnest(['Brand#1', 'Brand#2', CASE WHEN winner IN ('Brand#1', 'Brand#2') THEN 'OTHERS' ELSE winner END]) AS o, unnest([coalesce(s1, 0), coalesce(s2, 0), greatest(0, 100 - coalesce(s1, 0) - coalesce(s2, 0))]) AS v FROM c WHERE limited))""" + LIMITED + """ SELECT w.contest, w.region, base_winner, sim_winner, sim_margin, base_winner <> sim_winner AS changed, completeness FROM w JOIN (SELECT DISTINCT contest, completeness FROM base) USING (contest)"""))
+def _(spark, d):
+    """Narrow contests are known by two shares only; crowded ones are of good quality, others are left out."""
+    found = stored(pairs(spark, d, ["Brand#1", "Brand#2"]).where("curr_options > 0"), "pairs")
+    few = F.when(F.col("curr_effective_options") < 9, "election_only").otherwise("high")
+    contests = found.select("contest", F.col("curr_region").alias("region"), F.col("curr_winner").alias("winner"), few.alias("quality"), *[F.when(F.col(f"`{o}_curr_share`") > 0, F.col(f"`{o}_curr_share`")).alias(f"share_{k}") for k, o in enumerate(("Brand#1", "Brand#2"))])
+    narrow = found.where("curr_top2_margin_pct < 1").select("contest")
+    base = Q.simulated_base(X.periods(spark, d)[1].join(narrow, "contest", "left_anti"), contests, {"Brand#1": "share_0", "Brand#2": "share_1"}, low_quality=False)
+    rules = spark.createDataFrame(RULES, "region string, option string, delta double")
+    won = Q.projected_winners(Q.project(base, rules, -0.5)).drop("confidence")
+    return won.join(base.groupBy("contest").agg(F.min("completeness").alias("completeness")), "contest")
+
+
 @query("f5_scenario_summary", sql("ranked", PROJECT + " SELECT count(*) FILTER (sim_winner = 'Brand#1') AS seats_0, count(*) FILTER (sim_winner = 'Brand#2') AS seats_1, count(*) FILTER (base_winner <> sim_winner) AS changed, count(*) FILTER (sim_margin < 3) AS low, count(*) AS n FROM w"))
 def _(spark, d):
     return Q.scenario_summary(projected(spark, d), ["Brand#1", "Brand#2"])
