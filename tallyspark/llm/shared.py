@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.sources.shared import new_path, stored  # noqa: F401
+
 #: Word separators of the contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,32 +21,6 @@ def fold(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, a temporary one serves a session whose executors are threads
-    of this machine; on a cluster that is an error, as other machines would not see it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    folders: columns whose values get folders of their own.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hot_join(rows: DataFrame, side: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
     """`rows` (stored) joined with `side` (stored; one row for each key, with the number `n` of rows that hold it), without `n`.
 
