@@ -207,22 +207,27 @@ def code_crosswalk(codes: DataFrame, names: DataFrame, known: DataFrame, region:
     A code is the rank of a name by zone code in its region. The name counts as the known one of its key (method rank_known; high
     below a cost of 15), else as the least known one that holds it or is held by it without blanks (rank_contained), else as it is
     (rank). Codes beyond the names take their match (feature; high below 12, medium below 25) or stay unmapped. The cost is the mean
-    absolute difference of the features that both have. Containment is an equi-join on the substrings of names, which are short.
+    absolute difference of the features that both have. Ranks come from range partitions; containment is an equi-join on the first
+    three letters of the contained name (all of a shorter one), looked up at every place of the other.
     """
     from tallyspark.functions.scalars import norm_key
+    from tallyspark.operators import selection
 
     packed = lambda c: F.replace(norm_key(F.col(c)), F.lit(" "), F.lit(""))
-    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.char_length(c) - i + 1), lambda n: F.substr(c, i, n)))))
-    place = F.row_number().over(Window.partitionBy(region).orderBy("zone_code", "name"))
-    ranked = names.select(region, place.alias("code"), F.col("name").alias("ranked_name"))
+    start = lambda c: F.substr(c, F.lit(1), F.lit(3))
+    places = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.array(*[F.substr(c, i, F.lit(n)) for n in (1, 2, 3)]))))
+    ranked = selection.ordered(names.select(region, "zone_code", F.col("name").alias("ranked_name")), [region], [F.asc("zone_code"), F.asc("ranked_name")], "code")
+    ranked = ranked.select(region, F.col("code").cast("int").alias("code"), "ranked_name")
     own = codes.select(region, "code", *[F.col(f).alias(f"_l_{f}") for f in features]).join(ranked, [region, "code"], "left")
     own = own.withColumn("_key", norm_key(F.col("ranked_name")))
     other = known.where(F.col("name").isNotNull()).groupBy(region, norm_key(F.col("name")).alias("_key")).agg(F.min(F.struct("name", *features)).alias("_known"))
     out = own.join(other, [region, "_key"], "left")
     left = out.where("_known is null and ranked_name is not null").select(region, "ranked_name", packed("ranked_name").alias("_a")).distinct().where("_a <> ''")
     right = known.select(region, "name", packed("name").alias("_b")).distinct().where("_b <> ''")
-    inside = left.withColumn("_b", F.explode(parts(F.col("_a")))).join(right, [region, "_b"]).select(region, "ranked_name", "name")
-    around = right.withColumn("_a", F.explode(parts(F.col("_b")))).join(left, [region, "_a"]).select(region, "ranked_name", "name")
+    looked = lambda df, c: df.withColumn("_k", F.explode(places(F.col(c))))
+    keyed = lambda df, c: df.withColumn("_k", start(F.col(c)))
+    inside = looked(left, "_a").join(keyed(right, "_b"), [region, "_k"]).where(F.contains("_a", F.col("_b"))).select(region, "ranked_name", "name")
+    around = looked(right, "_b").join(keyed(left, "_a"), [region, "_k"]).where(F.contains("_b", F.col("_a"))).select(region, "ranked_name", "name")
     held = inside.unionByName(around).groupBy(region, "ranked_name").agg(F.min("name").alias("_held"))
     out = out.join(held, [region, "ranked_name"], "left")
     if matched is None:
