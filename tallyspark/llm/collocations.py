@@ -5,11 +5,13 @@ is activated by the scan after both its subphrases (without its last and without
 whichever shard that was in, and is counted for exactly one cycle, so lengths interleave and its count is whole. Scanning ends
 when a cycle has passed without a newly frequent subphrase.
 
-Scans know the frequent subphrases by a Bloom filter whose cells hold the scan by which they were set: a phrase's first scan
-is the one after the latest cell of its subphrases. The filter has a fixed size, whatever the corpus, and is broadcast. A false
+Scans know the frequent subphrases by Bloom filters, one for each length, whose cells hold the scan by which they were set: a phrase's
+first scan is the one after the latest cell of its subphrases. Pairs of frequent words are many and mostly rare, so the
+first cycle also counts all pairs by the bucket of their fingerprint, and a pair is activated only when its bucket has reached
+`least` too (the direct hashing of Park, Chen and Yu). Filters and buckets have a fixed size, whatever the corpus, and are broadcast. A false
 positive activates a phrase needlessly or early, but still for one whole cycle, and counts are kept by the phrase itself, so the
-counts are exact and every phrase of `least` occurrences has one; a filter that is too small costs time, not results. Phrases that end
-their cycle below `least` are forgotten.
+counts are exact and every phrase of `least` occurrences has one; filters that are too small cost time, not results. Phrases that
+end their cycle below `least` are forgotten.
 
 A scan sums the phrases of each slice of texts before they are shuffled, and Spark sums them again before and after, so a phrase in
 a third of all rows costs a row for each slice. Scores are exact decimals of 38 digits. Sides are joined by key with Spark's own choice
@@ -22,6 +24,7 @@ length are read whole; ties are broken by count and then by phrase; an empty tab
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +37,16 @@ from pyspark.sql import functions as F
 
 from .shared import mix, new_path, row_slices, stored, text_view, total_bytes
 
-SHARDS, PROBES, SALTS, SLICE_BYTES, NEVER = 4, 3, 64, 4 << 20, 255
-#: Bytes of text to a cell, and the least and the most cells of the filter.
-CELL_SHARE, LEAST_CELLS, MOST_CELLS, BLOCK_CELLS = 64, 1 << 18, 1 << 27, 1 << 16
+SHARDS, PROBES, SALTS, SLICE_BYTES, NEVER = 4, 2, 64, 8 << 20, 255
+#: Bytes of text to a bucket, and the least and the most buckets; a filter has a quarter as many cells.
+CELL_SHARE, LEAST_CELLS, MOST_CELLS, BLOCK_CELLS, BITMAP = 64, 1 << 18, 1 << 27, 1 << 16, 1 << 15
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 KIND = np.zeros(256, np.uint8)
 KIND[list(BLANKS)], KIND[list(BREAKS)] = 1, 2
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
-COUNTED = "lang string, phrase string, length int, begin int, n long"
+COUNTED = "lang string, phrase string, length int, begin int, n long, block int, held binary"
+BATCH = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("length", pa.int32()), ("begin", pa.int32()), ("n", pa.int64()), ("block", pa.int32()), ("held", pa.binary())])
 
 
 def word_hash(words: list[bytes]) -> np.ndarray:
@@ -65,59 +69,139 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     kind = KIND[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
-    inner = kind == 0
+    inner = np.append(kind == 0, False)
     start = inner.copy()
-    start[1:] &= ~inner[:-1] | first[1:-1]
-    starts = np.flatnonzero(start)
-    piece = np.cumsum((kind == 2) | first[:-1])[starts]
-    to = np.append(np.cumsum(inner), 0)
-    ends = np.append(to[starts[1:] - 1], to[-2] if len(data) else 0) if len(starts) else np.zeros(0, np.int64)
-    bounds = np.concatenate((np.zeros(1, np.int64), ends))
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(FOLDED[data[inner]])])
+    start[1:] &= ~inner[:-1] | first[1:]
+    end = inner.copy()
+    end[:-1] &= ~inner[1:] | first[1:]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end)
+    piece = np.searchsorted(np.flatnonzero((kind == 2) | first[:-1]), starts, "right")
+    bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends + 1 - starts)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(FOLDED[data[inner[:-1]]])])
     return words, piece, np.searchsorted(offsets, starts, "right") - 1
 
 
-def phrases_in(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, since: np.ndarray, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases that are active in this scan."""
+class Filters:
+    """What scans know: for each length but the longest the scans that set its cells, the scans by which buckets of pairs were full."""
+
+    def __init__(self, buckets: int, longest: int, least: int):
+        self.since = {length: np.full(max(8, buckets // 4), NEVER, np.uint8) for length in range(1, longest)}
+        self.full = np.full(buckets, NEVER, np.uint8)
+        self.held = np.zeros(buckets, np.uint32)
+        self.least = least
+
+    def packed(self) -> bytes:
+        """What scans need, in few bytes, as most cells are empty."""
+        return zlib.compress(b"".join(x.tobytes() for x in (self.full, *self.since.values())), 1)
+
+    @staticmethod
+    def unpacked(data: bytes, buckets: int, longest: int) -> Filters:
+        out, raw = Filters(8, 1, 0), np.frombuffer(zlib.decompress(data), np.uint8)
+        out.full, rest = raw[:buckets], raw[buckets:].reshape(longest - 1, -1)
+        out.since = dict(enumerate(rest, 1))
+        return out
+
+    def seen(self, length: int, prints: np.ndarray) -> np.ndarray:
+        since = self.since[length]
+        return since[cells_of(prints, len(since))].max(0)
+
+    def bucket(self, prints: np.ndarray) -> np.ndarray:
+        return (prints >> np.uint64(64 - (len(self.full).bit_length() - 1))).astype(np.int64)
+
+    def recent(self, cells: np.ndarray, scan: int, shards: int) -> bool:
+        return bool(((cells != NEVER) & (cells.astype(np.int16) + shards >= scan)).any())
+
+    def deepest(self, scan: int, shards: int) -> int:
+        """The longest phrases that can be active in this scan."""
+        return max([length + 1 for length, cells in self.since.items() if self.recent(cells, scan, shards)] + [2 * self.recent(self.full, scan, shards), 1])
+
+
+def phrases_in(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, known: Filters, buckets: np.ndarray, scan: int, shards: int, deepest: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases that are active in this scan; in the first cycle adds all pairs to `buckets`."""
     words, piece, row = words_of(data, offsets)
     if not len(words):
         return
-    coded = words.dictionary_encode()
-    names = langs.dictionary_encode()
+    coded, names = words.dictionary_encode(), langs.dictionary_encode()
     code, lang = coded.indices.to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64)[row]
     spelt, tongue = coded.dictionary, names.dictionary
-    own = word_hash([x.encode() for x in tongue.to_pylist()])[lang]
-    single = word_hash(spelt.to_pylist())[code]
-    head = mix(single ^ own)
-    for length in range(1, longest + 1):
-        if length == 1:
-            at = np.arange(len(code)) if scan < shards else np.zeros(0, np.int64)
-            begin = np.full(len(code), -1)
-        else:
-            n = len(code) - length + 1
-            if n <= 0:
-                return
-            seen = since[cells_of(head, len(since))].max(0)
-            begin = np.maximum(seen[:-1], seen[1:]).astype(np.int64)
-            at = np.flatnonzero((piece[:n] == piece[length - 1 :]) & (begin < scan) & (begin + shards >= scan))
-            head = longer(head[:-1], single[length - 1 :])
-        if len(at):
-            key = lang[at]
-            for k in range(length):  # exact: each step numbers the distinct keys anew
-                key = np.unique(key * len(spelt) + code[at + k], return_inverse=True)[1]
-            _, chosen, n = np.unique(key, return_index=True, return_counts=True)
-            place = at[chosen]
-            parts = [spelt.take(pa.array(code[place + k])).cast(pa.large_string()) for k in range(length)]
-            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string()) if length > 1 else parts[0].cast(pa.string())
-            columns = [tongue.take(pa.array(lang[place])).cast(pa.string()), phrase, pa.array(np.full(len(place), length, np.int32)), pa.array(begin[place].astype(np.int32)), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "length", "begin", "n"])
-
-
-def new_cells(frequent: DataFrame, cells: int) -> np.ndarray:
-    """Places of the filter that `frequent` (lang, length, phrase) sets; only bits travel, at most one for each cell and task."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(cells, bool)
+    own, each = word_hash([x.encode() for x in tongue.to_pylist()]), word_hash(spelt.to_pylist())
+    active = lambda begin: (begin < scan) & (begin + shards >= scan)
+
+    def counted(at: np.ndarray, length: int, begin: np.ndarray) -> pa.RecordBatch:
+        key, most = lang[at], len(tongue)
+        for k in range(length):
+            most *= len(spelt)
+            if most >= 1 << 63:  # exact: the distinct keys are numbered anew before they overflow
+                key = np.unique(key, return_inverse=True)[1]
+                most = (int(key.max()) + 1) * len(spelt)
+            key = key * len(spelt) + code[at + k]
+        _, chosen, n = np.unique(key, return_index=True, return_counts=True)
+        place = at[chosen]
+        parts = [spelt.take(pa.array(code[place + k])).cast(pa.large_string()) for k in range(length)]
+        phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if length > 1 else parts[0]
+        columns = [tongue.take(pa.array(lang[place])).cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(place), length, np.int32)), pa.array(begin[chosen].astype(np.int32)), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(place), pa.int32()), pa.nulls(len(place), pa.binary())], schema=BATCH)
+
+    if scan < shards:
+        yield counted(np.arange(len(code)), 1, np.full(len(code), -1))
+    # the words: looked up once for each language and spelling, where these are fewer than the words themselves
+    if len(own) * len(each) <= 2 * len(code):
+        heads = mix(each[None, :] ^ own[:, None])
+        head, seen = heads[lang, code], known.seen(1, heads.ravel()).reshape(heads.shape)[lang, code]
+    else:
+        head = mix(each[code] ^ own[lang])
+        seen = known.seen(1, head)
+    single, at = each[code], np.arange(len(code))
+    if scan < shards:
+        pairs = np.flatnonzero(piece[:-1] == piece[1:])
+        np.add.at(buckets, known.bucket(longer(head[pairs], single[pairs + 1])), 1)
+    for length in range(2, deepest + 1):
+        # places whose phrase of this length has two frequent subphrases
+        begin = np.full(len(code), NEVER, np.uint8)
+        begin[at] = seen[at]
+        begin = np.maximum(begin[: -length + 1], begin[1 : len(code) - length + 2])
+        at = np.flatnonzero((begin != NEVER) & (piece[: -length + 1] == piece[length - 1 :]))
+        if not len(at):
+            return
+        head, begin = _spread(longer(head[at], single[at + length - 1]), at, len(code)), begin[at].astype(np.int64)
+        if length == 2:
+            begin = np.maximum(begin, known.full[known.bucket(head[at])])
+        pick = active(begin)
+        if pick.any():
+            yield counted(at[pick], length, begin[pick])
+        if length < deepest:
+            seen = _spread(known.seen(length, head[at]), at, len(code), NEVER)
+
+
+def _spread(values: np.ndarray, at: np.ndarray, n: int, fill: int = 0) -> np.ndarray:
+    out = np.full(n, fill, values.dtype)
+    out[at] = values
+    return out
+
+
+def summed_blocks(rows: DataFrame, most: int) -> list[tuple[int, np.ndarray]]:
+    """Sums of the arrays (binary, one byte for a cell) of each block, at most `most`."""
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(rows["held"].iloc[0]), np.int64)
+        for x in rows["held"]:
+            total += np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "held": [np.minimum(total, most).astype(np.uint8).tobytes()]})
+
+    return [(b, np.frombuffer(x, np.uint8)) for b, x in rows.groupBy("block").applyInPandas(summed, "block int, held binary").collect()]
+
+
+def blocks_of(cells: np.ndarray, most: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """(block, a byte for each cell) of the blocks of `size` cells that are not empty; at most `most` to a cell."""
+    blocks = np.minimum(cells, most).astype(np.uint8).reshape(-1, size)
+    return ((int(b), blocks[b].tobytes()) for b in np.flatnonzero(blocks.any(1)))
+
+
+def set_cells(known: Filters, frequent: DataFrame, scan: int) -> bool:
+    """Sets the cells of newly frequent phrases (lang, phrase); a bit for each cell comes to the driver."""
+    cells = len(known.since[1])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = word_hash([x.encode() for x in batch.column("lang").to_pylist()])
             words = [x.encode().split(b" ") for x in batch.column("phrase").to_pylist()]
@@ -129,50 +213,66 @@ def new_cells(frequent: DataFrame, cells: int) -> np.ndarray:
                 head = mix(single[at[own]] ^ langs[own])
                 for k in range(1, length):
                     head = longer(head, single[at[own] + k])
-                found[cells_of(head, cells).ravel()] = True
-        blocks = found.reshape(-1, min(cells, BLOCK_CELLS))
-        used = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([np.packbits(blocks[b]).tobytes() for b in used], pa.binary())], ["block", "bits"])
-
-    def either(block: pd.DataFrame) -> pd.DataFrame:
-        both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in block["bits"]])
-        return pd.DataFrame({"block": block["block"].iloc[:1], "bits": [both.tobytes()]})
-
-    out = np.zeros((max(1, cells // BLOCK_CELLS), min(cells, BLOCK_CELLS)), bool)
-    for block, packed in frequent.mapInArrow(bits, "block int, bits binary").groupBy("block").applyInPandas(either, "block int, bits binary").collect():
-        out[block] = np.unpackbits(np.frombuffer(packed, np.uint8))
-    return out.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cells_of(head, cells)) + (length - 1) * cells)], ["cell"])
+
+    at = F.col("cell") + 1  # bitmaps count from 1
+    bits = frequent.mapInArrow(mark, "cell long").groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    found = False
+    for part, held in bits.collect():
+        place = (part - 1) * BITMAP + np.flatnonzero(np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little"))
+        for length in np.unique(place // cells):
+            since, own = known.since[int(length) + 1], place[place // cells == length] % cells
+            own = own[since[own] == NEVER]
+            since[own] = scan
+            found |= len(own) > 0
+    return found
+
+
+def fill_buckets(known: Filters, rows: DataFrame, scan: int) -> bool:
+    """Adds what a scan put into the buckets of pairs; the full ones are marked."""
+    for block, held in summed_blocks(rows, known.least):
+        known.held[block * len(held) : (block + 1) * len(held)] += held
+    new = (known.held >= known.least) & (known.full == NEVER)
+    known.full[new] = scan
+    return bool(new.any())
 
 
 def count_phrases(docs: DataFrame, least: int, longest: int, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text", cells: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, length, phrase, n of every phrase of up to `longest` words that occurs `least` times; lang, n: all words)"""
-    if shards * (longest + 1) >= NEVER:
-        raise ValueError("a scan's number has one byte")
+    if shards * (longest + 1) >= NEVER or least > NEVER:
+        raise ValueError("a scan's number has one byte, as has what a bucket holds")
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = stored(own.withColumn("shard", F.expr(f"pmod(monotonically_increasing_id(), {shards})")), "shards", "shard")
     size = total_bytes(dealt, "text")[1]
     cells = cells or min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // CELL_SHARE).bit_length()))
-    since = np.full(cells, NEVER, np.uint8)
+    known = Filters(cells, longest, least)
     counters, words, scan, last = Counters(spark), None, 0, -1
     while scan < shards or scan <= last + shards:
-        sent, now = spark.sparkContext.broadcast(since), scan
+        deepest, now = known.deepest(scan, shards), scan
+        sent = spark.sparkContext.broadcast(known.packed())
 
-        def count(batches: Iterator[pa.RecordBatch], sent=sent, now=now) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], sent=sent, now=now, deepest=deepest) -> Iterator[pa.RecordBatch]:
+            filters = Filters.unpacked(sent.value, cells, longest)
+            buckets = np.zeros(cells if now < shards else BLOCK_CELLS, np.uint32)
             for batch in batches:
                 data, offsets = text_view(batch.column("text"))
                 for a, b in row_slices(offsets, SLICE_BYTES):
-                    yield from phrases_in(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.column("lang").slice(a, b - a), sent.value, now, shards, longest)
-
-        counters.add(dealt.where(F.col("shard") == scan % shards).select("lang", "text").mapInArrow(count, COUNTED))
-        fresh = new_cells(counters.table().where((F.col("n") >= least) & (F.col("old") < least) & (F.col("length") < longest)).select("lang", "phrase"), cells)
-        if fresh.any():
-            since[fresh & (since == NEVER)] = scan
-            last = scan
+                    yield from phrases_in(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.column("lang").slice(a, b - a), filters, buckets, now, shards, deepest)
+            for block, held in blocks_of(buckets, least, min(len(buckets), BLOCK_CELLS)):
+                yield pa.RecordBatch.from_pylist([{"block": block, "held": held}], BATCH)
+
+        found = dealt.where(F.col("shard") == scan % shards).select("lang", "text").mapInArrow(count, COUNTED)
+        if scan < shards:  # counts and buckets are read apart
+            found = stored(found, "scan")
+        counters.add(found.where("block is null"))
+        new = scan < shards and fill_buckets(known, found.where("block is not null").select("block", "held"), scan)
+        new |= set_cells(known, counters.table().where((F.col("n") >= least) & (F.col("old") < least) & (F.col("length") < longest)).select("lang", "phrase"), scan)
+        last = scan if new else last
         if scan == shards - 1:
             words = stored(counters.table().where("length = 1").groupBy("lang").agg(F.sum("n").alias("n")), "words")
         counters.kept = (F.col("n") >= least) | (F.col("begin") + shards > scan)
-        sent.unpersist()
+        sent.destroy()
         scan += 1
     frequent = stored(counters.table().where(F.col("n") >= least).select("lang", "length", "phrase", "n"), "frequent")
     counters.drop()
