@@ -6,7 +6,7 @@ whichever shard that was in, and is counted for exactly one cycle, so lengths in
 when a cycle has passed without a newly frequent subphrase.
 
 Scans know the frequent subphrases by Bloom filters, one for each length, whose cells hold the scan by which they were set: a phrase's
-first scan is the one after the latest cell of its subphrases. Pairs of frequent words are many and mostly rare, so the
+first scan is the one after the latest cell of all phrases inside it, so a phrase is never looked for before those it holds. Pairs of frequent words are many and mostly rare, so the
 first cycle also counts all pairs by the bucket of their fingerprint, and a pair is activated only when its bucket has reached
 `least` too (the direct hashing of Park, Chen and Yu). Filters and buckets have a fixed size, whatever the corpus, and are broadcast. A false
 positive activates a phrase needlessly or early, but still for one whole cycle, and counts are kept by the phrase itself, so the
@@ -31,11 +31,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import mix, new_path, row_slices, stored, text_view, total_bytes
+from .shared import byte_codes, mix, new_path, row_slices, stored, text_view, total_bytes
 
 SHARDS, PROBES, SALTS, SLICE_BYTES, NEVER = 4, 2, 64, 8 << 20, 255
 #: Bytes of text to a bucket, and the least and the most buckets; a filter has a quarter as many cells.
@@ -45,12 +44,25 @@ KIND = np.zeros(256, np.uint8)
 KIND[list(BLANKS)], KIND[list(BREAKS)] = 1, 2
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
+CODES, BASE = byte_codes(), 0xD1342543DE82EF95
+BACK = pow(BASE, -1, 1 << 64)
 COUNTED = "lang string, phrase string, length int, begin int, n long, block int, held binary"
 BATCH = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("length", pa.int32()), ("begin", pa.int32()), ("n", pa.int64()), ("block", pa.int32()), ("held", pa.binary())])
 
 
+def span_hash(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Fingerprints of the stretches of `data` between `bounds`: polynomials in BASE by running sums."""
+    steps = np.full(len(data) + 1, BASE, np.uint64)
+    steps[0] = 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(CODES[data] * np.cumprod(steps, out=steps)[:-1], out=sums[1:])
+    back = np.full(len(data) + 1, BACK, np.uint64)
+    back[0] = 1
+    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) * np.cumprod(back, out=back)[bounds[:-1]])
+
+
 def word_hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return span_hash(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
 
 
 def longer(head: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -64,8 +76,8 @@ def cells_of(prints: np.ndarray, cells: int) -> np.ndarray:
     return np.stack([(prints + np.uint64(k) * step) & np.uint64(cells - 1) for k in range(PROBES)]).astype(np.int64)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(words, piece, row) of texts in a row: folded words in order, the piece each stands in and its text."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, piece, row, fingerprint) of texts in a row: folded words in order, the piece each stands in and its text."""
     kind = KIND[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
@@ -77,8 +89,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     starts, ends = np.flatnonzero(start), np.flatnonzero(end)
     piece = np.searchsorted(np.flatnonzero((kind == 2) | first[:-1]), starts, "right")
     bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends + 1 - starts)))
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(FOLDED[data[inner[:-1]]])])
-    return words, piece, np.searchsorted(offsets, starts, "right") - 1
+    letters = FOLDED[data[inner[:-1]]]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+    return words, piece, np.searchsorted(offsets, starts, "right") - 1, span_hash(letters, bounds)
 
 
 class Filters:
@@ -113,64 +126,62 @@ class Filters:
 
     def deepest(self, scan: int, shards: int) -> int:
         """The longest phrases that can be active in this scan."""
-        return max([length + 1 for length, cells in self.since.items() if self.recent(cells, scan, shards)] + [2 * self.recent(self.full, scan, shards), 1])
+        fresh, found = self.recent(self.full, scan, shards), 1
+        for length, cells in self.since.items():
+            fresh |= self.recent(cells, scan, shards)
+            if fresh and (cells != NEVER).any():
+                found = length + 1
+        return found
 
 
 def phrases_in(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, known: Filters, buckets: np.ndarray, scan: int, shards: int, deepest: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases that are active in this scan; in the first cycle adds all pairs to `buckets`."""
-    words, piece, row = words_of(data, offsets)
+    words, piece, row, single = words_of(data, offsets)
     if not len(words):
         return
-    coded, names = words.dictionary_encode(), langs.dictionary_encode()
-    code, lang = coded.indices.to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64)[row]
-    spelt, tongue = coded.dictionary, names.dictionary
-    own, each = word_hash([x.encode() for x in tongue.to_pylist()]), word_hash(spelt.to_pylist())
+    names = langs.dictionary_encode()
+    lang, tongue = names.indices.to_numpy().astype(np.int64)[row], names.dictionary
     active = lambda begin: (begin < scan) & (begin + shards >= scan)
 
     def counted(at: np.ndarray, length: int, begin: np.ndarray) -> pa.RecordBatch:
+        """The phrases of `length` words at these places, told apart by their words."""
+        coded = (words if len(at) == len(words) else words.take(pa.array((at[:, None] + np.arange(length)).ravel()))).dictionary_encode()
+        code, spelt = coded.indices.to_numpy().astype(np.int64).reshape(-1, length), coded.dictionary
         key, most = lang[at], len(tongue)
         for k in range(length):
             most *= len(spelt)
-            if most >= 1 << 63:  # exact: the distinct keys are numbered anew before they overflow
+            if most >= 1 << 63:  # the distinct keys are numbered anew before they overflow
                 key = np.unique(key, return_inverse=True)[1]
                 most = (int(key.max()) + 1) * len(spelt)
-            key = key * len(spelt) + code[at + k]
+            key = key * len(spelt) + code[:, k]
         _, chosen, n = np.unique(key, return_index=True, return_counts=True)
-        place = at[chosen]
-        parts = [spelt.take(pa.array(code[place + k])).cast(pa.large_string()) for k in range(length)]
+        parts = [spelt.take(pa.array(code[chosen, k])).cast(pa.large_string()) for k in range(length)]
         phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if length > 1 else parts[0]
-        columns = [tongue.take(pa.array(lang[place])).cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(place), length, np.int32)), pa.array(begin[chosen].astype(np.int32)), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(place), pa.int32()), pa.nulls(len(place), pa.binary())], schema=BATCH)
+        columns = [tongue.take(pa.array(lang[at[chosen]])).cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(chosen), length, np.int32)), pa.array(begin[chosen].astype(np.int32)), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(chosen), pa.int32()), pa.nulls(len(chosen), pa.binary())], schema=BATCH)
 
     if scan < shards:
-        yield counted(np.arange(len(code)), 1, np.full(len(code), -1))
-    # the words: looked up once for each language and spelling, where these are fewer than the words themselves
-    if len(own) * len(each) <= 2 * len(code):
-        heads = mix(each[None, :] ^ own[:, None])
-        head, seen = heads[lang, code], known.seen(1, heads.ravel()).reshape(heads.shape)[lang, code]
-    else:
-        head = mix(each[code] ^ own[lang])
-        seen = known.seen(1, head)
-    single, at = each[code], np.arange(len(code))
+        yield counted(np.arange(len(words)), 1, np.full(len(words), -1))
+    head = mix(single ^ word_hash([x.encode() for x in tongue.to_pylist()])[lang])
+    seen, at = known.seen(1, head), np.arange(len(words))
     if scan < shards:
         pairs = np.flatnonzero(piece[:-1] == piece[1:])
         np.add.at(buckets, known.bucket(longer(head[pairs], single[pairs + 1])), 1)
     for length in range(2, deepest + 1):
         # places whose phrase of this length has two frequent subphrases
-        begin = np.full(len(code), NEVER, np.uint8)
+        begin = np.full(len(words), NEVER, np.uint8)
         begin[at] = seen[at]
-        begin = np.maximum(begin[: -length + 1], begin[1 : len(code) - length + 2])
+        begin = np.maximum(begin[: -length + 1], begin[1 : len(words) - length + 2])
         at = np.flatnonzero((begin != NEVER) & (piece[: -length + 1] == piece[length - 1 :]))
         if not len(at):
             return
-        head, begin = _spread(longer(head[at], single[at + length - 1]), at, len(code)), begin[at].astype(np.int64)
-        if length == 2:
-            begin = np.maximum(begin, known.full[known.bucket(head[at])])
+        head, below = _spread(longer(head[at], single[at + length - 1]), at, len(words)), begin[at]
+        begin = (np.maximum(below, known.full[known.bucket(head[at])]) if length == 2 else below).astype(np.int64)
         pick = active(begin)
         if pick.any():
             yield counted(at[pick], length, begin[pick])
         if length < deepest:
-            seen = _spread(known.seen(length, head[at]), at, len(code), NEVER)
+            seen = _spread(np.maximum(known.seen(length, head[at]), below), at, len(words), NEVER)
 
 
 def _spread(values: np.ndarray, at: np.ndarray, n: int, fill: int = 0) -> np.ndarray:

@@ -51,7 +51,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("least,longest,shards,cells,top", [(8, 4, 4, None, 2000), (8, 4, 4, 64, 2000), (5, 4, 1, 512, 20), (3, 5, 3, 4096, 2000), (12, 2, 2, None, 5)])
+@pytest.mark.parametrize("least,longest,shards,cells,top", [(8, 4, 4, None, 2000), (8, 4, 4, 64, 2000), (8, 5, 4, 256, 2000), (5, 4, 1, 512, 20), (3, 5, 3, 4096, 2000), (12, 2, 2, None, 5)])
 def test_collocations(spark, least, longest, shards, cells, top):
     rows = corpus(least)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("phrase", "n", "shard", "score", "length")})
@@ -74,7 +74,8 @@ def test_exact_scores(spark, monkeypatch):
 def test_words_of():
     for text in ["", " ", "a", ".A b.C", "é\tÉ", "a.", "x  y\n"]:
         data = np.frombuffer((text + "|").encode(), np.uint8)[: len(text.encode())]
-        words, piece, row = collocations.words_of(np.concatenate((data, data)), np.array([0, len(data), 2 * len(data), 2 * len(data)]))
+        words, piece, row, prints = collocations.words_of(np.concatenate((data, data)), np.array([0, len(data), 2 * len(data), 2 * len(data)]))
         want = [w for _ in range(2) for p in pieces(text) for w in p]
         assert [w.decode() for w in words.to_pylist()] == want and row.tolist() == [0] * (len(want) // 2) + [1] * (len(want) // 2)
+        assert prints.tolist() == collocations.word_hash([w.encode() for w in want]).tolist()
         assert len(set(piece.tolist())) == 2 * sum(map(bool, pieces(text)))
