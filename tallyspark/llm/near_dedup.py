@@ -12,7 +12,8 @@
 4. Components come from alternating large-star and small-star steps over the confirmed links.
 
 No bucket is paired with itself. First each bucket's members meet its least member only, which links groups of copies at a
-few pairs for each copy. Documents of buckets that still hold several components are then compared completely, by an exact
+few pairs for each copy; then, TURNS times, the members of other components meet another member of the bucket. Documents of
+buckets that still hold several components are then compared completely, by an exact
 prefix filter on their full sets; so no link inside a bucket is lost, and thousands of documents that share a passage but stay
 below the threshold are not paired at all unless they share rare shingles.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import byte_codes, mix, row_slices, stored, text_view
 
 REGISTERS, MANTISSA, ROWS, BANDS, EMPTY = 384, 10, 8, 48, 0xFFFF
-SLICE_BYTES, SLOTS, BLOCKS = 1 << 19, 1 << 23, 1024
+SLICE_BYTES, SLOTS, BLOCKS, TURNS = 1 << 19, 1 << 23, 1024, 3
 #: Fixed value of the method: unlike registers of sets of one size agree with this chance over 2**MANTISSA.
 COLLISION = 0.339838974
 #: Up to this many candidate ids (8 bytes each) are broadcast to pick their texts; beyond it they are joined by a shuffle.
@@ -320,9 +321,18 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     tried = stored(_likely(stars.select("a", F.col("node").alias("b")).distinct(), classes, percent / 100), "pairs")
     links = stored(_confirmed(tried, classes, own, size, percent).unionByName(_same_id(some, classes, alike)), "links")
     label = stored(components(links), "labels")
-    rows = open_rows.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = stored(rows.join(split, "key").select("node", "n", "c").distinct(), "open")
+    for turn in range(1, TURNS + 1):  # the buckets that hold several components, by other centres: pairs stay in proportion to rows
+        rows = _split_buckets(open_rows, label)
+        centres = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "x", "y", "c")).alias("s"))
+        centres = centres.select("key", F.col("s.node").alias("a"), F.col("s.n").alias("n_a"), F.col("s.x").alias("x_a"), F.col("s.y").alias("y_a"), F.col("s.c").alias("c_a"))
+        stars = rows.join(centres, "key").where((F.col("c") != F.col("c_a")) & (100 * least_n >= percent * F.greatest("n", "n_a")) & near)
+        pairs = stored(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "stars")
+        if pairs.isEmpty():
+            continue
+        found = stored(_likely(pairs, classes, percent / 100), "pairs")
+        links = stored(links.unionByName(_confirmed(found, classes, own, size, percent)), "links")
+        tried, label = tried.unionByName(found), stored(components(links), "labels")
+    rest = stored(_split_buckets(open_rows, label).select("node", "n", "c").distinct(), "open")
     if not rest.isEmpty():
         pairs = _prefix_pairs(rest, classes, own, size, percent).join(tried, ["a", "b"], "left_anti")
         more = _confirmed(stored(_likely(pairs, classes, percent / 100), "pairs"), classes, own, size, percent)
@@ -336,6 +346,13 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _split_buckets(open_rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with their component `c`."""
+    rows = open_rows.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return rows.join(split, "key")
+
+
 def _same_id(rows: DataFrame, classes: DataFrame, alike: list[str]) -> DataFrame:
     """Links a, b between the classes of ids that have several."""
     sets = rows.groupBy("doc_id").agg(F.min(F.struct(*alike)).alias("low"), F.max(F.struct(*alike)).alias("high")).where("low <> high").select("doc_id")
