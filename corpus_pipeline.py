@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows of one id are one document, of which the row with the least text stays; rows with a null id and documents without words
     are in no group and stay; an empty table stays empty.
     """
-    groups = stored(near_dedup.near_groups(docs, size=5, percent=80), "groups")
+    groups = stored(near_dedup.near_groups(docs, size=5, percent=80, turns=1), "groups")
     gone = stored(groups.where("not kept").select("doc_id").distinct(), "gone")
     again = stored(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     small = lambda ids: F.broadcast(ids) if ids.count() <= near_dedup.MOST_BROADCAST else ids

@@ -12,7 +12,7 @@
 4. Components come from alternating large-star and small-star steps over the confirmed links.
 
 No bucket is paired with itself. First each bucket's members meet its least member only, which links groups of copies at a
-few pairs for each copy; then, TURNS times, the members of other components meet another member of the bucket. Documents of
+few pairs for each copy; then, in as many turns as asked for, the members of other components meet another member of the bucket. Documents of
 buckets that still hold several components are then compared completely, by an exact
 prefix filter on their full sets; so no link inside a bucket is lost, and thousands of documents that share a passage but stay
 below the threshold are not paired at all unless they share rare shingles.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import byte_codes, mix, row_slices, stored, text_view
 
 REGISTERS, MANTISSA, ROWS, BANDS, EMPTY = 384, 10, 8, 48, 0xFFFF
-SLICE_BYTES, SLOTS, BLOCKS, TURNS = 1 << 19, 1 << 23, 1024, 3
+SLICE_BYTES, SLOTS, BLOCKS = 1 << 19, 1 << 23, 1024
 #: Fixed value of the method: unlike registers of sets of one size agree with this chance over 2**MANTISSA.
 COLLISION = 0.339838974
 #: Up to this many candidate ids (8 bytes each) are broadcast to pick their texts; beyond it they are joined by a shuffle.
@@ -299,7 +299,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", turns: int = 0) -> DataFrame:
     """Every row: id, n_shingles, component_id (least id reachable through links), kept (component_id is the own id)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = stored(sketches(own, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -321,7 +321,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     tried = stored(_likely(stars.select("a", F.col("node").alias("b")).distinct(), classes, percent / 100), "pairs")
     links = stored(_confirmed(tried, classes, own, size, percent).unionByName(_same_id(some, classes, alike)), "links")
     label = stored(components(links), "labels")
-    for turn in range(1, TURNS + 1):  # the buckets that hold several components, by other centres: pairs stay in proportion to rows
+    for turn in range(1, turns + 1):  # the buckets that hold several components, by other centres: pairs stay in proportion to rows
         rows = _split_buckets(open_rows, label)
         centres = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "x", "y", "c")).alias("s"))
         centres = centres.select("key", F.col("s.node").alias("a"), F.col("s.n").alias("n_a"), F.col("s.x").alias("x_a"), F.col("s.y").alias("y_a"), F.col("s.c").alias("c_a"))
