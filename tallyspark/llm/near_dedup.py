@@ -32,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_codes, mix, row_slices, stored, text_view
+from .shared import byte_codes, in_arrow, mix, row_slices, stored, text_view
 
 REGISTERS, MANTISSA, ROWS, BANDS, EMPTY = 384, 10, 8, 48, 0xFFFF
-SLICE_BYTES, SLOTS, BLOCKS = 1 << 19, 1 << 23, 1024
+SLICE_BYTES, SLICE_ROWS, SLOTS, BLOCKS = 1 << 19, 1000, 1 << 23, 1024
 #: Fixed value of the method: unlike registers of sets of one size agree with this chance over 2**MANTISSA.
 COLLISION = 0.339838974
 #: Up to this many candidate ids (8 bytes each) are broadcast to pick their texts; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Few links are not dealt over as many files as there are shuffle partitions: every round reads them again.
+LEAST_FILES, FILE_ROWS = 8, 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 CODES = byte_codes()
@@ -117,7 +119,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_view(batch.column("text"))
             ids = batch.column("doc_id")
-            for a, b in row_slices(offsets, SLICE_BYTES):
+            for a, b in row_slices(offsets, SLICE_BYTES, SLICE_ROWS):
                 cut = offsets[a : b + 1]
                 own, found = shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
                 n = np.bincount(own, minlength=b - a)
@@ -127,7 +129,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 blobs = pa.array([row.tobytes() if some else None for row, some in zip(sketch, n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits[:, 0]), pa.array(bits[:, 1]), blobs], ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, sketch binary")
+    return in_arrow(docs, run, "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, sketch binary")
 
 
 def filled(sketch: np.ndarray) -> np.ndarray:
@@ -160,7 +162,7 @@ def _banded(classes: DataFrame) -> DataFrame:
                 sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(band_keys(sketch)), pa.list_(pa.int64()))], ["node", "keys"])
 
-    keyed = classes.select("node", "sketch").mapInArrow(run, "node long, keys array<long>")
+    keyed = in_arrow(classes.select("node", "sketch"), run, "node long, keys array<long>")
     return keyed.select(F.explode("keys").alias("key"), "node")
 
 
@@ -182,7 +184,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
                 keep = guess >= share - 6 * np.sqrt(share * (1 - share) / used) - 1e-9
                 yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return in_arrow(pairs.join(left, "a").join(right, "b"), run, "a long, b long")
 
 
 def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -195,7 +197,7 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> Dat
         for batch in batches:
             data, offsets = text_view(batch.column("text"))
             want = [batch.column(c).to_numpy() for c in ("want_a", "want_b")]
-            for a, b in row_slices(offsets, SLICE_BYTES):
+            for a, b in row_slices(offsets, SLICE_BYTES, SLICE_ROWS):
                 cut = offsets[a : b + 1]
                 own, found = shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
                 parts = np.split(found, np.cumsum(np.bincount(own, minlength=b - a))[:-1])
@@ -203,7 +205,7 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> Dat
                 part = pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], ["node", "found"])
                 yield part.filter(pa.array(same))  # an id may have other texts besides
 
-    return stored(chosen.mapInArrow(run, "node long, found binary").dropDuplicates(["node"]), "sets")
+    return stored(in_arrow(chosen, run, "node long, found binary").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -222,7 +224,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     full = pairs.join(every.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(every.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-    return full.mapInArrow(judge, "a long, b long")
+    return in_arrow(full, judge, "a long, b long")
 
 
 def _prefix_pairs(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -247,7 +249,7 @@ def _prefix_pairs(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: in
         part[table.column("slot").to_numpy() % len(part)] = np.minimum(table.column("n").to_numpy(), 255)
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
 
-    counts = found.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = in_arrow(found, count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     blocks = counts.withColumn("block", F.floor(F.col("slot") / (SLOTS // BLOCKS)).cast("int")).groupBy("block").applyInArrow(packed, "block int, part binary")
     often = np.zeros((BLOCKS, SLOTS // BLOCKS), np.uint8)
     for row in stored(blocks, "often").collect():  # SLOTS bytes at most
@@ -265,7 +267,7 @@ def _prefix_pairs(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: in
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, kind), pa.array(long, kind)], ["node", "short", "long"])
 
-    heads = stored(found.mapInArrow(cut, "node long, short array<long>, long array<long>").join(rows, "node"), "prefixes")
+    heads = stored(in_arrow(found, cut, "node long, short array<long>, long array<long>").join(rows, "node"), "prefixes")
     low = heads.select(F.posexplode("short").alias("i", "h"), F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("c").alias("c_p"))
     high = heads.select(F.posexplode("long").alias("j", "h"), F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("c").alias("c_q"))
     ordered = (F.col("n_p") < F.col("n_q")) | ((F.col("n_p") == F.col("n_q")) & (F.col("p") < F.col("q")))
@@ -290,7 +292,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.distinct(), "edges")
+        edges = stored(small.distinct().coalesce(max(LEAST_FILES, was[0] // FILE_ROWS)), "edges")
         now = mark(edges)
         if now == was:
             break
@@ -299,6 +301,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
 
 
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (stored; node, component) after further links a, b (stored). Only links between its components are followed, not all links again."""
+    if links.isEmpty():
+        return label
+    of = lambda node, name: label.select(F.col("node").alias(node), F.col("component").alias(name))
+    edges = links.join(of("a", "c"), "a", "left").join(of("b", "d"), "b", "left").select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
+    moved = stored(components(edges), "moved")
+    least = moved.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    known = label.join(F.broadcast(least) if moved.count() <= MOST_BROADCAST else least, "component", "left")
+    known = known.select("node", F.coalesce("least", "component").alias("component"))
+    return stored(known.unionByName(moved.join(label.select("node"), "node", "left_anti")), "labels")
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", turns: int = 0) -> DataFrame:
     """Every row: id, n_shingles, component_id (least id reachable through links), kept (component_id is the own id)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -330,13 +345,13 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         if pairs.isEmpty():
             continue
         found = stored(_likely(pairs, classes, percent / 100), "pairs")
-        links = stored(links.unionByName(_confirmed(found, classes, own, size, percent)), "links")
-        tried, label = tried.unionByName(found), stored(components(links), "labels")
+        label = _merged(label, stored(_confirmed(found, classes, own, size, percent), "links"))
+        tried = tried.unionByName(found)
     rest = stored(_split_buckets(open_rows, label).select("node", "n", "c").distinct(), "open")
     if not rest.isEmpty():
         pairs = _prefix_pairs(rest, classes, own, size, percent).join(tried, ["a", "b"], "left_anti")
         more = _confirmed(stored(_likely(pairs, classes, percent / 100), "pairs"), classes, own, size, percent)
-        label = stored(components(stored(links.unionByName(more), "links")), "labels")
+        label = _merged(label, stored(more, "links"))
     # a component has the least id of its classes, and a class the component of its node
     linked = classes.select(*alike, "doc_id", "node").join(label, "node")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +13,22 @@ from tallyspark.sources.shared import new_path, stored  # noqa: F401
 
 #: Word separators of the contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes after which a batch for a Python worker is closed; Spark by itself closes it after 10,000 rows, however long they are.
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` over batches of about BATCH_BYTES, so that the memory of executor and worker does not grow with the rows' length.
+
+    The bound is a setting of the session, as it is read when the result is computed; one that the user has set stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def fold(text: Column) -> Column:
     """A-Z lower-cased, other letters as they are; `lower` serves where all is ASCII, as it is much faster than `translate`."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -52,13 +65,14 @@ def text_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def row_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `most` bytes each; a longer row stands alone."""
+def row_slices(offsets: np.ndarray, most: int, most_rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `most` bytes and `most_rows` rows each; a longer row stands alone."""
     at, rows = 0, len(offsets) - 1
     while at < rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield at, min(to, rows)
-        at = min(to, rows)
+        to = min(to, rows, at + most_rows)
+        yield at, to
+        at = to
 
 
 def mix(x: np.ndarray) -> np.ndarray:

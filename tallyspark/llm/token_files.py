@@ -36,7 +36,8 @@ from .shared import new_path, row_slices, stored, text_view, total_bytes
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-END_ID, PART_BYTES, MOST_PART_BYTES, SLICE_BYTES, KEPT_WORDS = 2, 8 << 20, 512 << 20, 8 << 20, 500_000
+END_ID, PART_BYTES, MOST_PART_BYTES, SLICE_BYTES, KEPT_WORDS = 2, 8 << 20, 512 << 20, 4 << 20, 100_000
+#: KEPT_WORDS: a worker lives on after its task, and its words (about 200 bytes each, up to twice as many and those of a slice) with it.
 NO_ID = np.iinfo(np.int64).min
 #: Marks that are a piece of their own after letters, and the letter that stands for each byte.
 ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, suffix_dedup, token_files, url_filter
+from tallyspark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, shared, suffix_dedup, token_files, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -173,6 +173,39 @@ def test_near_dedup_many_copies(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_groups(own, 3, 85)
 
 
+def test_near_dedup_merges_labels(spark):
+    """Further links between components, between nodes that had none, and between both."""
+    label = spark.createDataFrame([(1, 1), (4, 1), (7, 7), (9, 7), (20, 20), (21, 20)], "node long, component long")
+    links = spark.createDataFrame([(4, 9), (9, 30), (40, 41), (21, 20), (2, 7)], "a long, b long")
+    got = near_dedup._merged(label, links).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (4, 1), (7, 1), (9, 1), (20, 20), (21, 20), (30, 1), (40, 40), (41, 40)]
+    assert near_dedup._merged(label, links.limit(0)) is label
+
+
+def test_near_dedup_with_turns(spark):
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    own = [(i, " ".join(w if draw.random() > 0.05 else f"x{draw.randint(0, 30)}" for w in base)) for i in range(150)]
+    for turns in (1, 2):
+        got = rows_of(near_dedup.near_groups(spark.createDataFrame(own, "doc_id long, text string"), 3, 80, turns=turns))
+        assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_groups(own, 3, 80)
+
+
+def test_near_dedup_batches_are_bounded_by_bytes(spark):
+    """Long texts do not reach a worker 10,000 at a time, and short ones are sketched 1,000 at a time."""
+    import pyarrow as pa
+
+    long = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefghi "), 1000).alias("text"))
+    assert near_dedup.sketches(long, 3).agg(F.sum("n_shingles")).first()[0] == 3000
+
+    def weigh(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["doc_id"])
+
+    assert long.mapInArrow(weigh, "doc_id long").agg(F.max("doc_id")).first()[0] < 2 * shared.BATCH_BYTES
+    assert [*shared.row_slices(np.arange(8), 100, 3)] == [(0, 3), (3, 6), (6, 7)] and [*shared.row_slices(np.array([0, 5, 6]), 2, 3)] == [(0, 1), (1, 2)]
+
+
 def test_token_files(docs, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -189,6 +222,16 @@ def test_token_files(docs, monkeypatch):
     assert token_files.read_tokens(token_files.write_tokens(docs.limit(0), path), path).count() == 0
 
 
+def test_token_encoder_keeps_few_words():
+    """What a worker keeps for its next task is bounded: 300,000 words that each occur once are not all kept."""
+    import pyarrow as pa
+
+    encoder = token_files.WordEncoder(queries.tokenizer_path())
+    for start in range(0, 300_000, 25_000):
+        encoder.encode(pa.array([" ".join(f"w{i}" for i in range(start, start + 25_000))]))
+    assert len(encoder.known) + len(encoder.known.old) < 250_000
+
+
 ODD_TEXTS = ["a  b", " a b ", "\n\na\n b", "a\n", "don't  stop\t now\n\n", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext| >", "é ñ ’s", "\x1c a", "x.\nY,\u00a0z", "漢字 かな", "a\tb c", "a \tb", "a\u3000b c", "it's 12a b2. é.", "\n", " ", "", "a\x85 b", "q ʰa ª", "ß. ǅ", "one, two;\nThree!! four)", "a\n\nb", None]
 
 
