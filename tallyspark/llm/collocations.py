@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_codes, mix, new_path, row_slices, stored, text_view, total_bytes
+from .shared import mix, new_path, row_slices, span_hash, stored, text_view, total_bytes
 
 SHARDS, PROBES, SALTS, SLICE_BYTES, NEVER = 4, 2, 64, 8 << 20, 255
 #: Bytes of text to a bucket, and the least and the most buckets; a filter has a quarter as many cells.
@@ -44,23 +44,10 @@ KIND = np.zeros(256, np.uint8)
 KIND[list(BLANKS)], KIND[list(BREAKS)] = 1, 2
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
-CODES, BASE = byte_codes(), 0xD1342543DE82EF95
-BACK = pow(BASE, -1, 1 << 64)
 COUNTED = "lang string, phrase string, length int, begin int, n long, block int, held binary"
 BATCH = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("length", pa.int32()), ("begin", pa.int32()), ("n", pa.int64()), ("block", pa.int32()), ("held", pa.binary())])
 
 
-def span_hash(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Fingerprints of the stretches of `data` between `bounds`: polynomials in BASE by running sums."""
-    steps = np.full(len(data) + 1, BASE, np.uint64)
-    steps[0] = 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(CODES[data] * np.cumprod(steps, out=steps)[:-1], out=sums[1:])
-    back = np.full(len(data) + 1, BACK, np.uint64)
-    back[0] = 1
-    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) * np.cumprod(back, out=back)[bounds[:-1]])
-
-
 def word_hash(words: list[bytes]) -> np.ndarray:
     return span_hash(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
 

@@ -19,7 +19,6 @@ import os
 import sys
 import types
 import uuid
-from array import array
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -31,55 +30,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, row_slices, stored, text_view, total_bytes
+from .shared import new_path, row_slices, span_hash, stored, text_view, total_bytes
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-END_ID, PART_BYTES, MOST_PART_BYTES, SLICE_BYTES, KEPT_WORDS = 2, 8 << 20, 512 << 20, 4 << 20, 100_000
-#: KEPT_WORDS: a worker lives on after its task, and its words (about 200 bytes each, up to twice as many and those of a slice) with it.
+END_ID, PART_BYTES, MOST_PART_BYTES, SLICE_BYTES, JOINED_BYTES = 2, 8 << 20, 512 << 20, 8 << 20, 256 << 10
+#: A worker lives on after its task, and its words (about 45 bytes each) with it.
+KEPT_WORDS, OLD_SHARE = 200_000, 4
 NO_ID = np.iinfo(np.int64).min
-#: Marks that are a piece of their own after letters, and the letter that stands for each byte.
-ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word that can be encoded apart from its text: without white space, but for a line feed at its start.
+PLAIN_WORD = r"\A\n?[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+\z"
+#: The letter that stands for each byte.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
 MANIFEST = "part int, path string, docs long, tokens long"
 
 
-class Words(dict):
-    """Word -> its ids as bytes, led by a blank unless it starts with a line feed; None if it cannot be encoded apart from its text.
+class Words:
+    """Words and their ids in flat arrays; each word is led by a blank unless it starts with a line feed.
 
-    Words are learnt when first asked for. The memory is bounded: once `most` words are new, those not asked for since then go.
+    Words are found by fingerprint and then compared. Unknown ones are encoded by the library in one text and told apart by the tokens
+    that begin with a blank or a line feed. The memory is bounded: of the words that one call alone has asked for, the latest `most` stay,
+    of those asked for again the first OLD_SHARE times as many; of these, ones not asked for since the memory was last full go.
     """
 
-    def __init__(self, tokenizer: Tokenizer, code: str, most: int):
-        super().__init__()
-        self.tokenizer, self.bpe, self.code, self.most, self.old = tokenizer, tokenizer.model.tokenize, code, most, {}
-
-    def piece(self, letters: str) -> bytes:
-        """Ids of one piece as the pre-tokenizer cuts it."""
-        return array(self.code, [t.id for t in self.bpe(letters.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
-
-    def learn(self, word: str) -> bytes | None:
-        stem = word.rstrip(ENDS)
-        if stem.isalpha() and max(stem) < "\u0370":  # letters, then marks: two pieces
-            if len(stem) < len(word):
-                return self[stem] + self.piece(word[len(stem) :])
-            return self.piece(" " + word)
-        if stem[:1] == "\n" and stem[1:].isalpha() and max(stem) < "\u0370":
-            return self.piece("\n") + self.piece(stem[1:]) + (self.piece(word[len(stem) :]) if len(stem) < len(word) else b"")
-        if len(word.split()) != 1 or word[-1].isspace() or (word[0].isspace() and word[0] != "\n"):
-            return None
-        return array(self.code, self.tokenizer.encode(word if word[0] == "\n" else " " + word, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, word: str) -> bytes | None:
-        found = self[word] = self.old[word] if word in self.old else self.learn(word)
-        return found
+    def __init__(self, tokenizer: Tokenizer, kind: np.dtype, most: int):
+        from tokenizers import Tokenizer
+
+        self.plain, self.kind, self.most = Tokenizer(tokenizer.model), kind, most  # without the added tokens
+        self.plain.pre_tokenizer = tokenizer.pre_tokenizer
+        if tokenizer.normalizer:
+            self.plain.normalizer = tokenizer.normalizer
+        vocabulary = self.plain.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] in (BYTE_LETTERS[32], BYTE_LETTERS[10])]] = True
+        self.words, self.prints, self.place = pa.array([], pa.string()), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.cut = np.zeros(0, kind), np.zeros(1, np.int64)
+        self.again, self.lately = np.zeros(0, bool), np.zeros(0, bool)
+
+    def __len__(self) -> int:
+        """Words that one call alone has asked for."""
+        return len(self.words) - len(self.old)
+
+    @property
+    def old(self) -> np.ndarray:
+        """Places of the words asked for again."""
+        return np.flatnonzero(self.again)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each of `words`, which are distinct; unknown ones are learnt."""
+        data, offsets = text_view(words)
+        prints, place = span_hash(data, offsets), np.full(len(words), -1, np.int64)
+        if len(self.prints):
+            at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+            held = np.flatnonzero(self.prints[at] == prints)
+            held = held[pc.equal(self.words.take(pa.array(self.place[at[held]])), words.take(pa.array(held))).to_numpy(zero_copy_only=False)]
+            place[held] = self.place[at[held]]
+            self.again[place[held]] = self.lately[place[held]] = True
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.words) + np.arange(len(new))
+        if len(new):
+            self.learn(words.take(pa.array(new)), prints[new])
+        return place
+
+    def learn(self, words: pa.Array, prints: np.ndarray) -> None:
+        ids = []
+        for a, b in row_slices(text_view(words)[1], JOINED_BYTES):
+            joined = (" " + " ".join(words.slice(a, b - a).to_pylist())).replace(" \n", "\n")
+            ids.append(np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind))
+        ids = np.concatenate(ids)
+        begin = np.flatnonzero(self.opens[ids])
+        if len(begin) != len(words):
+            raise ValueError("the tokenizer does not cut before each blank and line feed")
+        order = np.argsort(prints)
+        at = np.searchsorted(self.prints, prints[order])
+        self.prints, self.place = np.insert(self.prints, at, prints[order]), np.insert(self.place, at, len(self.words) + order)
+        self.words, self.ids, self.cut = pa.concat_arrays([self.words, words]), np.concatenate((self.ids, ids)), np.concatenate((self.cut[:-1], self.cut[-1] + begin, [self.cut[-1] + len(ids)]))
+        self.again, self.lately = (np.concatenate((x, np.zeros(len(words), bool))) for x in (self.again, self.lately))
 
     def forget(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        """Leaves as much as the bounds allow."""
+        if len(self) <= self.most and len(self.old) <= OLD_SHARE * self.most:
+            return
+        keep = self.again.copy()
+        if len(self.old) > OLD_SHARE * self.most:
+            keep &= self.lately
+            keep[np.flatnonzero(keep)[OLD_SHARE * self.most // 2 :]] = False
+            self.lately[:] = False
+        keep[np.flatnonzero(~self.again)[-self.most :]] = True
+        size = np.diff(self.cut)[keep]
+        cut = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        self.ids, self.cut = self.ids[np.repeat(keep, np.diff(self.cut))], cut
+        self.words, self.again, self.lately = self.words.filter(pa.array(keep)), self.again[keep], self.lately[keep]
+        left = keep[self.place]
+        self.prints, self.place = self.prints[left], (np.cumsum(keep) - 1).astype(np.int32)[self.place[left]]
 
 
 class WordEncoder:
@@ -98,7 +143,7 @@ class WordEncoder:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([] if end_id is None else [end_id], self.type).tobytes()
-        self.known = Words(self.whole, "H" if self.type.itemsize == 2 else "I", KEPT_WORDS)
+        self.known = Words(self.whole, self.type, KEPT_WORDS)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
@@ -112,31 +157,31 @@ class WordEncoder:
         inner = np.ones(len(flat), bool)
         inner[heads] = False
         coded, count = flat.filter(pa.array(inner)).dictionary_encode(), np.diff(offsets) - 1
-        found = list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
-        self.known.forget()
         words = coded.indices.to_numpy().astype(np.int64)
+        plain = pc.match_substring_regex(coded.dictionary, PLAIN_WORD).to_numpy(zero_copy_only=False)
         odd = np.zeros(n, bool)
-        if None in found:
-            lone = np.array([x is None for x in found])
-            odd[np.repeat(np.arange(n), count)[lone[words]]] = True
+        odd[np.repeat(np.arange(n), count)[~plain[words]]] = True
         for token in self.added:
             odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         words, count = words[~np.repeat(odd, count)], np.where(odd, 0, count)
+        place = np.zeros(len(plain), np.int64)
+        place[plain] = self.known.find(coded.dictionary.filter(pa.array(plain)))
         begin = [self._ids(x if whole else y) for whole, x, y in zip(odd, texts.to_pylist() if odd.any() else [None] * n, flat.take(pa.array(heads)).to_pylist())]
         # one piece for each first word, inner word and end, in order
-        pieces = [x or b"" for x in found] + begin + [self.end]
+        held, size = self.known.ids, np.diff(self.known.cut)
         order, middle = np.empty(len(words) + 2 * n, np.int64), np.ones(len(words) + 2 * n, bool)
         last = np.cumsum(count + 2) - 1
         first = last - count - 1
-        order[last], order[first] = len(pieces) - 1, len(found) + np.arange(n)
+        order[last], order[first] = len(size) + n, len(size) + np.arange(n)
         middle[last] = middle[first] = False
-        order[middle] = words
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.type.itemsize
+        order[middle] = place[words]
+        size = np.concatenate((size, np.fromiter(map(len, begin), np.int64, n) // self.type.itemsize, [len(self.end) // self.type.itemsize]))
         start, long = (np.cumsum(size) - size)[order], size[order]
         to = np.cumsum(long)
         at = np.repeat((start - to + long).astype(np.int32), long)  # SLICE_BYTES bound the ids of a call, but for a longer single text
         at += np.arange(len(at), dtype=np.int32)
-        ids = np.frombuffer(b"".join(pieces), self.type)[at]
+        ids = np.concatenate((held, np.frombuffer(b"".join(begin) + self.end, self.type)))[at]
+        self.known.forget()
         return ids, np.concatenate((np.zeros(1, np.int64), to[last]))
 
 

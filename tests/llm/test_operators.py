@@ -249,6 +249,30 @@ def test_token_encoder_is_the_library(kept, monkeypatch):
     assert encoder.whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
 
 
+def test_token_encoder_keeps_words_asked_for_again():
+    """Words of a second call are not learnt anew when ever more words come that occur once."""
+    import pyarrow as pa
+
+    encoder = token_files.WordEncoder(queries.tokenizer_path())
+    often, learnt = " ".join(f"often{i}" for i in range(50_000)), []
+    learn = encoder.known.learn
+    encoder.known.learn = lambda words, prints: learnt.append(len(words)) or learn(words, prints)
+    for start in range(0, 600_000, 50_000):
+        encoder.encode(pa.array([f"a {often} " + " ".join(f"w{i}" for i in range(start, start + 50_000))]))
+    assert learnt == [100_000] + [50_000] * 11
+
+
+def test_token_encoder_tells_words_of_one_fingerprint_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "span_hash", lambda data, bounds: np.zeros(len(bounds) - 1, np.uint64))
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 20)
+    encoder = token_files.WordEncoder(queries.tokenizer_path())
+    for part in (["one two three", "two four\none"], ["four three", "one\none five"]) * 3:
+        ids, cut = encoder.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [[*encoder.whole.encode(t, add_special_tokens=False).ids, 2] for t in part]
+
+
 @pytest.mark.parametrize("batches,fan", [(1, 2), (4, 3), (6, 2)])
 def test_line_dedup(docs, batches, fan):
     got = rows_of(line_dedup.drop_repeated_lines(docs, 10, batches, fan))
