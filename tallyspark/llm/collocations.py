@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .shared import mix, new_path, row_slices, span_hash, stored, text_view, total_bytes
 
-SHARDS, PROBES, SALTS, SLICE_BYTES, NEVER = 4, 2, 64, 8 << 20, 255
+SHARDS, PROBES, SALTS, SLICE_BYTES, NEVER = 4, 2, 64, 12 << 20, 255
 #: Bytes of text to a bucket, and the least and the most buckets; a filter has a quarter as many cells.
 CELL_SHARE, LEAST_CELLS, MOST_CELLS, BLOCK_CELLS, BITMAP = 64, 1 << 18, 1 << 27, 1 << 16, 1 << 15
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -63,7 +63,7 @@ def cells_of(prints: np.ndarray, cells: int) -> np.ndarray:
     return np.stack([(prints + np.uint64(k) * step) & np.uint64(cells - 1) for k in range(PROBES)]).astype(np.int64)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, piece, row, fingerprint) of texts in a row: folded words in order, the piece each stands in and its text."""
     kind = KIND[data]
     first = np.zeros(len(data) + 1, bool)
@@ -74,11 +74,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     end = inner.copy()
     end[:-1] &= ~inner[1:] | first[1:]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end)
-    piece = np.searchsorted(np.flatnonzero((kind == 2) | first[:-1]), starts, "right")
     bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends + 1 - starts)))
-    letters = FOLDED[data[inner[:-1]]]
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
-    return words, piece, np.searchsorted(offsets, starts, "right") - 1, span_hash(letters, bounds)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(FOLDED[data[inner[:-1]]])])
+    words = words.dictionary_encode()  # each distinct word is hashed and compared once
+    prints = span_hash(*text_view(words.dictionary))[words.indices.to_numpy()]
+    return words, _cut(starts, np.flatnonzero((kind == 2) | first[:-1])), _cut(starts, offsets[1:]), prints
+
+
+def _cut(starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of the ascending `starts`, how many of the ascending `at` are not behind it."""
+    return np.repeat(np.arange(len(at) + 1), np.diff(np.searchsorted(starts, at), prepend=0, append=len(starts)))
 
 
 class Filters:
@@ -126,49 +131,51 @@ def phrases_in(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, known: Fi
     words, piece, row, single = words_of(data, offsets)
     if not len(words):
         return
+    word, spelt = words.indices.to_numpy(), words.dictionary
     names = langs.dictionary_encode()
     lang, tongue = names.indices.to_numpy().astype(np.int64)[row], names.dictionary
     active = lambda begin: (begin < scan) & (begin + shards >= scan)
 
     def counted(at: np.ndarray, length: int, begin: np.ndarray) -> pa.RecordBatch:
         """The phrases of `length` words at these places, told apart by their words."""
-        coded = (words if len(at) == len(words) else words.take(pa.array((at[:, None] + np.arange(length)).ravel()))).dictionary_encode()
-        code, spelt = coded.indices.to_numpy().astype(np.int64).reshape(-1, length), coded.dictionary
         key, most = lang[at], len(tongue)
         for k in range(length):
             most *= len(spelt)
             if most >= 1 << 63:  # the distinct keys are numbered anew before they overflow
                 key = np.unique(key, return_inverse=True)[1]
                 most = (int(key.max()) + 1) * len(spelt)
-            key = key * len(spelt) + code[:, k]
-        _, chosen, n = np.unique(key, return_index=True, return_counts=True)
-        parts = [spelt.take(pa.array(code[chosen, k])).cast(pa.large_string()) for k in range(length)]
+            key = key * len(spelt) + word[at + k]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        chosen, n = order[first], np.diff(first, append=len(key))
+        parts = [spelt.take(pa.array(word[at[chosen] + k])).cast(pa.large_string()) for k in range(length)]
         phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if length > 1 else parts[0]
         columns = [tongue.take(pa.array(lang[at[chosen]])).cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(chosen), length, np.int32)), pa.array(begin[chosen].astype(np.int32)), pa.array(n.astype(np.int64))]
         return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(chosen), pa.int32()), pa.nulls(len(chosen), pa.binary())], schema=BATCH)
 
     if scan < shards:
-        yield counted(np.arange(len(words)), 1, np.full(len(words), -1))
+        yield counted(np.arange(len(word)), 1, np.full(len(word), -1))
     head = mix(single ^ word_hash([x.encode() for x in tongue.to_pylist()])[lang])
-    seen, at = known.seen(1, head), np.arange(len(words))
+    seen, at = known.seen(1, head), np.arange(len(word))
     if scan < shards:
         pairs = np.flatnonzero(piece[:-1] == piece[1:])
-        np.add.at(buckets, known.bucket(longer(head[pairs], single[pairs + 1])), 1)
+        np.add.at(buckets, known.bucket(longer(head[pairs], single[pairs + 1])), buckets.dtype.type(1))  # of one type, which is much faster
     for length in range(2, deepest + 1):
         # places whose phrase of this length has two frequent subphrases
-        begin = np.full(len(words), NEVER, np.uint8)
+        begin = np.full(len(word), NEVER, np.uint8)
         begin[at] = seen[at]
-        begin = np.maximum(begin[: -length + 1], begin[1 : len(words) - length + 2])
+        begin = np.maximum(begin[: -length + 1], begin[1 : len(word) - length + 2])
         at = np.flatnonzero((begin != NEVER) & (piece[: -length + 1] == piece[length - 1 :]))
         if not len(at):
             return
-        head, below = _spread(longer(head[at], single[at + length - 1]), at, len(words)), begin[at]
+        head, below = _spread(longer(head[at], single[at + length - 1]), at, len(word)), begin[at]
         begin = (np.maximum(below, known.full[known.bucket(head[at])]) if length == 2 else below).astype(np.int64)
         pick = active(begin)
         if pick.any():
             yield counted(at[pick], length, begin[pick])
         if length < deepest:
-            seen = _spread(np.maximum(known.seen(length, head[at]), below), at, len(words), NEVER)
+            seen = _spread(np.maximum(known.seen(length, head[at]), below), at, len(word), NEVER)
 
 
 def _spread(values: np.ndarray, at: np.ndarray, n: int, fill: int = 0) -> np.ndarray:

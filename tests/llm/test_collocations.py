@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,26 @@ def test_words_of():
         assert [w.decode() for w in words.to_pylist()] == want and row.tolist() == [0] * (len(want) // 2) + [1] * (len(want) // 2)
         assert prints.tolist() == collocations.word_hash([w.encode() for w in want]).tolist()
         assert len(set(piece.tolist())) == 2 * sum(map(bool, pieces(text)))
+
+
+def test_words_are_told_apart_once():
+    """Equal words of a slice share one spelling, whatever their case, and texts without words come between."""
+    data = np.frombuffer("a B a;b A".encode(), np.uint8)
+    words, piece, row, _ = collocations.words_of(data, np.array([0, 0, len(data), len(data)]))
+    assert words.dictionary.to_pylist() == [b"a", b"b"] and words.indices.to_pylist() == [0, 1, 0, 1, 0]
+    assert piece.tolist() == [1, 1, 1, 2, 2] and row.tolist() == [1] * 5
+
+
+def test_phrases_of_many_words_are_numbered_anew():
+    """Counts of phrases of four words where the numbers of their words pass 64 bits."""
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"w{i}" for i in line) for line in rng.integers(0, 70_000, (15_000, 7))] + [" ".join(f"v{i}" for i in range(k, k + 7)) for k in range(70_000)]
+    lines += lines[:500] + lines[:7]
+    data, langs = np.frombuffer(".".join(lines).encode(), np.uint8), pa.array(["en"])
+    known = collocations.Filters(1 << 20, 4, 1)
+    known.full[:], known.since = 0, {k: np.zeros(1 << 18, np.uint8) for k in (1, 2, 3)}
+    got = {}
+    for batch in collocations.phrases_in(data, np.array([0, len(data)]), langs, known, np.zeros(1 << 20, np.uint32), 4, 4, 4):
+        got |= {x: n for x, length, n in zip(*(batch.column(c).to_pylist() for c in ("phrase", "length", "n"))) if length == 4}
+    words = [x.split(" ") for x in lines]
+    assert got == Counter(" ".join(x[k : k + 4]) for x in words for k in range(4))
