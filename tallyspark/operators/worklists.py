@@ -186,12 +186,18 @@ def skipped_targets(targets: DataFrame, filled: DataFrame, linked: DataFrame, so
 
 def mutual_nearest(left: DataFrame, right: DataFrame, block: str, features: Sequence[str]) -> DataFrame:
     """left: block, code, features; right: block, name, features. Pairs that are each other's nearest (mean absolute difference;
-    ties by name and code), with cost and confidence. Rows with a null feature have no partner. Exact, by a grid of cells.
+    ties by name and code), with cost and confidence. Rows with a null feature have no partner. Exact (see `spatial`).
     """
     from tallyspark.operators import spatial
+    from tallyspark.sources.shared import stored
 
     def side(df: DataFrame, key: str, role: str) -> DataFrame:
-        return df.dropna(subset=list(features)).select(block, F.col(key).alias(role), F.array(*[F.col(f).cast("double") for f in features]).alias("point"))
+        return df.select(block, F.col(key).alias(role), "point")
+
+    def points(df: DataFrame, key: str) -> DataFrame:
+        return stored(df.dropna(subset=[block, *features]).select(block, key, F.array(*[F.col(f).cast("double") for f in features]).alias("point")), "points")
+
+    left, right = points(left, "code"), points(right, "name")
 
     near = lambda a, b, x, y: spatial.nearest(side(a, x, "a"), side(b, y, "b"), [block], len(features), 1, spatial.mean_difference, spread=len(features))
     of_code = near(left, right, "code", "name").select(block, F.col("a").alias("code"), F.col("b").alias("name"), F.col("distance").alias("cost"))
