@@ -2,10 +2,13 @@
 
 import math
 import random
+import statistics
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tallyspark.operators import spatial, worklists
+import __spark_entry__ as entry
+from tallyspark.operators import relational, spatial, worklists
 
 
 def joined_rows(plan):
@@ -49,3 +52,30 @@ def test_mutual_nearest_of_crowded_places(spark):
     got = worklists.mutual_nearest(frame(left, "code int"), frame(right, "name string"), "block", ["x", "y"])
     assert {(r.code, r.name) for r in got.collect()} == want and len(want) > 50
     assert worklists.mutual_nearest(frame(left, "code int").withColumn("x", F.lit(None).cast("double")), frame(right, "name string"), "block", ["x", "y"]).isEmpty()
+
+
+def test_neighbours_at_equal_distances_are_those_of_the_sql(spark):
+    """Sizes and prices form a lattice, so many distances differ by rounding alone: 17 of 1,000 rows differed before."""
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+    got = {(r.a, r.b): r.distance for r in entry.queries()["t4_nearest_neighbours"](spark, folder).collect()}
+    assert got == {(a, b): d for a, b, d in con.execute(entry.oracle_sql()["t4_nearest_neighbours"]).fetchall()}
+
+
+def test_running_moments(spark):
+    """Digits of one pass in one partition; several partitions, empty ones too, are merged."""
+    draw = random.Random(2)
+    xs = [(draw.gauss(1e6, 1), draw.randint(1, 9)) for _ in range(5000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x DOUBLE, y INT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", xs[:500])
+    frame = lambda rows, n: spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "x double, y int")
+    one = relational.running_moments(frame(xs[:500], 1), ["x", "y"])
+    assert (*one["x"], *one["y"]) == con.execute("SELECT avg(x), stddev_pop(x), avg(y), stddev_pop(y) FROM t").fetchone()
+    for rows, n in ((xs, 7), (xs[:3], 5)):
+        found = relational.running_moments(frame(rows, n), ["x", "y"])
+        for i, f in enumerate("xy"):
+            column = [r[i] for r in rows]
+            assert math.isclose(found[f][0], statistics.fmean(column), rel_tol=1e-12) and math.isclose(found[f][1], statistics.pstdev(column), rel_tol=1e-9)
+    assert relational.running_moments(frame([], 2), ["x"]) == {"x": (0.0, 0.0)}
